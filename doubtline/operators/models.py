@@ -40,8 +40,9 @@ def run_parallel(jobs: list[Callable], width: int = PARALLEL_FITS) -> list:
     """Run independent Spark jobs from a few driver threads."""
     if len(jobs) <= 1 or width <= 1:
         return [job() for job in jobs]
+    wrap = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPoolExecutor(width) as pool:
-        return list(pool.map(lambda job: inheritable_thread_target(job)(), jobs))
+        return [f.result() for f in [pool.submit(wrap(job)) for job in jobs]]
 
 
 def class_count(train: DataFrame, label: str = "label") -> int:
