@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
 SQL: dict[str, str] = {}
-MODULES = ("basics", "aggregates")
+MODULES = ("basics", "aggregates", "neighbours", "measuring", "detecting", "learning", "streams")
 
 
 def query(name: str, sql: str | None = None):
