@@ -80,7 +80,7 @@ class FittedFeatureBags(Members):
         df, names = self.member_columns(df, f"{prob}_b")
         votes = F.array(*[F.col(p) for _, p in names])
         share = [
-            F.size(F.filter(votes, lambda v, c=c: v == c)).cast("double") / F.lit(float(len(names)))
+            F.size(F.filter(votes, lambda v: v == c)).cast("double") / F.lit(float(len(names)))
             for c in range(self.classes)
         ]
         df = df.withColumn(prob, V.vector(F.array(*share), self.classes, prob))
@@ -141,7 +141,7 @@ class FittedConfidenceBagging(Members):
         best = F.slice(F.sort_array(F.array(*cells), asc=False), 1, self.decisors)
         df = df.withColumn(f"__{prob}_best", best)
         mean = [
-            V.array_total(F.transform(f"__{prob}_best", lambda s, c=c: F.get(s["prob"], F.lit(c))))
+            V.array_total(F.transform(f"__{prob}_best", lambda s: F.get(s["prob"], F.lit(c))))
             / F.lit(float(self.decisors))
             for c in range(self.classes)
         ]

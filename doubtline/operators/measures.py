@@ -493,7 +493,7 @@ def apply_proximity(df: DataFrame, measures: list[FittedProximity], scorer: Fitt
         tags.append(
             F.transform(
                 F.sequence(F.lit(1), F.lit(m.points)),
-                lambda i, t=t: F.struct(F.lit(t).alias("tag"), i.alias("copy")),
+                lambda i: F.struct(F.lit(t).alias("tag"), i.alias("copy")),
             )
         )
     base = df.select("row_id", F.col("pred").alias("__own"), F.col("features").cast("array<double>").alias("__base"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -23,7 +23,7 @@ from doubtline.functions import vectors as V
 from doubtline.functions.hashing import md5_uniform
 from doubtline.functions.prob import argmax, softmax
 from doubtline.operators.knn import knn_join
-from doubtline.operators.stats import Moments, covariance, moments
+from doubtline.operators.stats import Moments, covariance, moments, task_partials
 from doubtline.operators.store import read_json, write_json
 
 UNROLL_TERMS = 256
@@ -303,7 +303,7 @@ class FittedNeighbourVote(Fitted):
         joined = knn_join(df, self.ref, self.k, carry=["label"])
         votes = F.transform("nn", lambda e: e["label"])
         share = [
-            F.size(F.filter(votes, lambda v, c=c: v == c)).cast("double") / F.size("nn")
+            F.size(F.filter(votes, lambda v: v == c)).cast("double") / F.size("nn")
             for c in range(self.classes)
         ]
         joined = joined.withColumn(prob, V.vector(F.array(*share), self.classes, prob))
@@ -430,51 +430,95 @@ class FittedML(Fitted):
 
 
 class BaggedLinearSVM(Model):
-    """Linear support vector machines on hash samples; margins calibrated by a logistic fit."""
+    """Linear support vector machines (squared hinge) on hash samples, margins calibrated.
+
+    All members and classes are solved together by Newton's method: a pass over the table sums
+    the gradients and curvatures of every member at once, so the number of passes does not grow
+    with the number of members or classes. The calibration, a logistic curve per class on the
+    mean margin, is fitted the same way.
+    """
 
     name = "SVM"
 
-    def __init__(self, members: int = 10, sample: float = 0.1, seed: int = 0, max_iter: int = 50):
-        self.members, self.sample, self.seed, self.max_iter = members, sample, seed, max_iter
+    def __init__(self, members: int = 10, sample: float = 0.1, seed: int = 0, passes: int = 12, ridge: float = 1e-3):
+        self.members, self.sample, self.seed = members, sample, seed
+        self.passes, self.ridge = passes, ridge
 
     def fit(self, train: DataFrame) -> FittedMargins:
         train = train.filter(F.col("label").isNotNull())
-        k = class_count(train)
-        m = moments(train)
-        low, high = m.low[0].tolist(), m.high[0].tolist()
-        frame = train.select(
-            "row_id", V.min_max("features", low, high, "x").alias("x"), F.col("label").cast("int").alias("label")
+        k, m = class_count(train), moments(train)
+        low, high, d = m.low[0].tolist(), m.high[0].tolist(), m.width
+        drawn = [
+            (md5_uniform(self.seed, b, F.col("row_id")) < self.sample).cast("double") for b in range(self.members)
+        ]
+        cells = F.concat(
+            V.min_max("features", low, high, "x"), F.array(F.lit(1.0), F.col("label").cast("double"), *drawn)
         )
+        packed = train.select(cells.alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
         targets = [1] if k <= 2 else list(range(k))
-
-        def one(member: int, c: int):
-            def job():
-                rows = frame.filter(md5_uniform(self.seed, member, F.col("row_id")) < self.sample)
-                data = rows.select(
-                    array_to_vector("x").alias("features"), (F.col("label") == c).cast("double").alias("label")
-                )
-                svm = C.LinearSVC(maxIter=self.max_iter, regParam=1e-3)
-                model = svm.fit(data)
-                return np.append(model.coefficients.toArray(), model.intercept)
-
-            return job
-
-        cells = run_parallel([one(b, c) for b in range(self.members) for c in targets])
-        grid = np.array(cells).reshape(self.members, len(targets), -1)
-        weights = grid.mean(axis=0)
-        scale = []
-        for i, c in enumerate(targets):
-            margin = V.total(
-                [F.lit(float(weights[i, -1]))]
-                + [V.item("x", j) * F.lit(float(weights[i, j])) for j in range(weights.shape[1] - 1)]
-            )
-            data = frame.select(
-                array_to_vector(F.array(margin)).alias("features"), (F.col("label") == c).cast("double").alias("label")
-            )
-            fit = C.LogisticRegression(maxIter=self.max_iter).fit(data)
-            scale.append([float(fit.coefficients[0]), float(fit.intercept)])
+        try:
+            weights = self._solve(packed, d + 1, targets)
+            scale = self._calibrate(packed, weights, d + 1, targets)
+        finally:
+            packed.unpersist()
         return FittedMargins(self.name, max(k, 2), low, high, weights, scale)
 
+    def _solve(self, packed: DataFrame, width: int, targets: list[int]) -> np.ndarray:
+        """Mean weights of the members, one row per target."""
+        members, cell = self.members, width + width * width + 1
+        weights = np.zeros((members, len(targets), width))
+        for _ in range(self.passes):
+            current = weights
+
+            def part(block: np.ndarray) -> np.ndarray:
+                x, label, drawn = block[:, :width], block[:, width], block[:, width + 1 :] > 0
+                out = np.zeros((members, len(targets), cell))
+                for b in range(members):
+                    xb, lb = x[drawn[:, b]], label[drawn[:, b]]
+                    for i, c in enumerate(targets):
+                        y = np.where(lb == c, 1.0, -1.0)
+                        miss = 1.0 - y * (xb @ current[b, i])
+                        hit = miss > 0
+                        xa = xb[hit]
+                        out[b, i, :width] = -(xa.T @ (y[hit] * miss[hit]))
+                        out[b, i, width:-1] = (xa.T @ xa).ravel()
+                        out[b, i, -1] = len(xb)
+                return out.ravel()
+
+            sums = task_partials(packed, part, members * len(targets) * cell).reshape(members, len(targets), cell)
+            n = np.maximum(sums[..., -1], 1.0)[..., None]
+            slope = sums[..., :width] / n + self.ridge * current
+            curve = sums[..., width:-1].reshape(members, len(targets), width, width) / n[..., None]
+            curve = curve + self.ridge * np.eye(width)
+            step = np.linalg.solve(curve, slope[..., None])[..., 0]
+            weights = current - step
+            if np.abs(step).max() < 1e-8:
+                break
+        return weights.mean(axis=0)
+
+    def _calibrate(self, packed: DataFrame, weights: np.ndarray, width: int, targets: list[int]) -> np.ndarray:
+        scale = np.tile([1.0, 0.0], (len(targets), 1))
+        for _ in range(self.passes):
+            current = scale
+
+            def part(block: np.ndarray) -> np.ndarray:
+                x, label = block[:, :width], block[:, width]
+                out = np.zeros((len(targets), 6))
+                for i, c in enumerate(targets):
+                    z = np.column_stack([x @ weights[i], np.ones(len(x))])
+                    p = 1.0 / (1.0 + np.exp(-np.clip(z @ current[i], -60, 60)))
+                    out[i, :2] = z.T @ (p - (label == c))
+                    out[i, 2:] = (z.T @ (z * (p * (1.0 - p))[:, None])).ravel()
+                return out.ravel()
+
+            sums = task_partials(packed, part, len(targets) * 6).reshape(len(targets), 6)
+            curve = sums[:, 2:].reshape(-1, 2, 2) + 1e-6 * np.eye(2)
+            step = np.linalg.solve(curve, sums[:, :2, None])[..., 0]
+            scale = current - np.clip(step, -5.0, 5.0)
+            if np.abs(step).max() < 1e-8:
+                break
+        return scale
+
 
 @register
 class FittedMargins(Fitted):
