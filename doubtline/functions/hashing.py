@@ -25,5 +25,9 @@ def hash_uniform(*parts) -> Column:
     return bits.cast("double") / F.lit(float(1 << 53))
 
 
-def uniform(kind: str, *parts) -> Column:
-    return {"md5": md5_uniform, "xxhash": hash_uniform}[kind](*parts)
+def uniform_text(kind: str, *parts: str) -> str:
+    """The same numbers as SQL text; ``parts`` are SQL expressions."""
+    if kind == "md5":
+        key = ", ".join(f"cast({p} AS string)" for p in parts)
+        return f"(cast(conv(substring(md5(concat_ws('_', {key})), 1, 8), 16, 10) AS double) / 4294967296.0D)"
+    return f"(cast(shiftrightunsigned(xxhash64({', '.join(parts)}), 11) AS double) / {float(1 << 53)!r}D)"

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doubtline.functions.vectors import UNROLL_LIMIT, array_total, item, total, vector
+from doubtline.functions.vectors import UNROLL_LIMIT, array_total, at, sum_text, vector
 
 
 def _column(value) -> Column:
@@ -31,13 +31,11 @@ def max_entropy(classes: int) -> float:
 
 def entropy_bits(prob, width: int | None = None) -> Column:
     """Shannon entropy over the non-zero entries, renormalised to sum 1."""
-    if width is not None and width <= UNROLL_LIMIT:
-        mass = total([item(prob, i) for i in range(width)])
-        parts = [
-            F.when(item(prob, i) != 0.0, -(item(prob, i) / mass) * F.log2(item(prob, i) / mass)).otherwise(0.0)
-            for i in range(width)
-        ]
-        return F.when(mass != 0.0, total(parts))
+    if isinstance(prob, str) and width is not None and width <= UNROLL_LIMIT:
+        cells = [at(prob, i) for i in range(width)]
+        mass = sum_text(cells)
+        parts = [f"CASE WHEN {p} != 0D THEN -({p} / {mass}) * log2({p} / {mass}) ELSE 0D END" for p in cells]
+        return F.expr(f"CASE WHEN {mass} != 0D THEN {sum_text(parts)} END")
     prob = _column(prob)
     mass = array_total(prob)
     kept = F.filter(prob, lambda p: p != 0.0)
@@ -83,13 +81,12 @@ def paired_probability(prob, pred) -> Column:
     return F.when(_column(pred) == 0, F.array(high, low)).otherwise(F.array(low, high))
 
 
-def softmax(df: DataFrame, scores: Sequence[Column], name: str = "prob") -> DataFrame:
-    """Log scores, one per class, to a probability vector column."""
+def softmax(df: DataFrame, scores: Sequence[str], name: str = "prob") -> DataFrame:
+    """Log scores (SQL text, one per class) to a probability vector column."""
     k = len(scores)
-    s, m, e, t = (f"__{name}_{x}" for x in "smet")
-    df = df.withColumn(s, F.array(*scores))
-    df = df.withColumn(m, F.array_max(s))
-    df = df.withColumn(e, F.array(*[F.exp(item(s, i) - F.col(m)) for i in range(k)]))
-    df = df.withColumn(t, total([item(e, i) for i in range(k)]))
-    df = df.withColumn(name, vector(F.array(*[item(e, i) / F.col(t) for i in range(k)]), k, name))
-    return df.drop(s, m, e, t)
+    s, e = f"__{name}_s", f"__{name}_e"
+    df = df.withColumn(s, F.expr(f"array({', '.join(scores)})"))
+    df = df.withColumn(e, F.expr("array(" + ", ".join(f"exp({at(s, i)} - array_max({s}))" for i in range(k)) + ")"))
+    mass = sum_text([at(e, i) for i in range(k)])
+    prob = F.expr("array(" + ", ".join(f"{at(e, i)} / {mass}" for i in range(k)) + ")")
+    return df.withColumn(name, vector(prob, k, name)).drop(s, e)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UNROLL_LIMIT = 128
+UNROLL_LIMIT = 32
 DOUBLE_MAX = 1.7976931348623157e308
 
 
@@ -82,9 +82,24 @@ def array_total(array) -> Column:
     return F.aggregate(_column(array), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def at(name: str, index: int) -> str:
+    """SQL text of one entry. Long unrolled expressions are written as text: one parser call
+    instead of a gateway call per operator."""
+    return f"get({name}, {index})"
+
+
+def sum_text(terms: Sequence[str]) -> str:
+    return "(" + " + ".join(terms) + ")"
+
+
+def _unrolled(width: int | None, *names) -> bool:
+    return width is not None and width <= UNROLL_LIMIT and all(isinstance(n, str) for n in names)
+
+
 def squared_distance(a, b, width: int | None = None) -> Column:
-    if width is not None and width <= UNROLL_LIMIT:
-        return total([(item(a, j) - item(b, j)) * (item(a, j) - item(b, j)) for j in range(width)])
+    if _unrolled(width, a, b):
+        gaps = [f"({at(a, j)} - {at(b, j)})" for j in range(width)]
+        return F.expr(sum_text([f"{g} * {g}" for g in gaps]))
     return array_total(F.zip_with(_column(a), _column(b), lambda x, y: (x - y) * (x - y)))
 
 
@@ -93,8 +108,8 @@ def euclidean(a, b, width: int | None = None) -> Column:
 
 
 def mean_absolute_error(a, b, width: int | None = None) -> Column:
-    if width is not None and width <= UNROLL_LIMIT:
-        return total([F.abs(item(a, j) - item(b, j)) for j in range(width)]) / F.lit(float(width))
+    if _unrolled(width, a, b):
+        return F.expr(sum_text([f"abs({at(a, j)} - {at(b, j)})" for j in range(width)]) + f" / {float(width)}D")
     errors = F.zip_with(_column(a), _column(b), lambda x, y: F.abs(x - y))
     return array_total(errors) / F.size(_column(a))
 
@@ -104,14 +119,18 @@ def share_inside(x, low, high, width: int | None = None) -> Column:
 
     NaN bounds need a test of their own: Spark orders NaN above every number.
     """
+    if _unrolled(width, x, low, high):
+        cells = [
+            f"CASE WHEN {at(low, j)} <= {at(x, j)} AND {at(x, j)} <= {at(high, j)} "
+            f"AND NOT isnan({at(low, j)}) AND NOT isnan({at(high, j)}) THEN 1D ELSE 0D END"
+            for j in range(width)
+        ]
+        return F.expr(sum_text(cells) + f" / {float(width)}D")
 
     def inside(v, lo, hi):
         ok = (lo <= v) & (v <= hi) & ~F.isnan(lo) & ~F.isnan(hi)
         return F.when(ok, F.lit(1.0)).otherwise(F.lit(0.0))
 
-    if width is not None and width <= UNROLL_LIMIT:
-        hits = total([inside(item(x, j), item(low, j), item(high, j)) for j in range(width)])
-        return hits / F.lit(float(width))
     bounds = F.arrays_zip(_column(low).alias("lo"), _column(high).alias("hi"))
     flags = F.zip_with(_column(x), bounds, lambda v, b: inside(v, b["lo"], b["hi"]))
     return array_total(flags) / F.size(_column(x))
@@ -143,13 +162,13 @@ def clean_judge_input(x) -> Column:
     )
 
 
-def min_max(array, low: Sequence[float], high: Sequence[float], name: str = "features") -> Column:
+def min_max(array: str, low: Sequence[float], high: Sequence[float], name: str = "features") -> Column:
     """Scale by known bounds; constant features stay as they are."""
-    cells = []
-    for j, (lo, hi) in enumerate(zip(low, high)):
-        x = item(array, j)
-        cells.append((x - F.lit(float(lo))) / F.lit(float(hi - lo)) if hi != lo else x)
-    return vector(F.array(*cells), len(cells), name)
+    cells = [
+        f"({at(array, j)} - ({double_literal(lo)})) / {double_literal(hi - lo)}" if hi != lo else at(array, j)
+        for j, (lo, hi) in enumerate(zip(low, high))
+    ]
+    return vector(F.expr(f"array({', '.join(cells)})"), len(cells), name)
 
 
 def as_text(array, decimals: int | None = None) -> Column:

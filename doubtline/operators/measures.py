@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doubtline.functions import vectors as V
-from doubtline.functions.hashing import uniform
+from doubtline.functions.hashing import uniform_text
 from doubtline.functions.prob import certainty, confidence, paired_probability, signed_mean, vote_share
 from doubtline.operators.cleaning import clean_features
 from doubtline.operators.ensembles import ConfidenceBagging, ConfidenceBoosting, FeatureBags
@@ -56,6 +56,19 @@ class Env:
     model_columns: dict[str, tuple[str, str]]
     scorer: Fitted | None
     main_is_detector: bool = False
+    pending: dict[str, Column] = field(default_factory=dict)
+
+    def own_certainty(self, norm: int) -> Column:
+        """Certainty of the main model; computed once per norm."""
+        name = f"__own_{norm}"
+        self.pending.setdefault(name, certainty("prob", norm, self.prob_width))
+        return F.col(name)
+
+    def checker_certainty(self, fitted: Fitted, norm: int) -> Column:
+        prob, _ = self.model_columns[fitted.name]
+        name = f"{prob}_{norm}"
+        self.pending.setdefault(name, certainty(prob, norm, getattr(fitted, "classes", None)))
+        return F.col(name)
 
 
 def slug(value) -> str:
@@ -136,7 +149,7 @@ class FittedEntropy(FittedMeasure):
         self.norm = norm
 
     def columns(self, env):
-        return {"um_entropy": certainty("prob", self.norm, env.prob_width)}
+        return {"um_entropy": env.own_certainty(self.norm)}
 
     def displays(self):
         return {"um_entropy": "Entropy Calculator"}
@@ -191,14 +204,6 @@ class _CheckerMeasure(FittedMeasure):
         return self.checkers
 
 
-def _own_certainty(env: Env, norm: int) -> Column:
-    return certainty("prob", norm, env.prob_width)
-
-
-def _checker_certainty(fitted: Fitted, column: str, norm: int) -> Column:
-    return certainty(column, norm, getattr(fitted, "classes", None))
-
-
 class External(Measure):
     """Certainty of another model, whatever the main model says.
 
@@ -233,7 +238,7 @@ class FittedExternal(_CheckerMeasure):
             return {self.um: confidence(prob)}
         if checker.is_detector and env.main_is_detector:
             return {self.um: certainty(paired_probability(prob, pred), self.norm, 2)}
-        return {self.um: _checker_certainty(checker, prob, self.norm)}
+        return {self.um: env.checker_certainty(checker, self.norm)}
 
     def displays(self):
         kind = "Unsupervised" if self.checkers[self.name].is_detector else "Supervised"
@@ -278,11 +283,11 @@ class FittedCombined(_CheckerMeasure):
         self.um = f"um_{kind}_" + "_".join(slug(n) for n in names)
 
     def columns(self, env):
-        own = _own_certainty(env, self.norm)
+        own = env.own_certainty(self.norm)
         parts = []
         for name in self.names:
-            prob, pred = env.model_columns[name]
-            other = _checker_certainty(self.checkers[name], prob, self.norm)
+            _, pred = env.model_columns[name]
+            other = env.checker_certainty(self.checkers[name], self.norm)
             parts.append(signed_mean(own, other, F.col("pred") == F.col(pred)))
         return {self.um: V.total(parts) / F.lit(float(len(parts)))}
 
@@ -471,12 +476,13 @@ class FittedProximity(FittedMeasure):
             "noise": self.noise, "deviations": self.deviations,
         }
 
-    def noisy(self, row_id: Column, copy: Column, base: str = "__base") -> Column:
+    def noisy(self, row_id: str, copy: str, base: str = "__base") -> Column:
+        """A noisy copy; ``row_id`` and ``copy`` are SQL expressions, ``base`` a column."""
         cells = []
         for j, sd in enumerate(self.deviations):
-            u = uniform(self.noise, self.seed, row_id, copy, j)
-            cells.append(V.item(base, j) + (u * 2.0 - 1.0) * F.lit(self.width * sd))
-        return F.array(*cells)
+            u = uniform_text(self.noise, str(self.seed), row_id, copy, str(j))
+            cells.append(f"{V.at(base, j)} + ({u} * 2D - 1D) * {V.double_literal(self.width * sd)}")
+        return F.expr(f"array({', '.join(cells)})")
 
 
 def apply_proximity(df: DataFrame, measures: list[FittedProximity], scorer: Fitted, width: int) -> DataFrame:
@@ -500,7 +506,7 @@ def apply_proximity(df: DataFrame, measures: list[FittedProximity], scorer: Fitt
     wide = base.withColumn("__e", F.explode(F.concat(*tags)))
     vector = None
     for t, m in enumerate(plans):
-        cell = m.noisy(F.col("row_id"), F.col("__e.copy"))
+        cell = m.noisy("row_id", "__e.copy")
         vector = F.when(F.col("__e.tag") == t, cell) if vector is None else vector.when(F.col("__e.tag") == t, cell)
     wide = wide.withColumn("features", V.vector(vector, width, "features"))
     wide = wide.withColumn("__far", V.euclidean("features", "__base", width)).drop("__base")
@@ -663,8 +669,10 @@ def apply_measures(
     for m in fitted:
         df = m.prepare(df, env)
     out: dict[str, Column] = {}
-    for m in fitted:
-        own = m.columns(env)
+    expressions = [m.columns(env) for m in fitted]
+    if env.pending:
+        df = df.withColumns(env.pending)
+    for m, own in zip(fitted, expressions):
         for name, display in m.displays().items():
             column = own.get(name, F.col(name))
             if name.startswith("um_"):

@@ -7,6 +7,7 @@ shuffle (neighbour votes excepted).
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -27,6 +28,7 @@ from doubtline.operators.stats import Moments, covariance, moments, task_partial
 from doubtline.operators.store import read_json, write_json
 
 UNROLL_TERMS = 256
+TASK_BYTES = 32 * 1024 * 1024
 FITTED: dict[str, type] = {}
 PARALLEL_FITS = 4
 
@@ -165,23 +167,18 @@ class FittedGaussianBayes(Fitted):
             const = np.log(self.prior) - 0.5 * np.log(2.0 * np.pi * self.var).sum(axis=1)
         dense = self.labels == list(range(k))
         if dense and k * d <= UNROLL_TERMS:
-            z = [f"__z{j}" for j in range(d)]
-            x = {
-                z[j]: (V.item("features", j) - F.lit(float(self.shift[j]))) / F.lit(float(self.scale[j]))
-                for j in range(d)
-            }
-            df = df.withColumns(x)
+            lit = V.double_literal
             scores = []
             for c in range(k):
-                terms = [
-                    (F.col(z[j]) - F.lit(float(self.mean[c, j])))
-                    * (F.col(z[j]) - F.lit(float(self.mean[c, j])))
-                    / F.lit(float(2.0 * self.var[c, j]))
-                    for j in range(d)
-                ]
-                scores.append(F.lit(float(const[c])) - V.total(terms))
-            df = softmax(df, scores, prob).drop(*z)
-            return add_pred(df, prob, pred)
+                terms = [f"({lit(const[c])})"]
+                for j in range(d):
+                    x = V.at("features", j)
+                    if self.scale[j] != 1.0 or self.shift[j] != 0.0:
+                        x = f"({x} - ({lit(self.shift[j])})) / {lit(self.scale[j])}"
+                    gap = f"({x} - ({lit(self.mean[c, j])}))"
+                    terms.append(f"{gap} * {gap} / {lit(-2.0 * self.var[c, j])}")
+                scores.append(V.sum_text(terms))
+            return add_pred(softmax(df, scores, prob), prob, pred)
         labels, size = self.labels, self.classes
         mean, var, shift, scale = self.mean, self.var, self.shift, self.scale
 
@@ -218,7 +215,7 @@ class LinearDiscriminant(Model):
     def fit(self, train: DataFrame) -> FittedLinear:
         train = train.filter(F.col("label").isNotNull())
         m = moments(train, by="label")
-        n, mean, total_cov = covariance(train, ddof=0)
+        n, mean, total_cov = covariance(train, ddof=0, center=m.overall().mean[0])
         between = sum(
             (m.n[c] / n) * np.outer(m.mean[c] - mean, m.mean[c] - mean) for c in range(len(m.labels))
         )
@@ -242,9 +239,9 @@ class FittedLinear(Fitted):
         size = max(self.labels) + 1
         if self.labels == list(range(k)) and k * d <= UNROLL_TERMS:
             scores = [
-                V.total(
-                    [F.lit(float(self.bias[c]))]
-                    + [V.item("features", j) * F.lit(float(self.weights[c, j])) for j in range(d)]
+                V.sum_text(
+                    [f"({V.double_literal(self.bias[c])})"]
+                    + [f"{V.at('features', j)} * ({V.double_literal(self.weights[c, j])})" for j in range(d)]
                 )
                 for c in range(k)
             ]
@@ -337,22 +334,31 @@ class MLModel(Model):
 
     def fit(self, train: DataFrame) -> FittedML:
         train = train.filter(F.col("label").isNotNull())
-        k = class_count(train)
         prep = {"binarize": self.binarize, "low": None, "high": None}
         if self.scale:
             m = moments(train)
             prep["low"], prep["high"] = m.low[0].tolist(), m.high[0].tolist()
         frame = train.select(
             array_to_vector(prepared(prep)).alias("features"), F.col("label").cast("double").alias("label")
-        )
-        if k <= 2 or not self.per_class:
-            return FittedML(self.name, max(k, 2), prep, {"all": self.build().fit(frame)})
-
-        def one(c: int):
-            target = F.when(F.col("label") == c, 1.0).otherwise(0.0)
-            return lambda: self.build().fit(frame.withColumn("label", target))
-
-        models = run_parallel([one(c) for c in range(k)])
+        ).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            row = frame.agg(F.max("label").alias("top"), F.count(F.lit(1)).alias("n")).first()
+            if row.top is None:
+                raise ValueError("no labelled rows to fit on")
+            k = int(row.top) + 1
+            # every pass of an iterative fit pays per task: few rows need few tasks. Wide or long
+            # tables exceed this size and keep all their partitions.
+            data = frame.coalesce(max(1, math.ceil(row.n * V.width_of(train, "features") * 8 / TASK_BYTES)))
+            if k <= 2 or not self.per_class:
+                return FittedML(self.name, max(k, 2), prep, {"all": self.build().fit(data)})
+
+            def one(c: int):
+                target = F.when(F.col("label") == c, 1.0).otherwise(0.0)
+                return lambda: self.build().fit(data.withColumn("label", target))
+
+            models = run_parallel([one(c) for c in range(k)])
+        finally:
+            frame.unpersist()
         return FittedML(self.name, k, prep, {f"c{c}": m for c, m in enumerate(models)})
 
 
@@ -367,20 +373,15 @@ def prepared(prep: dict, features: str = "features") -> Column:
     return F.col(features).cast("array<double>")
 
 
-_SCRATCH = ("raw", "pred", "prob")
-
-
 def ml_probability(model, df: DataFrame, vec: str, out: str) -> DataFrame:
-    """Score with column names of our own, and keep the probability array only."""
-    names = {p: f"__{out}_{p}" for p in _SCRATCH}
+    """Add the probability vector only; the other outputs are switched off."""
     settings = {
         model.featuresCol: vec,
-        model.predictionCol: names["pred"],
-        model.rawPredictionCol: names["raw"],
-        model.probabilityCol: names["prob"],
+        model.predictionCol: "",
+        model.rawPredictionCol: "",
+        model.probabilityCol: out,
     }
-    scored = model.copy(settings).transform(df)
-    return scored.withColumn(out, vector_to_array(names["prob"])).drop(*names.values())
+    return model.copy(settings).transform(df)
 
 
 @register
@@ -389,22 +390,21 @@ class FittedML(Fitted):
         self.name, self.classes, self.prep, self.models = name, classes, prep, models
 
     def transform(self, df, prob="prob", pred="pred"):
-        vec = f"__{prob}_vec"
+        vec, raw = f"__{prob}_vec", f"__{prob}_ml"
         df = df.withColumn(vec, array_to_vector(prepared(self.prep)))
         if "all" in self.models:
-            df = ml_probability(self.models["all"], df, vec, prob)
-            df = df.withColumn(prob, V.vector(F.col(prob), self.classes, prob))
-            return add_pred(df, prob, pred).drop(vec)
+            df = ml_probability(self.models["all"], df, vec, raw)
+            df = df.withColumn(prob, V.vector(vector_to_array(raw), self.classes, prob))
+            return add_pred(df, prob, pred).drop(vec, raw)
         parts = []
         for key, model in sorted(self.models.items(), key=lambda kv: int(kv[0][1:])):
-            parts.append(f"__{prob}_{key}")
+            parts.append(f"{raw}_{key}")
             df = ml_probability(model, df, vec, parts[-1])
-        mass = f"__{prob}_mass"
-        df = df.withColumn(mass, V.total([V.item(p, 1) for p in parts]))
-        flat = 1.0 / self.classes
-        cells = [F.when(F.col(mass) > 0, V.item(p, 1) / F.col(mass)).otherwise(flat) for p in parts]
-        df = df.withColumn(prob, V.vector(F.array(*cells), self.classes, prob))
-        return add_pred(df, prob, pred).drop(vec, mass, *parts)
+        df = df.withColumn(raw, F.array(*[F.get(vector_to_array(p), F.lit(1)) for p in parts]))
+        mass, flat = V.sum_text([V.at(raw, c) for c in range(self.classes)]), 1.0 / self.classes
+        cells = [f"CASE WHEN {mass} > 0 THEN {V.at(raw, c)} / {mass} ELSE {flat}D END" for c in range(self.classes)]
+        df = df.withColumn(prob, V.vector(F.expr(f"array({', '.join(cells)})"), self.classes, prob))
+        return add_pred(df, prob, pred).drop(vec, raw, *parts)
 
     def importances(self):
         total = None

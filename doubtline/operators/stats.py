@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doubtline.functions.vectors import item, lit_vector, width_of
@@ -356,14 +356,12 @@ def gram(df: DataFrame, center: np.ndarray, features: str = "features") -> tuple
     return flat[0], flat[1 : d + 1], flat[d + 1 :].reshape(d, d)
 
 
-def covariance(df: DataFrame, features: str = "features", ddof: int = 1) -> tuple[float, np.ndarray, np.ndarray]:
-    """``(n, mean, covariance)``; centred first, to keep the digits."""
-    stats = moments(df, features=features)
-    n, first, second = gram(df, stats.mean[0], features)
+def covariance(
+    df: DataFrame, features: str = "features", ddof: int = 1, center: np.ndarray | None = None
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """``(n, mean, covariance)``; rows are centred first, to keep the digits."""
+    if center is None:
+        center = moments(df, features=features).mean[0]
+    n, first, second = gram(df, center, features)
     shift = first / n
-    return n, stats.mean[0] + shift, (second - n * np.outer(shift, shift)) / max(n - ddof, 1.0)
-
-
-def scalar(df: DataFrame, *aggs: Column):
-    """First row of a global aggregate."""
-    return df.agg(*aggs).first()
+    return n, center + shift, (second - n * np.outer(shift, shift)) / max(n - ddof, 1.0)

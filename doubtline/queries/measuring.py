@@ -190,7 +190,7 @@ def row_expansion(spark, sf):
     df = D.events(spark, sf)
     fitted = M.Proximity(10, 0.1, noise="md5").fit(M.FitContext(df, 5))
     wide = df.select("row_id", F.col("features").alias("__base"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("i"))
-    noisy = wide.select("row_id", fitted.noisy(F.col("row_id"), F.col("i")).alias("f"))
+    noisy = wide.select("row_id", fitted.noisy("row_id", "i").alias("f"))
     return rounded(
         noisy.groupBy("row_id").agg(
             F.sum(V.item("f", 0)).alias("value"), F.sum(V.item("f", 1)).alias("hour"), F.count(F.lit(1)).alias("copies")
