@@ -147,8 +147,10 @@ class FittedTails(FittedDetector):
         rows = long_form(df, "row_id")
         own = rows.groupBy("fid", "x").agg(F.count(F.lit(1)).alias("c"))
         counts = own.unionByName(self.values.select("fid", "x", "c")) if with_train else own
-        counts = counts.groupBy("fid", "x").agg(F.sum("c").alias("c"))
-        table = running_totals(counts, "x", ["c"], by=["fid"])
+        if with_train:
+            counts = counts.groupBy("fid", "x").agg(F.sum("c").alias("c"))
+        counts = materialize(counts, "tail-values")  # read by four jobs
+        table = running_totals(counts, "x", ["c"], by=["fid"], merged=True)
         size = {r.fid: r for r in bounded_collect(_weighted_skew(counts))}
         d = max(size) + 1
         n = V.lit_vector([size[j].n for j in range(d)])
@@ -167,7 +169,8 @@ class FittedTails(FittedDetector):
         else:
             cell = F.greatest(skewed, F.col("left"), F.col("right"))
         table = table.select("fid", "x", cell.alias("u"))
-        scored = lookup(rows, table, ["fid", "x"]).groupBy("row_id").agg(F.sum("u").alias(out))
+        total = int(sum(r.n for r in size.values()))
+        scored = lookup(rows, table, ["fid", "x"], total, counts).groupBy("row_id").agg(F.sum("u").alias(out))
         return df.join(scored, "row_id")
 
     def params(self):

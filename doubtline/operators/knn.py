@@ -202,6 +202,7 @@ def _pivot_join(query, ref, k, query_id, ref_id, features, carry, exclude_self,
     base = _reference(ref, ref_id, features, carry)
     need = k + 1 if exclude_self else k
     count = pivots or int(min(2048, max(8, math.sqrt(rows))))
+    block_rows = max(block_rows, math.ceil(rows / 1_000_000))  # block summaries stay small
     cells = _Cells(pick_pivots(base, count))
     check_values(cells.pivots.size, "pivots")
     pivot_state = sc.broadcast(cells)

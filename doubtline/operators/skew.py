@@ -16,6 +16,7 @@ def lookup(
     right: DataFrame,
     keys: list[str],
     rows: int | None = None,
+    counts: DataFrame | None = None,
     hot_share: float = HOT_SHARE,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -23,14 +24,17 @@ def lookup(
 
     Keys that hold more than ``hot_share`` of the left rows (at most ``1 / hot_share`` of them)
     are joined by broadcasting their few right rows; all others go through the shuffle, where
-    none of them is large. Small tables are left to the planner.
+    none of them is large. Small tables are left to the planner. ``counts`` may give the left
+    rows per key (``keys..., c``) where they are known already.
     """
     if rows is None:
         rows = left.count()
     if rows <= hot_rows:
         return left.join(right, keys)
     bar = max(rows * hot_share, 1.0)
-    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > bar).select(*keys)
+    if counts is None:
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+    hot = counts.filter(F.col("c") > bar).select(*keys)
     found = bounded_collect(hot, limit=int(1 / hot_share) + 1, what="hot keys")
     if not found:
         return left.join(right, keys)

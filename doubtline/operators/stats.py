@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doubtline.functions.vectors import item, lit_vector, width_of
+from doubtline.functions.vectors import double_literal, item, width_of
 from doubtline.operators.bounded import bounded_collect, check_values
 
 WIDE_LIMIT = 32
@@ -120,8 +120,8 @@ def exact_quantile(
 ) -> dict:
     """``{group: [quantile of each feature]}``, exact, linear between ranks.
 
-    Groups of at most ``small`` rows use the built-in exact ``percentile``, whose buffer is then
-    bounded. Larger ones are narrowed first: a quantile sketch brackets the two ranks wanted, the
+    Groups of at most ``small`` values use the built-in exact ``percentile``, whose buffers are
+    then bounded. Larger ones are narrowed first: a quantile sketch brackets the two ranks wanted, the
     bracket is verified by counting, and only the values inside go on. Two or three passes bring
     any size below ``small``; no task ever holds a whole group.
     """
@@ -131,7 +131,7 @@ def exact_quantile(
     if group_rows is None:
         counts = bounded_collect(base.groupBy("__g").agg(F.count(F.lit(1)).alias("n")))
         group_rows = max((r.n for r in counts), default=0)
-    if group_rows <= small:
+    if group_rows * d <= small:
         if d <= WIDE_LIMIT:
             aggs = [F.percentile(item("__f", j), F.lit(probability)).alias(f"q{j}") for j in range(d)]
             rows = bounded_collect(base.groupBy("__g").agg(*aggs))
@@ -257,6 +257,19 @@ def column_quantile(df: DataFrame, column: str, probability: float, small: int =
 # --- exact running totals without a global sort in one task --------------------------------
 
 
+def range_text(column: str, cuts: list[float]) -> str:
+    """Number of cut points below a column, as a balanced tree of comparisons."""
+    points = sorted(set(cuts))
+
+    def node(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"if({column} > {double_literal(points[mid])}, {node(mid + 1, hi)}, {node(lo, mid)})"
+
+    return node(0, len(points))
+
+
 def running_totals(
     df: DataFrame,
     order: str,
@@ -264,17 +277,19 @@ def running_totals(
     by: list[str] | None = None,
     descending: bool = False,
     buckets: int | None = None,
+    merged: bool = False,
 ) -> DataFrame:
     """Running sums of ``sums`` in the order of a numeric column, one row per distinct value.
 
     Equal values are merged first, so a value that holds a third of all rows is one row
     afterwards. Value ranges (cut points from a sketch) are then totalled, their offsets, a
-    bounded table, are broadcast, and each range is summed by its own task.
+    bounded table, are broadcast, and each range is summed by its own task. ``merged`` tells that
+    ``df`` has one row per value already; the ranges then hold equal numbers of values.
     """
     by = by or []
     spark = df.sparkSession
-    merged = df.groupBy(*by, order).agg(*[F.sum(s).alias(s) for s in sums])
-    buckets = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    values = df if merged else df.groupBy(*by, order).agg(*[F.sum(s).alias(s) for s in sums])
+    buckets = buckets or min(1024, max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = bounded_collect(
         df.groupBy(*by).agg(F.percentile_approx(order, shares, 10_000).alias("__cuts")),
@@ -285,13 +300,11 @@ def running_totals(
     if by:
         cut_schema = f"{schema}, __cuts array<double>"
         rows = [tuple(r[b] for b in by) + ([float(c) for c in r["__cuts"] or []],) for r in cuts]
-        ranged = merged.join(F.broadcast(spark.createDataFrame(rows, cut_schema)), by)
-        cut_col = F.col("__cuts")
+        ranged = values.join(F.broadcast(spark.createDataFrame(rows, cut_schema)), by)
+        below = F.filter("__cuts", lambda c: c < F.col(order))
+        ranged = ranged.withColumn("__range", F.size(below)).drop("__cuts")
     else:
-        ranged = merged
-        cut_col = lit_vector([c for c in (cuts[0]["__cuts"] or [])] if cuts else [0.0])
-    above = F.filter(cut_col, lambda c: c < F.col(order))
-    ranged = ranged.withColumn("__range", F.size(above)).drop("__cuts")
+        ranged = values.withColumn("__range", F.expr(range_text(order, cuts[0]["__cuts"] or [])))
     totals = ranged.groupBy(*by, "__range").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
     direction = F.col("__range").desc() if descending else F.col("__range").asc()
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(direction).rowsBetween(

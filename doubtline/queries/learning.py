@@ -232,8 +232,9 @@ def report_sink(spark, sf):
     learn_from_tables(
         spark, _batch(spark, sf), out=out, min_accuracy=0.15, candidates=[make_model("RF", trees=10, depth=6)], ratios=(None,)
     )
-    metrics = spark.read.parquet(f"{out}/metrics").select("model", "mcc", "train_rows")
-    return rounded(spark.read.parquet(f"{out}/importances").join(F.broadcast(metrics), F.lit(True)))
+    chosen = spark.read.parquet(f"{out}/metrics").first()
+    table = spark.read.parquet(f"{out}/importances")
+    return rounded(table.withColumns({"model": F.lit(chosen.model), "mcc": F.lit(chosen.mcc), "train_rows": F.lit(chosen.train_rows)}))
 
 
 @query("m14_ablation_grid")
