@@ -298,13 +298,13 @@ class RobustCovariance(Detector):
         self.support, self.steps = support, steps
 
     def learn(self, train):
-        n, mean, cov = covariance(train, ddof=1)
+        n, mean, cov = covariance(train, ddof=1)  # each step below is two passes
         last = math.inf
         for _ in range(self.steps):
             ellipse = FittedEllipse(mean, np.linalg.pinv(cov))
             scored = ellipse.score(train.select("features"), "__d")
-            cut = column_quantile(scored, "__d", self.support)
-            _, mean, cov = covariance(scored.filter(F.col("__d") <= cut), ddof=1)
+            cut = column_quantile(scored, "__d", self.support, rows=n)
+            _, mean, cov = covariance(scored.filter(F.col("__d") <= cut), ddof=1, center=mean)
             size = np.linalg.slogdet(cov)[1]
             if not size < last - 1e-9:
                 break

@@ -247,11 +247,13 @@ def _bracketed_quantile(long: DataFrame, p: float, small: int) -> dict:
     }
 
 
-def column_quantile(df: DataFrame, column: str, probability: float, small: int = SMALL_GROUP) -> float:
-    """Exact quantile of one numeric column."""
+def column_quantile(
+    df: DataFrame, column: str, probability: float, small: int = SMALL_GROUP, rows: float | None = None
+) -> float:
+    """Exact quantile of one numeric column; ``rows`` saves a count where it is known."""
     x = F.col(column).cast("double")
     frame = df.select(F.array(x).alias("features", metadata={"width": 1}))
-    return exact_quantile(frame, probability, small=small)[None][0]
+    return exact_quantile(frame, probability, small=small, group_rows=rows)[None][0]
 
 
 # --- exact running totals without a global sort in one task --------------------------------

@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def _plain(value):
@@ -18,7 +19,7 @@ def _plain(value):
 
 def write_json(spark: SparkSession, path: str, value) -> None:
     text = json.dumps(value, default=_plain)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    spark.range(0, 1, 1, 1).select(F.lit(text).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_json(spark: SparkSession, path: str):
