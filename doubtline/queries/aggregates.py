@@ -17,15 +17,21 @@ from doubtline.queries.data import certainty_sql, nb_sql, uniform_sql, with_sql
 from doubtline.queries.registry import query, rounded
 from doubtline.sources import tables as T
 
-# half-width of a Student-t interval in standard errors, for at least 1000 rows
+# normal quantiles the series starts from
 Z = {0.9: 1.6448536269514722, 0.5: 0.6744897501960817}
 
 
 def t_sql(level: float, nu: str) -> str:
-    z = f"{Z[level]}"
-    return (
-        f"({z} + (pow({z}, 3) + {z}) / (4 * {nu}) + (5 * pow({z}, 5) + 16 * pow({z}, 3) + 3 * {z}) / (96 * {nu} * {nu}))"
-    )
+    """Student-t quantile by its asymptotic series up to the fourth power of 1 / nu."""
+    z = Z[level]
+    terms = [
+        z,
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    ]
+    return "(" + " + ".join(f"({t!r}) / pow({nu}, {i})" for i, t in enumerate(terms)) + ")"
 
 
 def bounds_sql(name: str, level: float, by_class: bool, scale: str = "sem", rows: str = "base") -> str:
