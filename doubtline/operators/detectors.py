@@ -14,6 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +63,10 @@ class Detector(Model):
         scores = fitted.train_scores(train)
         if fitted.costly:
             scores = materialize(scores.select("score"), "detector-scores")
-        fitted.threshold = column_quantile(scores, "score", 1.0 - self.contamination)
-        row = scores.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+        row = scores.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("score").alias("n")).first()
+        if not row.n:
+            raise ValueError("no rows to fit on")
+        fitted.threshold = column_quantile(scores, "score", 1.0 - self.contamination, rows=row.n)
         fitted.low, fitted.high = row.lo - fitted.threshold, row.hi - fitted.threshold
         return fitted
 
@@ -298,17 +301,20 @@ class RobustCovariance(Detector):
         self.support, self.steps = support, steps
 
     def learn(self, train):
-        n, mean, cov = covariance(train, ddof=1)  # each step below is two passes
-        last = math.inf
-        for _ in range(self.steps):
-            ellipse = FittedEllipse(mean, np.linalg.pinv(cov))
-            scored = ellipse.score(train.select("features"), "__d")
-            cut = column_quantile(scored, "__d", self.support, rows=n)
-            _, mean, cov = covariance(scored.filter(F.col("__d") <= cut), ddof=1, center=mean)
-            size = np.linalg.slogdet(cov)[1]
-            if not size < last - 1e-9:
-                break
-            last = size
+        rows = train.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n, mean, cov = covariance(rows, ddof=1)
+            last = math.inf
+            for _ in range(self.steps):  # two passes each
+                scored = FittedEllipse(mean, np.linalg.pinv(cov)).score(rows, "__d")
+                cut = column_quantile(scored, "__d", self.support, rows=n)
+                _, mean, cov = covariance(scored.filter(F.col("__d") <= cut), ddof=1, center=mean)
+                size = np.linalg.slogdet(cov)[1]
+                if not size < last - 1e-9:
+                    break
+                last = size
+        finally:
+            rows.unpersist()
         return FittedEllipse(mean, np.linalg.pinv(cov))
 
 

@@ -7,6 +7,8 @@ Only the weights travel; the table stays where it is.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -18,6 +20,8 @@ from doubtline.operators.bounded import bounded_collect, check_values
 from doubtline.operators.stats import covariance, moments
 
 SPARSE_PENALTY = 1e-4
+TASK_BYTES = 32 * 1024 * 1024
+DIRECT_VALUES = 2_000_000
 
 
 def bottleneck(d: int) -> int:
@@ -124,7 +128,11 @@ def train_autoencoder(
     span = np.where(high > low, high - low, 1.0)
     shift = np.where(high > low, low, 0.0)
     rows = train.filter(hash_uniform(seed, F.col("row_id")) < train_split)
-    rows = rows.select(F.col("features").cast("array<double>").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    stored = rows.select(F.col("features").cast("array<double>").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    # few rows need few tasks; large tables keep all their partitions
+    tasks = max(1, math.ceil(stored.count() * d * 8 / TASK_BYTES))
+    rows = stored.coalesce(tasks)
+    direct = tasks * (3 * size + 3) <= DIRECT_VALUES
     chunk = max(batch, 65536)
     state = np.concatenate([initial(sizes, seed), np.zeros(2 * size)])
     sc = train.sparkSession.sparkContext
@@ -163,10 +171,15 @@ def train_autoencoder(
                     yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], ["part"])
 
             parts = rows.mapInArrow(run, "part array<double>")
-            summed = parts.select(F.posexplode("part").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
             flat = np.zeros(3 + 3 * size)
-            for r in bounded_collect(summed, limit=len(flat), what="autoencoder weights"):
-                flat[r.pos] = r.v
+            if direct:  # at most ``tasks`` rows of weights
+                for part in parts.toArrow().column("part").to_pylist():
+                    flat += np.array(part)
+            else:
+                long = parts.select(F.posexplode("part").alias("pos", "v"))
+                summed = long.groupBy("pos").agg(F.sum("v").alias("v"))
+                for r in bounded_collect(summed, limit=len(flat), what="autoencoder weights"):
+                    flat[r.pos] = r.v
             shared.unpersist()
             if flat[0] == 0:
                 raise ValueError("no rows to train the autoencoder on")
@@ -174,7 +187,7 @@ def train_autoencoder(
             step += max(1, round(flat[1] / flat[0]))
             history.append(flat[2] / flat[0])
     finally:
-        rows.unpersist()
+        stored.unpersist()
     return state[:size], sizes, history
 
 

@@ -139,15 +139,15 @@ def run_experiment(spark, sf):
 
 @query("m09_supervised_preset")
 def supervised(spark, sf):
-    df = D.events(spark, sf).select("row_id", "features", "label").cache()
+    df = D.documents(spark, sf).select("row_id", "features", "label").cache()
     scored, model = D.scored(df)
-    monitor = supervised_preset().fit(scored.cache(), model, names=D.EVENT_TYPES)
+    monitor = supervised_preset().fit(scored.cache(), model, names=["clean", "toxic"])
     return rounded(monitor.measure(scored).select("row_id", *monitor.um_columns))
 
 
 @query("m10_unsupervised_preset")
 def unsupervised(spark, sf):
-    df = D.events(spark, sf).select("row_id", "features").cache()
+    df = D.documents(spark, sf).select("row_id", "features").cache()
     main = make_model("HBOS", 0.1).fit(df)
     scored = main.transform(df).cache()
     monitor = unsupervised_preset(0.1).fit(scored, main, names=["normal", "anomaly"])
