@@ -145,7 +145,7 @@ level2 AS (SELECT key, tree, arg_min(child, (draw, child)) AS node FROM ({draw2}
 level3 AS (SELECT key, tree, split_part(arg_min(child, (draw, child)), '/', 3)::INT AS shard FROM ({draw3}) GROUP BY key, tree),
 placed AS (
   SELECT d.*, a.shard, b.shard AS grown_shard,
-         ('0x' || substr(md5(concat_ws('|', 'slot', key, size, text_crc32, a.shard, b.shard)), 1, {digits}))::BIGINT
+         ('0x' || substr(md5(concat_ws('|', 'slot', d.key, size, text_crc32, a.shard, b.shard)), 1, {digits}))::BIGINT
            % greatest(1, ceil((SELECT count(*) FROM documents) / {slot_rows}.0)::BIGINT) AS part
   FROM docs d JOIN level3 a ON a.key = d.key AND a.tree = 0 JOIN level3 b ON b.key = d.key AND b.tree = 1)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
