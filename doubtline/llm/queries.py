@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doubtline.llm import byte_bpe, repetition, sharding, simhash, token_counts
+from doubtline.llm import byte_bpe, quality, repetition, sharding, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_repetition_rules(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.repetition_rules(_table(spark, sf, "documents"))
 
 
+def op3_subword_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    return quality.score_quality(docs, quality.train(docs, _table(spark, sf, "labels")))
+
+
 def op4_hash_tree_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf, "documents"))
 
@@ -33,6 +38,11 @@ def op6_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(_table(spark, sf, "documents"), path, pattern), path, pattern))
 
 
+def op8_restored_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, _table(spark, sf, "labels"), toxicity.char_model(docs)))
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     counted = token_counts.count_tokens(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -42,9 +52,11 @@ PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_repetition_rules,
+        op3_subword_quality,
         op4_hash_tree_shards,
         op5_simhash_golay,
         op6_byte_bpe,
+        op8_restored_toxicity,
         op9_token_counts,
     )
 }
