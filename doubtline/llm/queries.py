@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doubtline.llm import byte_bpe, quality, repetition, sharding, simhash, token_counts, toxicity
+from doubtline.llm import byte_bpe, quality, repetition, sharding, simhash, substrings, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_repetition_rules(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.repetition_rules(_table(spark, sf, "documents"))
 
 
+def op2_repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    found = substrings.remove_repeats(_table(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_subword_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     return quality.score_quality(docs, quality.train(docs, _table(spark, sf, "labels")))
@@ -52,6 +57,7 @@ PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_repetition_rules,
+        op2_repeated_substrings,
         op3_subword_quality,
         op4_hash_tree_shards,
         op5_simhash_golay,
