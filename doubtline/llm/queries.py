@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doubtline.llm import byte_bpe, quality, repetition, sharding, simhash, substrings, token_counts, toxicity
+from doubtline.llm import byte_bpe, html_text, quality, repetition, sharding, simhash, substrings, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op10_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _table(spark, sf, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,6 +69,7 @@ PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_byte_bpe,
         op8_restored_toxicity,
         op9_token_counts,
+        op10_html_main_text,
     )
 }
 
