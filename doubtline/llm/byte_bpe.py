@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -52,14 +53,8 @@ def encode(docs: DataFrame, path: str, pattern: str, part_chars: int = PART_CHAR
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = encoding(path, pattern)
-        ids = []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            if len(text) <= part_chars:
-                ids.append(own.encode_ordinary(text))
-            else:
-                ids.append([i for part in parts(text, part_chars) for i in own.encode_ordinary(part)])
-        return frame_batch(schema, doc_id=batch.column("doc_id"), ids=ids)
+        ids = [np.concatenate([own.encode_to_numpy(part, disallowed_special=()) for part in parts(t or "", part_chars)]) for t in batch.column("text").to_pylist()]
+        return frame_batch(schema, doc_id=batch.column("doc_id"), ids=[x.astype(np.int32) for x in ids])
 
     return map_batches(id_and_text(docs), run, "doc_id long, ids array<int>")
 
@@ -74,7 +69,8 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = encoding(path, pattern)
         ids = batch.column("ids")
-        return frame_batch(schema, doc_id=batch.column("doc_id"), ids=ids, decoded=[own.decode_bytes(i or []) for i in ids.to_pylist()])
+        decoded = [own.decode_bytes(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in ids]
+        return frame_batch(schema, doc_id=batch.column("doc_id"), ids=ids, decoded=decoded)
 
     return map_batches(tokens.select("doc_id", "ids"), run, "doc_id long, ids array<int>, decoded binary")
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DOC_ID, TEXT = "doc_id", "text"
 
@@ -23,14 +24,19 @@ def id_and_text(docs: DataFrame, null_text: str | None = None) -> DataFrame:
     return docs.select(F.col(DOC_ID).cast("long").alias(DOC_ID), (text if null_text is None else F.coalesce(text, F.lit(null_text))).alias(TEXT))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``fn`` over every Arrow batch, in the tasks; a batch holds at most about 64 MB or one row."""
+SLICE_BYTES = 1 << 22
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
+    """``fn`` over Arrow batches in the tasks, about 4 MB or one row at a time, so Python objects of few rows exist at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if out is not None and out.num_rows:
-                yield out
+            step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, SLICE_BYTES))
+            for start in range(0, batch.num_rows, step):
+                out = fn(batch.slice(start, step))
+                if out is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
