@@ -75,12 +75,13 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_batches(tokens.select("doc_id", "ids"), run, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of what ``decode`` returns."""
+def digests(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``, and ``ids`` if asked for, of what ``decode`` returns."""
     ids = F.coalesce("ids", F.array().cast("array<int>"))
     return decoded.select(
         "doc_id",
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *([F.col("ids")] if keep_ids else []),
     )

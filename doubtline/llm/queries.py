@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doubtline.llm import byte_bpe, html_text, quality, repetition, sharding, simhash, substrings, token_counts, toxicity
+from doubtline.llm import byte_bpe, decontaminate, html_text, quality, repetition, sharding, simhash, substrings, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -43,6 +44,10 @@ def op6_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(_table(spark, sf, "documents"), path, pattern), path, pattern))
 
 
+def op7_benchmark_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 def op8_restored_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     return toxicity.score_toxicity(docs, toxicity.train(docs, _table(spark, sf, "labels"), toxicity.char_model(docs)))
@@ -67,11 +72,12 @@ PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_hash_tree_shards,
         op5_simhash_golay,
         op6_byte_bpe,
+        op7_benchmark_leaks,
         op8_restored_toxicity,
         op9_token_counts,
         op10_html_main_text,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 
 def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -79,4 +85,5 @@ def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def sql() -> dict[str, str]:
-    return {"op1_repetition_rules": repetition.rules_sql(), "op4_hash_tree_shards": sharding.shards_sql()}
+    known = {"op1_repetition_rules": repetition.rules_sql(), "op4_hash_tree_shards": sharding.shards_sql(), "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: statement for name, statement in known.items() if statement}

@@ -330,13 +330,13 @@ def removed_bytes(starts: list[int], spans: list[int], length: int = LENGTH) ->
     return a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]
 
 
-def _cut(raw: bytes, ranges: list[dict] | None, length: int) -> tuple[bytes, int, int]:
-    """The bytes that are left, the bytes removed, and the number of runs removed."""
+def _cut(raw: bytes, ranges: list[dict] | None, length: int) -> tuple[list[bytes], int, int]:
+    """The pieces that are left, the bytes removed, and the number of runs removed."""
     if not ranges:
-        return raw, 0, 0
+        return [raw], 0, 0
     first, end = removed_bytes([r["start"] for r in ranges], [r["span"] for r in ranges], length)
     kept = [raw[a:b] for a, b in zip([0, *end.tolist()], [*first.tolist(), len(raw)], strict=True)]
-    return b"".join(kept), int((end - first).sum()), len(first)
+    return kept, int((end - first).sum()), len(first)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **limits) -> DataFrame:
@@ -355,7 +355,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **li
         raw = [t.encode() for t in batch.column("text").to_pylist()]
         cut = [_cut(r, x, length) for r, x in zip(raw, batch.column("ranges").to_pylist(), strict=True)]
         ids = [None if i == -(2**63) else i for i in batch.column("did").to_pylist()]
-        return frame_batch(schema, doc_id=ids, n_bytes=[len(r) for r in raw], n_removed=[c[1] for c in cut], n_spans=[c[2] for c in cut], kept=[c[0] for c in cut])
+        return frame_batch(schema, doc_id=ids, n_bytes=[len(r) for r in raw], n_removed=[c[1] for c in cut], n_spans=[c[2] for c in cut], kept=[b"".join(c[0]) for c in cut])
 
     return map_batches(keyed.join(lists, KEY, "left"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
@@ -373,7 +373,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **l
 
     @F.pandas_udf("string")
     def left(texts, ranges):
-        return texts.combine(ranges, lambda t, r: t if r is None else _cut(t.encode(), list(r), length)[0].decode("utf-8", "ignore"))
+        return texts.combine(ranges, lambda t, r: "".join(k.decode("utf-8", "ignore") for k in _cut(t.encode(), list(r), length)[0]))
 
     gone = F.col("__ranges").isNotNull()
     out = joined.withColumn("text", F.when(gone, left(F.col("text"), F.col("__ranges"))).otherwise(F.col("text"))).filter(~gone | (F.trim(F.col("text")) != ""))
