@@ -25,7 +25,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -36,6 +36,7 @@ from doubtline.session import materialize
 
 DIGITS = 9
 WINDOW_LIMIT = 1000  # up to here Spark prunes row_number() <= k before the shuffle
+SALTS = 64
 
 
 def valid_k(k, default: int = 19) -> int:
@@ -98,9 +99,14 @@ def nearest(
 
 
 def drop_surplus_copies(ref: DataFrame, k: int, ref_id: str, features: str) -> DataFrame:
-    """Keep the k smallest ids of each distinct vector."""
+    """Keep the k smallest ids of each distinct vector.
+
+    Below ``WINDOW_LIMIT`` Spark cuts each task's part to k rows before the shuffle. Beyond it the copies
+    are first cut in salted groups, so that a hot vector isn't ranked by one task.
+    """
     if k >= WINDOW_LIMIT:
-        return ref
+        salted = Window.partitionBy(features, F.pmod(F.xxhash64(ref_id), F.lit(SALTS))).orderBy(ref_id)
+        ref = ref.withColumn("__copy", F.row_number().over(salted)).filter(F.col("__copy") <= k).drop("__copy")
     rank = F.row_number().over(Window.partitionBy(features).orderBy(ref_id))
     return ref.withColumn("__copy", rank).filter(F.col("__copy") <= k).drop("__copy")
 
@@ -267,8 +273,10 @@ def _pivot_join(query, ref, k, query_id, ref_id, features, carry, exclude_self,
         offsets = np.searchsorted(qi, np.arange(len(q) + 1)).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(block.astype(np.int32)))
 
-    asked = query.select(F.col(query_id).alias("__qid"), F.col(features).cast("array<double>").alias("__qf"))
-    sent = asked.select("__qid", "__qf", F.explode(routes("__qf")).alias("__block"))
+    # an id may stand on several rows with vectors of their own: a row is known by both
+    vector = F.col(features).cast("array<double>")
+    asked = query.select(F.col(query_id).alias("__qid"), F.xxhash64(vector).alias("__qk"), vector.alias("__qf"))
+    sent = asked.select("__qid", "__qk", "__qf", F.explode(routes("__qf")).alias("__block"))
     load = bounded_collect(
         sent.groupBy("__block").agg(F.count(F.lit(1)).alias("n")), limit=2_000_000, what="blocks"
     )
@@ -278,51 +286,68 @@ def _pivot_join(query, ref, k, query_id, ref_id, features, carry, exclude_self,
         )
     )
     sent = sent.join(copies, "__block").withColumn(
-        "__copy", F.pmod(F.xxhash64("__qid"), F.col("__copies")).cast("int")
+        "__copy", F.pmod(F.xxhash64("__qid", "__qk"), F.col("__copies")).cast("int")
     )
     blocks = blocks.join(copies, "__block").withColumn(
         "__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))
     )
     carried = [f"__c_{c}" for c in carry]
     out_schema = T.StructType(
-        [T.StructField("__qid", query.schema[query_id].dataType), T.StructField("__dist", T.DoubleType())]
+        [T.StructField("__qid", query.schema[query_id].dataType), T.StructField("__qk", T.LongType())]
+        + [T.StructField("__dist", T.DoubleType())]
         + [T.StructField("__rid", ref.schema[ref_id].dataType)]
         + [T.StructField(f"__c_{c}", ref.schema[c].dataType) for c in carry]
     )
 
     def partial(q: pa.Table, r: pa.Table) -> pa.Table:
+        # equal rows ask once; all of them are in this group
+        asked_by = zip(q.column("__qid").to_pylist(), q.column("__qk").to_pylist(), strict=True)
+        q = q.take(pa.array(list({t: i for i, t in enumerate(asked_by)}.values()), pa.int64()))
         q_ids, r_ids = q.column("__qid").to_numpy(), r.column("__rid").to_numpy()
+        q_keys = q.column("__qk").to_numpy()
         names = out_schema.fieldNames()
         if len(q_ids) == 0 or len(r_ids) == 0:
             return pa.table([pa.array([], to_arrow_type(f.dataType)) for f in out_schema], names=names)
         qi, ri, dist = nearest(
             to_matrix(q.column("__qf")), to_matrix(r.column("__rf")), r_ids, k, q_ids if exclude_self else None
         )
-        cells_out = [pa.array(q_ids[qi]), pa.array(dist), pa.array(r_ids[ri])]
+        cells_out = [pa.array(q_ids[qi]), pa.array(q_keys[qi]), pa.array(dist), pa.array(r_ids[ri])]
         pick = pa.array(ri)
         cells_out += [r.column(c).combine_chunks().take(pick) for c in carried]
         return pa.table(cells_out, names=names)
 
-    grouped = sent.select("__block", "__copy", "__qid", "__qf").groupBy("__block", "__copy")
+    grouped = sent.select("__block", "__copy", "__qid", "__qk", "__qf").groupBy("__block", "__copy")
     stored = blocks.select("__block", "__copy", "__rid", "__rf", *carried).groupBy("__block", "__copy")
     partials = grouped.cogroup(stored).applyInArrow(partial, out_schema)
-    order = Window.partitionBy("__qid").orderBy(F.round("__dist", DIGITS), "__rid")
+    order = Window.partitionBy("__qid", "__qk").orderBy(F.round("__dist", DIGITS), "__rid")
     best = partials.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= k)
     entry = F.struct(
         F.col("__dist").alias("dist"),
         F.col("__rid").alias("ref_id"),
         *[F.col(f"__c_{c}").alias(c) for c in carry],
     )
-    lists = best.groupBy("__qid").agg(F.collect_list(F.struct("__rank", entry.alias("e"))).alias("l"))
+    lists = best.groupBy("__qid", "__qk").agg(F.collect_list(F.struct("__rank", entry.alias("e"))).alias("l"))
     ranked = F.transform(F.array_sort("l"), lambda s: s["e"])
-    lists = lists.select(F.col("__qid").alias(query_id), ranked.alias("nn"))
-    return query.join(lists, query_id, "left")
-
-
-def reference_bytes(ref: DataFrame, features: str) -> tuple[int, int]:
-    row = ref.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.size(features).cast("long") * 8 + 24).alias("b")
-    ).first()
+    lists = lists.select("__qid", "__qk", ranked.alias("nn"))
+    mine = F.col(query_id).eqNullSafe(F.col("__qid")) & (F.xxhash64(vector) == F.col("__qk"))
+    empty = F.array().cast(_nn_type(ref, ref_id, carry))
+    joined = query.join(lists, mine, "left").drop("__qid", "__qk")
+    return joined.withColumn("nn", F.coalesce("nn", empty))
+
+
+def column_bytes(name: str, kind: T.DataType) -> Column:
+    """About the bytes of a value once it is on the driver and in every task."""
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.size(name).cast("long") * 8, F.lit(0)) + 24
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name).cast("long"), F.lit(0)) + 16
+    return F.lit(16).cast("long")
+
+
+def reference_bytes(ref: DataFrame, *columns: str) -> tuple[int, int]:
+    """Rows, and the bytes of the vectors and of everything carried with them."""
+    size = sum((column_bytes(c, ref.schema[c].dataType) for c in columns), F.lit(16).cast("long"))
+    row = ref.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
     return row.n, row.b or 0
 
 
@@ -347,8 +372,8 @@ def knn_join(
         raise ValueError("k must be at least 1")
     ref = ref.select(*dict.fromkeys([ref_id, features, *carry]))
     slim = drop_surplus_copies(ref, k + 1 if exclude_self else k, ref_id, features)
-    rows, size = reference_bytes(ref, features)
-    if size * (1 + len(carry)) <= broadcast_bytes:
+    rows, size = reference_bytes(ref, *dict.fromkeys([features, *carry]))
+    if size <= broadcast_bytes:
         joined = _broadcast_join(query, ref, k, query_id, ref_id, features, carry, exclude_self)
     else:
         joined = _pivot_join(

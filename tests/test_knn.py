@@ -81,3 +81,43 @@ def test_hashing_recall_and_k(spark):
     want = {(q, i) for q, _, i in brute(x, x, 5)}
     assert len(got & want) / len(want) >= 0.9
     assert valid_k("7") == 7 and valid_k("many") == 19 and valid_k(None) == 19
+
+
+def test_both_forms_agree_on_repeated_ids(spark):
+    """An id may stand on several rows, some of them equal: each row has the neighbours of its own vector."""
+    rng = np.random.default_rng(5)
+    ref = vectors(spark, rng.normal(size=(200, 2)))
+    rows = [(i % 60, rng.normal(size=2).round(2).tolist()) for i in range(120)]
+    rows += rows[:10]
+    query = spark.createDataFrame(rows, "row_id bigint, features array<double>")
+
+    def answers(form):
+        out = knn_join(query, ref, 5, **FORMS[form]).collect()
+        return sorted((r.row_id, tuple(r.features), tuple((e.ref_id, round(e.dist, 9)) for e in r.nn)) for r in out)
+
+    want = answers("broadcast")
+    assert len(want) == 130 and answers("pivots") == want and answers("one_pivot") == want
+
+
+def test_an_empty_reference_gives_empty_lists(spark):
+    ref = vectors(spark, np.zeros((3, 2))).filter("row_id > 10")
+    query = vectors(spark, np.ones((2, 2)))
+    assert [r.nn for r in knn_join(query, ref, 2).collect()] == [[], []]
+
+
+def test_carried_columns_count_for_the_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from doubtline.operators.knn import reference_bytes
+
+    df = vectors(spark, np.zeros((10, 2))).withColumn("prob", F.array_repeat(F.lit(0.1), 10_000)).withColumn("note", F.repeat(F.lit("x"), 500))
+    rows, size = reference_bytes(df, "features", "prob", "note")
+    assert rows == 10 and 10 * 80_500 < size < 10 * 81_000
+
+
+def test_copies_are_cut_for_any_k(spark):
+    from doubtline.operators.knn import drop_surplus_copies
+
+    df = vectors(spark, np.zeros((3000, 2))).union(vectors(spark, np.ones((5, 2)), start=3000))
+    kept = drop_surplus_copies(df, 1200, "row_id", "features").collect()
+    assert sorted(r.row_id for r in kept) == [*range(1200), *range(3000, 3005)]
