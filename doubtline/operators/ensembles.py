@@ -12,6 +12,7 @@ from doubtline.functions.hashing import md5_uniform
 from doubtline.functions.prob import argmax, confidence
 from doubtline.operators.models import Fitted, Model, add_pred, class_count, load_fitted, register, run_parallel
 from doubtline.operators.sampling import feature_subsets, slice_features
+from doubtline.operators.stats import column_quantile
 from doubtline.session import materialize
 
 
@@ -171,6 +172,12 @@ class ConfidenceBoosting(Model):
         self.sampling_ratio, self.contamination, self.conf_thr = sampling_ratio, contamination, conf_thr
         self.name = f"ConfidenceBooster({members}-{conf_thr}-{self.learning_rate}-{sampling_ratio})"
 
+    def threshold(self, scored: DataFrame) -> float:
+        """The confidence below which a row counts as unsure: fixed, or such that ``contamination`` of the rows are."""
+        if not self.contamination:
+            return self.conf_thr
+        return column_quantile(scored.select(confidence("__p").alias("c")), "c", self.contamination)
+
     def fit(self, train: DataFrame) -> FittedConfidenceBoosting:
         classes = 2 if self.base.is_detector else max(2, class_count(train))
         keep = [c for c in ("row_id", "features", "label") if c in train.columns]
@@ -184,7 +191,7 @@ class ConfidenceBoosting(Model):
             members.append(member)
             if i + 1 < self.members:
                 scored = member.transform(rows, "__p", "__y")
-                unsure = confidence("__p") < F.lit(self.conf_thr)
+                unsure = confidence("__p") < F.lit(self.threshold(scored))
                 weight = F.when(unsure, F.col("__w") * F.lit(self.learning_rate)).otherwise(F.col("__w"))
                 rows = materialize(scored.select(*keep, weight.alias("__w")), "boost-weights")
         return FittedConfidenceBoosting(self.name, classes, [None] * len(members), members)

@@ -11,6 +11,7 @@ Direction: for all measures a larger value means more trust, except for ``um_knn
 
 from __future__ import annotations
 
+import hashlib
 import os
 from dataclasses import dataclass, field
 
@@ -33,7 +34,7 @@ from doubtline.operators.store import read_json, write_json
 
 @dataclass
 class FitContext:
-    """What measures are fitted on; equal checkers are fitted once."""
+    """What measures are fitted on; checkers with equal parameters are fitted once."""
 
     train: DataFrame
     classes: int
@@ -42,9 +43,14 @@ class FitContext:
     cache: dict[str, Fitted] = field(default_factory=dict)
 
     def fit_model(self, model: Model) -> Fitted:
-        if model.name not in self.cache:
-            self.cache[model.name] = model.fit(self.train)
-        return self.cache[model.name]
+        key = model.key()
+        if key not in self.cache:
+            fitted = model.fit(self.train)
+            if any(fitted.name == other.name for other in self.cache.values()):
+                # another recipe has this name: columns and reports need one of its own
+                fitted.name += "-" + hashlib.md5(key.encode()).hexdigest()[:6]
+            self.cache[key] = fitted
+        return self.cache[key]
 
 
 @dataclass
@@ -488,7 +494,8 @@ class FittedProximity(FittedMeasure):
 def apply_proximity(df: DataFrame, measures: list[FittedProximity], scorer: Fitted, width: int) -> DataFrame:
     """All stability measures in one expansion, one scoring pass and one join back.
 
-    Copies of a row stay in its task, so the partial aggregation folds them to one row before the
+    Every copy has a key of its own, for scorers that work by ``row_id``. For row-local scorers the
+    copies of a row stay in its task, so the partial aggregation folds them to one row before the
     shuffle; the expanded rows themselves are never shuffled.
     """
     if scorer is None:
@@ -510,6 +517,8 @@ def apply_proximity(df: DataFrame, measures: list[FittedProximity], scorer: Fitt
         vector = F.when(F.col("__e.tag") == t, cell) if vector is None else vector.when(F.col("__e.tag") == t, cell)
     wide = wide.withColumn("features", V.vector(vector, width, "features"))
     wide = wide.withColumn("__far", V.euclidean("features", "__base", width)).drop("__base")
+    own = F.concat_ws("|", F.col("__row").cast("string"), F.col("__e.tag").cast("string"), F.col("__e.copy").cast("string"))
+    wide = wide.withColumnRenamed("row_id", "__row").withColumn("row_id", own)
     scored = scorer.transform(wide, "__prob", "__pred")
     hit = (F.col("__pred") == F.col("__own")).cast("double")
     aggs = []
@@ -522,7 +531,7 @@ def apply_proximity(df: DataFrame, measures: list[FittedProximity], scorer: Fitt
             F.sum(F.when(mine, F.col("__far"))).alias(f"d{t}"),
             F.max(F.when(mine, F.col("__far"))).alias(f"m{t}"),
         ]
-    folded = scored.groupBy("row_id").agg(*aggs)
+    folded = scored.groupBy(F.col("__row").alias("row_id")).agg(*aggs)
     place = {m.copies: t for t, m in enumerate(plans)}
     out = ["row_id"]
     for m in measures:

@@ -7,7 +7,6 @@ shuffle (neighbour votes excepted).
 
 from __future__ import annotations
 
-import math
 import os
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -28,7 +27,6 @@ from doubtline.operators.stats import Moments, covariance, moments, task_partial
 from doubtline.operators.store import read_json, write_json
 
 UNROLL_TERMS = 256
-TASK_BYTES = 32 * 1024 * 1024
 FITTED: dict[str, type] = {}
 PARALLEL_FITS = 4
 
@@ -55,11 +53,26 @@ def class_count(train: DataFrame, label: str = "label") -> int:
 
 
 class Model:
-    """A recipe. ``name`` identifies it in reports and lets equal recipes share one fit."""
+    """A recipe. ``name`` identifies it in reports; recipes with an equal ``key`` share one fit."""
 
     name = "model"
     is_detector = False
 
+    def key(self) -> str:
+        """The class and all parameters, those of inner models included."""
+
+        def text(value) -> str:
+            if isinstance(value, Model):
+                return value.key()
+            if isinstance(value, (list, tuple)):
+                return "[" + ", ".join(map(text, value)) + "]"
+            if callable(value):
+                cells = [c.cell_contents for c in getattr(value, "__closure__", None) or ()]
+                return f"{getattr(value, '__qualname__', value)}{text(cells)}"
+            return repr(value)
+
+        return f"{type(self).__name__}({', '.join(f'{k}={text(v)}' for k, v in sorted(vars(self).items()))})"
+
     def fit(self, train: DataFrame) -> Fitted:
         raise NotImplementedError
 
@@ -342,13 +355,11 @@ class MLModel(Model):
             array_to_vector(prepared(prep)).alias("features"), F.col("label").cast("double").alias("label")
         ).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            row = frame.agg(F.max("label").alias("top"), F.count(F.lit(1)).alias("n")).first()
+            row = frame.agg(F.max("label").alias("top")).first()
             if row.top is None:
                 raise ValueError("no labelled rows to fit on")
             k = int(row.top) + 1
-            # every pass of an iterative fit pays per task: few rows need few tasks. Wide or long
-            # tables exceed this size and keep all their partitions.
-            data = frame.coalesce(max(1, math.ceil(row.n * V.width_of(train, "features") * 8 / TASK_BYTES)))
+            data = frame
             if k <= 2 or not self.per_class:
                 return FittedML(self.name, max(k, 2), prep, {"all": self.build().fit(data)})
 
@@ -558,11 +569,43 @@ class FittedMargins(Fitted):
 # --- black boxes from outside ---------------------------------------------------------------
 
 
+#: Factories of column functions by name, so that a stored black box can be made again.
+BLACK_BOXES: dict[str, Callable[..., Callable[[Column], Column]]] = {}
+
+
+def black_box_factory(name: str):
+    """Registers a function that makes a column function from plain arguments."""
+
+    def add(fn):
+        BLACK_BOXES[name] = fn
+        return fn
+
+    return add
+
+
+@register
 class BlackBox(Fitted):
-    """A fitted classifier given as a column function ``features -> prob``."""
+    """A fitted classifier given as a column function ``features -> prob``.
+
+    With ``factory``, the name of a registered factory, and its ``arguments`` (JSON types) it can be saved and
+    loaded wherever the factory is registered; a bare function can only be used.
+    """
+
+    def __init__(self, name: str, fn: Callable[[Column], Column] | None, classes: int, factory: str | None = None, arguments: dict | None = None):
+        if fn is None:
+            if factory not in BLACK_BOXES:
+                raise ValueError(f"no black box factory {factory!r} is registered")
+            fn = BLACK_BOXES[factory](**(arguments or {}))
+        self.name, self.fn, self.classes, self.factory, self.arguments = name, fn, classes, factory, arguments
 
-    def __init__(self, name: str, fn: Callable[[Column], Column], classes: int):
-        self.name, self.fn, self.classes = name, fn, classes
+    def state(self):
+        if self.factory is None:
+            raise NotImplementedError("a black box without a factory name can't be saved")
+        return {"name": self.name, "classes": self.classes, "factory": self.factory, "arguments": self.arguments}
+
+    @classmethod
+    def restore(cls, state, ml, frames):
+        return cls(fn=None, **state)
 
     def transform(self, df, prob="prob", pred="pred"):
         df = df.withColumn(prob, V.vector(self.fn(F.col("features")), self.classes, prob))

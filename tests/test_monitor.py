@@ -236,3 +236,84 @@ def test_shuffling_measures_need_batches(spark, overlap, fitted, tmp_path):
     got = as_dict(spark.read.parquet(path), monitor.um_columns)
     want = as_dict(monitor.measure(scored), monitor.um_columns)
     assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
+def test_models_with_one_name_and_other_parameters_are_fitted_apart(overlap):
+    ctx = M.FitContext(overlap, 2)
+    one = ctx.fit_model(ConfidenceBagging(GaussianBayes(), members=3))
+    two = ctx.fit_model(ConfidenceBagging(LinearDiscriminant(), members=3))
+    assert one is not two and one.name != two.name
+    assert ctx.fit_model(ConfidenceBagging(GaussianBayes(), members=3)) is one
+    shallow, deep = ctx.fit_model(make_model("DT", depth=2)), ctx.fit_model(make_model("DT", depth=9))
+    assert shallow is not deep and shallow.name != deep.name
+    assert ctx.fit_model(make_model("HBOS", 0.1)) is not ctx.fit_model(make_model("HBOS", 0.4))
+    monitor = Monitor([M.ConfidenceBaggingMeasure(GaussianBayes(), members=3), M.ConfidenceBaggingMeasure(LinearDiscriminant(), members=3)])
+    main = GaussianBayes().fit(overlap)
+    monitor.fit(main.transform(overlap), main)
+    assert len(monitor.um_columns) == 2
+
+
+@pytest.mark.parametrize("name", ["KNN", "GNB"])
+@pytest.mark.parametrize("points", [4])
+def test_copies_are_scored_one_by_one(spark, overlap, name, points):
+    """The share over all copies equals scoring each noisy copy as a row of its own."""
+    main = make_model(name).fit(overlap)
+    few = overlap.orderBy("row_id").limit(40)
+    scored = main.transform(few)
+    measure = M.Proximity(points, 2.0).fit(M.FitContext(overlap, 2, main))
+    got = {r.row_id: r.um_proximity_4_2_0 for r in M.apply_measures(scored, [measure], scorer=main).collect()}
+    deviations = np.array(measure.deviations)
+    share = {}
+    for copy in range(1, points + 1):
+        noisy = few.withColumn("__base", F.col("features")).withColumn("features", measure.noisy("row_id", f"{copy}"))
+        noisy = noisy.withColumn("row_id", F.col("row_id") * 100 + copy).drop("__base")
+        from doubtline.functions.vectors import with_width
+
+        for r in main.transform(with_width(noisy, "features", len(deviations))).collect():
+            share.setdefault(r.row_id // 100, []).append(r.pred)
+    own = {r.row_id: r.pred for r in scored.collect()}
+    assert got == {i: pytest.approx(np.mean([p == own[i] for p in preds])) for i, preds in share.items()}
+    assert len(set(got.values())) > 1
+
+
+def test_rank_detector_as_main_model(overlap):
+    main = make_model("ECOD", 0.1).fit(overlap)
+    scored = main.transform(overlap)
+    measure = M.Proximity(5, 0.0).fit(M.FitContext(overlap, 2, main))
+    copies = M.apply_measures(scored, [measure], scorer=main).collect()
+    # without noise every copy is the row itself
+    assert {r.um_proximity_5_0_0 for r in copies} == {1.0}
+
+
+def test_black_box_is_saved_by_its_factory(spark, overlap, tmp_path):
+    from doubtline.operators.models import BlackBox, black_box_factory
+
+    @black_box_factory("test-threshold")
+    def threshold(cut):
+        return lambda x: F.array(F.when(x[0] > cut, 0.1).otherwise(0.9), F.when(x[0] > cut, 0.9).otherwise(0.1))
+
+    box = BlackBox("cut", None, 2, "test-threshold", {"cut": 1.0})
+    monitor = Monitor().add_maxprob().add_proximity(3, 0.5).fit(box.transform(overlap), box)
+    monitor.save(spark, str(tmp_path), "box")
+    again = Monitor.load(spark, str(tmp_path), "box")
+    columns = monitor.um_columns
+    assert as_dict(again.measure(again.scorer.transform(overlap)), columns) == as_dict(monitor.measure(box.transform(overlap)), columns)
+    with pytest.raises(NotImplementedError):
+        BlackBox("bare", lambda x: x, 2).state()
+
+
+def test_contamination_sets_the_threshold_of_boosting(overlap):
+    from doubtline.operators.ensembles import ConfidenceBoosting
+
+    scored = GaussianBayes().fit(overlap).transform(overlap, "__p", "__y")
+    boost = ConfidenceBoosting(GaussianBayes(), contamination=0.2)
+    cut = boost.threshold(scored)
+    share = np.mean([max(r["__p"]) < cut for r in scored.collect()])
+    assert abs(share - 0.2) < 0.01 and ConfidenceBoosting(GaussianBayes()).threshold(scored) == 0.8
+
+
+def test_groups_of_the_ablation_do_not_mix():
+    columns = ["um_combined_lda", "um_combined_confidencebagger_10", "um_external_lda_entropy"]
+    groups = default_groups(columns)
+    assert groups["checkers"] == ["um_combined_lda", "um_external_lda_entropy"]
+    assert groups["ensembles"] == ["um_combined_confidencebagger_10"]
