@@ -7,7 +7,6 @@ Only the weights travel; the table stays where it is.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 from pyspark import StorageLevel
@@ -16,12 +15,10 @@ from pyspark.sql import functions as F
 
 from doubtline.functions import vectors as V
 from doubtline.functions.hashing import hash_uniform
-from doubtline.operators.bounded import bounded_collect, check_values
-from doubtline.operators.stats import covariance, moments
+from doubtline.operators.bounded import check_values
+from doubtline.operators.stats import covariance, fold_vectors, moments
 
 SPARSE_PENALTY = 1e-4
-TASK_BYTES = 32 * 1024 * 1024
-DIRECT_VALUES = 2_000_000
 
 
 def bottleneck(d: int) -> int:
@@ -129,10 +126,7 @@ def train_autoencoder(
     shift = np.where(high > low, low, 0.0)
     rows = train.filter(hash_uniform(seed, F.col("row_id")) < train_split)
     stored = rows.select(F.col("features").cast("array<double>").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
-    # few rows need few tasks; large tables keep all their partitions
-    tasks = max(1, math.ceil(stored.count() * d * 8 / TASK_BYTES))
-    rows = stored.coalesce(tasks)
-    direct = tasks * (3 * size + 3) <= DIRECT_VALUES
+    rows = stored
     chunk = max(batch, 65536)
     state = np.concatenate([initial(sizes, seed), np.zeros(2 * size)])
     sc = train.sparkSession.sparkContext
@@ -171,15 +165,7 @@ def train_autoencoder(
                     yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], ["part"])
 
             parts = rows.mapInArrow(run, "part array<double>")
-            flat = np.zeros(3 + 3 * size)
-            if direct:  # at most ``tasks`` rows of weights
-                for part in parts.toArrow().column("part").to_pylist():
-                    flat += np.array(part)
-            else:
-                long = parts.select(F.posexplode("part").alias("pos", "v"))
-                summed = long.groupBy("pos").agg(F.sum("v").alias("v"))
-                for r in bounded_collect(summed, limit=len(flat), what="autoencoder weights"):
-                    flat[r.pos] = r.v
+            flat = fold_vectors(parts, 3 + 3 * size)
             shared.unpersist()
             if flat[0] == 0:
                 raise ValueError("no rows to train the autoencoder on")

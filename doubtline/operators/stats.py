@@ -14,6 +14,10 @@ from doubtline.operators.bounded import bounded_collect, check_values
 
 WIDE_LIMIT = 32
 SMALL_GROUP = 2_000_000
+#: Up to so many tasks, their vectors are folded in one step.
+DIRECT_TASKS = 16
+#: Times that quantile brackets are counted and narrowed.
+MOST_PASSES = 20
 
 
 @dataclass
@@ -182,7 +186,7 @@ def _bracketed_quantile(long: DataFrame, p: float, small: int) -> dict:
             "n": r.n, "first": math.floor(at), "part": at - math.floor(at),
             "least": r.least, "most": r.most, "lo": r.b[0], "hi": r.b[1],
         }
-    for _ in range(20):
+    for attempt in range(MOST_PASSES + 1):
         joined = long.join(_bounds_frame(long, state), keys)
         inside = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
         seen = bounded_collect(
@@ -201,10 +205,12 @@ def _bracketed_quantile(long: DataFrame, p: float, small: int) -> dict:
             if s["below"] + s["inside"] <= last:
                 s["hi"], retry = s["most"], True
         if retry:
+            if attempt == MOST_PASSES:
+                raise RuntimeError("the quantile brackets were not verified")
             continue
         wide = {k: s for k, s in state.items() if s["inside"] > small and s["lo"] < s["hi"]}
-        if not wide:
-            break
+        if not wide or attempt >= MOST_PASSES:
+            break  # the last counts are those of these brackets
         # narrow again, inside the verified bracket only
         narrowed = long.join(_bounds_frame(long, wide), keys).filter(inside)
         grid = [i / 64.0 for i in range(65)]
@@ -222,7 +228,7 @@ def _bracketed_quantile(long: DataFrame, p: float, small: int) -> dict:
             moved = moved or (lo, hi) != (s["lo"], s["hi"])
             s["lo"], s["hi"] = lo, hi
         if not moved:
-            break
+            break  # the same brackets, already counted
     joined = long.join(_bounds_frame(long, state), keys)
     inside = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
     values = joined.filter(inside).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"))
@@ -291,7 +297,7 @@ def running_totals(
     by = by or []
     spark = df.sparkSession
     values = df if merged else df.groupBy(*by, order).agg(*[F.sum(s).alias(s) for s in sums])
-    buckets = buckets or min(1024, max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    buckets = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = bounded_collect(
         df.groupBy(*by).agg(F.percentile_approx(order, shares, 10_000).alias("__cuts")),
@@ -348,9 +354,33 @@ def task_partials(df: DataFrame, fn, size: int, how: str = "sum", features: str
         if state is not None:
             yield pa.RecordBatch.from_arrays([pa.array([state], pa.list_(pa.float64()))], ["part"])
 
-    merge = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     column = F.col(features).cast("array<double>").alias("x")
-    parts = df.select(column).mapInArrow(partial, "part array<double>")
+    return fold_vectors(df.select(column).mapInArrow(partial, "part array<double>"), size, how)
+
+
+def fold_vectors(parts: DataFrame, size: int, how: str = "sum") -> np.ndarray:
+    """Folds the vectors of a column ``part``, one for each task, into one of ``size`` numbers.
+
+    Many tasks' vectors go whole to about the square root of their number of tasks, which fold them, so the numbers
+    that are then folded by position grow with that root and not with the tasks.
+    """
+    fold = {"sum": np.add, "min": np.minimum, "max": np.maximum}[how]
+    merge = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+    tasks = parts.rdd.getNumPartitions()
+    if tasks > DIRECT_TASKS:
+
+        def together(batches):
+            import pyarrow as pa
+
+            state = None
+            for batch in batches:
+                for row in batch.column(0):
+                    part = row.values.to_numpy()
+                    state = part.copy() if state is None else fold(state, part)
+            if state is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([state], pa.list_(pa.float64()))], ["part"])
+
+        parts = parts.repartition(math.ceil(math.sqrt(tasks))).mapInArrow(together, "part array<double>")
     folded = parts.select(F.posexplode("part").alias("pos", "v")).groupBy("pos").agg(merge("v").alias("v"))
     out = np.zeros(size)
     for r in bounded_collect(folded, limit=size, what="partial results"):
