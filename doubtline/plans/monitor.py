@@ -14,7 +14,7 @@ from doubtline.functions import vectors as V
 from doubtline.operators import measures as M
 from doubtline.operators.cleaning import misclassified, rejected_to_null
 from doubtline.operators.metrics import omission_metrics
-from doubtline.operators.models import Fitted, GaussianBayes, Model, load_fitted, make_model
+from doubtline.operators.models import Fitted, Model, load_fitted, make_model
 from doubtline.operators.store import read_json, write_json
 from doubtline.plans.adjudicator import RATIOS, Adjudicator, train_adjudicator
 
@@ -340,7 +340,3 @@ def experiment(
     for name, value in times:
         report = report.withColumn(name, F.lit(int(value * 1000)))
     return report.withColumn("clf", F.lit(main.name)).withColumn("monitor", F.lit(tag))
-
-
-def default_scorer() -> Model:
-    return GaussianBayes()

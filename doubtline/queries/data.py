@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from doubtline.functions import vectors as V
 from doubtline.operators.models import Fitted, GaussianBayes
-from doubtline.sources.tables import spread, vector_table
+from doubtline.sources.tables import vector_table
 
 # fixed values: class names of the two tabular roles, in code order
 STATUS = ["F", "O", "P"]
@@ -29,10 +29,16 @@ def code_of(column: str, names: list[str]):
     return out.cast("int")
 
 
+def over_cores(df: DataFrame) -> DataFrame:
+    """A table with fewer input splits than there are cores, dealt over them for heavy work on each row; large ones pass through."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def orders(spark: SparkSession, sf: str) -> DataFrame:
     """Order status from price and customer balance; three classes."""
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    joined = spread(o).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    joined = over_cores(o).join(c, F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(
         F.col("o_orderkey").alias("row_id"),
         V.pack(["o_totalprice", "c_acctbal"]),
@@ -43,7 +49,7 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """Event type from value, hour, weekday and the number in the properties; five classes."""
-    e = spread(table(spark, sf, "events"))
+    e = over_cores(table(spark, sf, "events"))
     return e.select(
         F.col("event_id").alias("row_id"),
         event_features(),
@@ -58,10 +64,21 @@ def event_features():
 
 
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    e = spread(table(spark, sf, "embeddings"))
+    e = over_cores(table(spark, sf, "embeddings"))
     return vector_table(e, "vec_id", "embedding", "label", EMBEDDING_WIDTH)
 
 
+def document_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, labelled or not, by the size of the whole text."""
+    d = table(spark, sf, "documents")
+    sizes = d.select(
+        F.col("doc_id").alias("row_id"),
+        F.length("text").cast("double").alias("chars"),
+        (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).cast("double").alias("blanks"),
+    )
+    return sizes.select("row_id", V.pack(["chars", "blanks"]))
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Toxic flag (rare) from the size of the whole text."""
     d, labels = table(spark, sf, "documents"), table(spark, sf, "labels")

@@ -15,7 +15,7 @@ from doubtline.queries import data as D
 from doubtline.queries.data import lda_sql, nb_sql, with_sql
 from doubtline.queries.measuring import MONITOR_SQL, spec_monitor
 from doubtline.queries.registry import query, rounded
-from doubtline.session import work_path
+from doubtline.session import materialize, work_path
 
 
 def _fit_and_score(model, df):
@@ -48,20 +48,20 @@ def accuracy(spark, sf):
 def _register_models():
     plans = {
         "c01_xgb": ("XGB", {"rounds": 10}),
-        "c02_decision_tree": ("DT", {"depth": 10}),
+        "c02_decision_tree": ("DT", {}),
         "c04_linear_svm": ("SVM", {}),
         "c07_multinomial_nb": ("MNB", {}),
         "c08_bernoulli_nb": ("BNB", {}),
         "c08_complement_nb": ("CNB", {}),
         "c09_logistic_regression": ("LR", {}),
-        "c10_random_forest": ("RF", {"trees": 10, "depth": 10}),
+        "c10_random_forest": ("RF", {}),
         "c11_logit_boost": ("LB", {}),
-        "c12_gradient_boosting": ("GBC", {"rounds": 10}),
+        "c12_gradient_boosting": ("GBC", {}),
     }
     for key, (name, options) in plans.items():
 
         def plan(spark, sf, name=name, options=options):
-            return _fit_and_score(make_model(name, **options), D.events(spark, sf).cache())
+            return _fit_and_score(make_model(name, **options), D.events(spark, sf))
 
         query(key)(plan)
 
@@ -72,7 +72,7 @@ _register_models()
 @query("a18_importances")
 def importances(spark, sf):
     df = D.events(spark, sf)
-    weights = make_model("RF", trees=10, depth=10).fit(df).importances()
+    weights = make_model("RF").fit(df).importances()
     names = ["value", "hour", "weekday", "number"]
     return rounded(spark.createDataFrame(list(zip(names, map(float, weights))), "feature string, weight double"))
 
@@ -97,12 +97,25 @@ def _trained(spark, sf, monitor=None, build=D.orders, names=None, candidates=Non
     train, val, test = _splits(build(spark, sf).select("row_id", "features", "label"))
     main = GaussianBayes().fit(train)
     monitor = monitor or _light_monitor()
-    scored = main.transform(train).cache()
+    scored = materialize(main.transform(train), "scored")
     monitor.fit(scored, main, names=names or D.STATUS)
-    monitor.train(scored, main.transform(val).cache(), candidates=candidates or _light_candidates(), ratios=ratios)
+    monitor.train(scored, materialize(main.transform(val), "scored"), candidates=candidates or _light_candidates(), ratios=ratios)
     return monitor, main.transform(test)
 
 
+@query(
+    "m02_measure_one",
+    f"SELECT * REPLACE (0::BIGINT AS row_id) FROM ({MONITOR_SQL}) WHERE row_id = (SELECT min(o_orderkey) FROM orders JOIN customer ON o_custkey = c_custkey)",
+)
+def measure_one(spark, sf):
+    """The order of the least key as a single data point."""
+    df = D.orders(spark, sf)
+    scored, model = D.scored(df)
+    monitor = spec_monitor().fit(scored, model, 3, D.STATUS)
+    point = df.groupBy().agg(F.min_by("features", "row_id").alias("x")).first().x
+    return rounded(monitor.measure_one(spark, point).select("row_id", *monitor.um_columns))
+
+
 @query("m04_train_adjudicator")
 def train_monitor(spark, sf):
     monitor, _ = _trained(spark, sf)
@@ -117,14 +130,14 @@ def candidate_search(spark, sf):
 
 @query("m06_judge")
 def judge(spark, sf):
-    monitor, test = _trained(spark, sf, ratios=(None,))
+    monitor, test = _trained(spark, sf)
     out = monitor.report_table(test)
     return out.withColumn("features", V.as_text("features"))
 
 
 @query("m07_misclassifications")
 def predicted_errors(spark, sf):
-    monitor, test = _trained(spark, sf, ratios=(None,))
+    monitor, test = _trained(spark, sf)
     return monitor.misclassifications(test)
 
 
@@ -139,26 +152,26 @@ def run_experiment(spark, sf):
 
 @query("m09_supervised_preset")
 def supervised(spark, sf):
-    df = D.documents(spark, sf).select("row_id", "features", "label").cache()
-    scored, model = D.scored(df)
-    monitor = supervised_preset().fit(scored.cache(), model, names=["clean", "toxic"])
+    scored, model = D.scored(D.documents(spark, sf).select("row_id", "features", "label"))
+    scored = materialize(scored, "scored")
+    monitor = supervised_preset().fit(scored, model, names=["clean", "toxic"])
     return rounded(monitor.measure(scored).select("row_id", *monitor.um_columns))
 
 
 @query("m10_unsupervised_preset")
 def unsupervised(spark, sf):
-    df = D.documents(spark, sf).select("row_id", "features").cache()
+    df = D.document_sizes(spark, sf)
     main = make_model("HBOS", 0.1).fit(df)
-    scored = main.transform(df).cache()
+    scored = materialize(main.transform(df), "scored")
     monitor = unsupervised_preset(0.1).fit(scored, main, names=["normal", "anomaly"])
     return rounded(monitor.measure(scored).select("row_id", *monitor.um_columns))
 
 
 @query("m11_vector_preset")
 def vectors(spark, sf):
-    df = D.embeddings(spark, sf).cache()
-    scored, model = D.scored(df)
-    monitor = vector_preset().fit(scored.cache(), model, classes=D.EMBEDDING_CLASSES)
+    scored, model = D.scored(D.embeddings(spark, sf))
+    scored = materialize(scored, "scored")
+    monitor = vector_preset().fit(scored, model, classes=D.EMBEDDING_CLASSES)
     return rounded(monitor.measure(scored).select("row_id", *monitor.um_columns))
 
 
@@ -241,7 +254,7 @@ def report_sink(spark, sf):
 def ablation(spark, sf):
     train, val, test = _splits(D.orders(spark, sf).select("row_id", "features", "label"))
     main = GaussianBayes().fit(train)
-    monitor = _light_monitor().fit(main.transform(train).cache(), main, names=D.STATUS)
+    monitor = _light_monitor().fit(materialize(main.transform(train), "scored"), main, names=D.STATUS)
     subsets = measure_subsets(monitor.um_columns, default_groups(monitor.um_columns))
     grid = ablation_grid(
         monitor.measure(main.transform(val)), monitor.measure(main.transform(test)), subsets, "orders", "GNB", make_model("DT", depth=8)
@@ -253,7 +266,7 @@ def ablation(spark, sf):
 def classifier_interface(spark, sf):
     """Errors of a forest on held-out rows, ranked by its doubt: area under the curve."""
     train, val, test = _splits(D.events(spark, sf).select("row_id", "features", "label"))
-    scored = make_model("RF", trees=10, depth=8).fit(train).transform(test)
+    scored = make_model("RF").fit(train).transform(test)
     doubt = scored.select(misclassified().alias("label"), (1.0 - F.array_max("prob")).alias("doubt"))
     return rounded(roc_area(doubt, "doubt"))
 

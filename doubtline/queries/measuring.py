@@ -205,22 +205,22 @@ def feature_bagging(spark, sf):
 
 @query("u18_feature_bagging_unsupervised")
 def feature_bagging_unsupervised(spark, sf):
-    return measured(spark, sf, D.orders, [M.FeatureBagging(4, "uns")], 3)[0]
+    return measured(spark, sf, D.orders, [M.FeatureBagging(10, "uns")], 3)[0]
 
 
 @query("u19_reconstruction")
 def reconstruction(spark, sf):
-    return measured(spark, sf, D.embeddings, [M.ReconstructionLoss("simple", epochs=10)], 10)[0]
+    return measured(spark, sf, D.embeddings, [M.ReconstructionLoss("simple")], 10)[0]
 
 
 @query("u20_reconstruction_sparse")
 def reconstruction_sparse(spark, sf):
-    return measured(spark, sf, D.embeddings, [M.ReconstructionLoss("sparse", epochs=10)], 10)[0]
+    return measured(spark, sf, D.embeddings, [M.ReconstructionLoss("sparse")], 10)[0]
 
 
 @query("u21_reconstruction_deep")
 def reconstruction_deep(spark, sf):
-    return measured(spark, sf, D.embeddings, [M.ReconstructionLoss("deep", epochs=10)], 10)[0]
+    return measured(spark, sf, D.embeddings, [M.ReconstructionLoss("deep")], 10)[0]
 
 
 @query("u19_reconstruction_linear")
@@ -235,7 +235,7 @@ def confidence_bagging(spark, sf):
 
 @query("u23_confidence_boosting")
 def confidence_boosting(spark, sf):
-    return measured(spark, sf, D.events, [M.ConfidenceBoostingMeasure(GaussianBayes(), members=5)], 5)[0]
+    return measured(spark, sf, D.events, [M.ConfidenceBoostingMeasure(GaussianBayes())], 5)[0]
 
 
 # --- whole monitors -------------------------------------------------------------------------

@@ -22,7 +22,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **extra: str) -> S
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "12g")
     )
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,19 +20,6 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None
     return reader.csv(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a table with fewer input splits than there are cores; for scans that feed
-    heavy row-wise work. Large inputs pass through untouched."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    if files == 0 or files >= cores:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df if math.ceil(size / split) >= cores else df.repartition(cores)
-
-
 def expand_list(text: str) -> list[str]:
     """``a.csv, folder/, b.csv`` to paths; Spark expands folders and globs itself."""
     return [part.strip() for part in text.split(",") if part.strip()]

@@ -37,7 +37,9 @@ def judge_batches(stream: DataFrame, monitor: Monitor, path: str, checkpoint: st
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         scored = monitor.scorer.transform(batch)
-        judged = monitor.measure(scored) if monitor.adjudicator is None else monitor.judge(scored)
+        # the extremes of training, so a row's verdict doesn't depend on the rows it comes with
+        judge = monitor.measure if monitor.adjudicator is None else monitor.judge
+        judged = judge(scored, bounds="train")
         judged.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
