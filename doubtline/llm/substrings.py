@@ -7,7 +7,8 @@ places, so they meet in the bucket of that q-gram; windows next to each other sh
 1. units of equal text are one class; a bucket with one member is unique, and a class of two or more is repeated;
 2. in buckets of several classes, one unit of each class brings its text, and bucket pointer refinement tells its windows
    apart: 8-byte buckets, then pairs of bucket pointers at later offsets for 16, 32, 64, 128 and ``length`` bytes;
-3. buckets of very many classes are split by hashes of whole windows instead, so that no task holds such a bucket.
+3. buckets of many classes are first split by the text around the anchor: by what 16 windows next to each other have in
+   common, and beyond a second bound by hashes of whole windows, so that no task holds such a bucket.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from doubtline.llm.common import RollingHash, frame_batch, map_batches, splitmix
 from doubtline.session import materialize
 
 LENGTH, GRAM = 200, 48
-#: Classes of a bucket beyond which it is split by whole windows.
-LARGE_BUCKET = 2000
+#: Classes of a bucket beyond which it is split by the text that neighbouring windows share, and by whole windows.
+LARGE_BUCKET, HUGE_BUCKET = 2000, 20_000
+#: Neighbouring windows that are split off together.
+CHUNK = 16
 #: Bytes of text that are refined together; larger buckets are taken whole.
 REFINE_BYTES = 1 << 21
 #: Windows that are searched for anchors at a time; a unit ends there, which refinement makes good.
@@ -183,11 +186,28 @@ PIECES = "slot long, key long, did long, tid int, start long, n long, c long, pi
 RANGE_SCHEMA = pa.schema([("did", pa.int64()), ("tid", pa.int32()), ("start", pa.int64()), ("span", pa.int64())])
 
 
-def _piece_rows(texts: DataFrame, length: int) -> DataFrame:
-    """The text of each wanted unit, or for units of large buckets the hashes of its windows.
+def _chunks_of(data: np.ndarray, sums: tuple[np.ndarray, np.ndarray], wanted: dict, length: int, gram: int) -> Iterator[tuple[int, int, int]]:
+    """(slot, first window, windows) for the windows of a unit, dealt by their distance to the anchor.
+
+    Windows of one chunk have all but the outermost bytes in common; the slot stands for those and the distance, so equal
+    windows of other units share it.
+    """
+    start, n, bucket = wanted["start"], wanted["n"], np.int64(wanted["bucket"]).view(np.uint64)
+    by_gram, by_text, _ = _hashes()
+    at = np.arange(start + n - 1, start + length - gram + 1)
+    anchor = int(at[np.flatnonzero(splitmix(by_gram.ranges(sums[0], at, at + gram)) == bucket)[0]])
+    for chunk in range((anchor - start - n + 1) // CHUNK, (anchor - start) // CHUNK + 1):
+        first, last = max(start, anchor - CHUNK * chunk - CHUNK + 1), min(start + n - 1, anchor - CHUNK * chunk)
+        core = np.array([anchor - CHUNK * chunk]), np.array([max(anchor - CHUNK * chunk, anchor - CHUNK * chunk - CHUNK + 1 + length)])
+        slot = splitmix(by_text.ranges(sums[1], *core) ^ splitmix(np.array([chunk], np.uint64)) ^ bucket)
+        yield int(slot.view(np.int64)[0]), first, last - first + 1
+
+
+def _piece_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The text of each wanted unit or, of units of large buckets, of each chunk; of huge buckets the hashes of windows.
 
     Of equal windows of one batch one row goes on, with their count; the others are known to be repeated and go on as
-    ranges (``slot`` null), so that a window costs a row in each batch at most.
+    ranges (with count 0), so that a window costs a row in each batch at most.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -198,19 +218,21 @@ def _piece_rows(texts: DataFrame, length: int) -> DataFrame:
             for name in out:
                 out[name].append(row.get(name))
 
-        one, _, two = _hashes()
+        hashes = _hashes()
         for did, tid, text, wanted in zip(*(batch.column(k).to_pylist() for k in ("did", "tid", "text", "wanted")), strict=True):
             raw = text.encode()
             data, sums = None, None
             for w in wanted:
-                if not w["large"]:
-                    add(slot=w["bucket"], key=0, did=did, tid=tid, start=w["start"], n=w["n"], c=w["c"], piece=raw[w["start"] : w["start"] + w["n"] - 1 + length])
-                    continue
-                if data is None:
+                if data is None and w["large"]:
                     data = np.frombuffer(raw, np.uint8)
-                    sums = one.prefix(data), two.prefix(data)
+                    sums = tuple(h.prefix(data) for h in hashes)
+                if w["large"] < 2:
+                    dealt = _chunks_of(data, sums, w, length, gram) if w["large"] else [(w["bucket"], w["start"], w["n"])]
+                    for slot, start, n in dealt:
+                        add(slot=slot, key=0, did=did, tid=tid, start=start, n=n, c=w["c"], piece=raw[start : start + n - 1 + length])
+                    continue
                 at = np.arange(w["start"], w["start"] + w["n"])
-                pair = splitmix(one.ranges(sums[0], at, at + length)), splitmix(two.ranges(sums[1], at, at + length))
+                pair = (splitmix(h.ranges(s, at, at + length)) for h, s in zip(hashes[::2], sums[::2], strict=True))
                 # a class of several has no window of its own to find; its windows count as two
                 keys.append(np.stack([*pair, np.full(len(at), min(w["c"], 2), np.uint64)], 1))
                 dids.append(np.full(len(at), did))
@@ -225,8 +247,12 @@ def _piece_rows(texts: DataFrame, length: int) -> DataFrame:
             count = np.bincount(group, weights=key[:, 2].astype(np.float64)).astype(np.int64)
             for i in np.flatnonzero(new).tolist():
                 add(slot=int(key[i, 0].view(np.int64)), key=int(key[i, 1].view(np.int64)), did=int(did[i]), tid=int(tid[i]), start=int(start[i]), n=1, c=int(count[group[i]]))
-            for i in np.flatnonzero(count[group] > 1).tolist():
-                add(did=int(did[i]), tid=int(tid[i]), start=int(start[i]), n=1)
+            several = np.flatnonzero(count[group] > 1)
+            place = np.lexsort((start[several], tid[several], did[several]))
+            did, tid, start = did[several][place], tid[several][place], start[several][place]
+            lead = np.flatnonzero(np.concatenate([[True], (did[1:] != did[:-1]) | (tid[1:] != tid[:-1]) | (start[1:] != start[:-1] + 1)])) if len(start) else several
+            for i, span in zip(lead.tolist(), np.diff(np.append(lead, len(start))).tolist(), strict=True):
+                add(slot=int(did[i]) ^ int(start[i]), key=0, did=int(did[i]), tid=int(tid[i]), start=int(start[i]), n=span, c=0)
         return frame_batch(PIECE_SCHEMA, **out)
 
     return map_batches(texts, run, PIECES)
@@ -267,10 +293,10 @@ def _refined(pieces: DataFrame, length: int, most: int) -> DataFrame:
         size = 0
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            known = table.filter(pa.compute.is_null(table.column("slot")))
+            known = table.filter(pa.compute.equal(table.column("c"), 0))
             if known.num_rows:
                 yield frame_batch(RANGE_SCHEMA, span=known.column("n").combine_chunks(), **{k: known.column(k).combine_chunks() for k in (*KEY, "start")})
-            table = table.filter(pa.compute.is_valid(table.column("slot")))
+            table = table.filter(pa.compute.not_equal(table.column("c"), 0))
             held.append(table)
             size += table.nbytes
             while size > most:
@@ -294,7 +320,7 @@ def _refined(pieces: DataFrame, length: int, most: int) -> DataFrame:
     return pieces.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "did long, tid int, start long, span long")
 
 
-def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE_BUCKET, most: int = REFINE_BYTES) -> DataFrame:
+def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE_BUCKET, huge: int = HUGE_BUCKET, most: int = REFINE_BYTES) -> DataFrame:
     """``did, tid, start, span``: runs of positions where a repeated string of ``length`` bytes starts."""
     rows = _unit_rows(keyed, length, gram)
     stats = rows.groupBy("bucket").agg(F.sum("c").alias("members"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
@@ -305,10 +331,11 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, la
     classes = materialize(classes, "classes")
     plain = shared.filter("not mixed").select("did", "tid", "start", "span")
     several = mixed.drop("c").join(classes.filter("c > 1").select("bucket", "kind"), ["bucket", "kind"]).select("did", "tid", "start", "span")
-    sizes = classes.groupBy("bucket").agg((F.count(F.lit(1)) > large).alias("large"))
+    classes_of = F.count(F.lit(1))
+    sizes = classes.groupBy("bucket").agg(((classes_of > large).cast("int") + (classes_of > huge).cast("int")).alias("large"))
     wanted = classes.join(sizes, "bucket").select("one.did", "one.tid", F.struct("bucket", "one.start", "one.n", "c", "large").alias("w"))
     wanted = wanted.groupBy("did", "tid").agg(F.collect_list("w").alias("wanted"))
-    fine = _refined(_piece_rows(keyed.join(wanted, KEY), length), length, most)
+    fine = _refined(_piece_rows(keyed.join(wanted, KEY), length, gram), length, most)
     return plain.unionByName(several).unionByName(fine)
 
 
@@ -373,7 +400,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **l
 
     @F.pandas_udf("string")
     def left(texts, ranges):
-        return texts.combine(ranges, lambda t, r: "".join(k.decode("utf-8", "ignore") for k in _cut(t.encode(), list(r), length)[0]))
+        return texts.combine(ranges, lambda t, r: t if t is None or r is None else "".join(k.decode("utf-8", "ignore") for k in _cut(t.encode(), list(r), length)[0]))
 
     gone = F.col("__ranges").isNotNull()
     out = joined.withColumn("text", F.when(gone, left(F.col("text"), F.col("__ranges"))).otherwise(F.col("text"))).filter(~gone | (F.trim(F.col("text")) != ""))

@@ -152,7 +152,7 @@ def test_removed_bytes_equal_a_plain_count(docs_of):
             texts.append("".join(rng.choice("abcdefgh ") for _ in range(rng.choice([0, 60]))) + t)
         texts += texts[8:12]
         want = {k: v[:4] for k, v in plain_removal(texts, length).items()}
-        for limits in ({}, {"large": 2}, {"large": 1, "most": 10}, {"most": 50}):
+        for limits in ({}, {"large": 2}, {"large": 1, "most": 10}, {"large": 1, "huge": 2}, {"large": 1, "huge": 1, "most": 10}, {"most": 50}):
             got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(docs_of(texts), length, gram, **limits).collect()}
             assert got == want, limits
 
