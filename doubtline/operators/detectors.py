@@ -146,8 +146,12 @@ class FittedTails(FittedDetector):
         return self._score(df, out, with_train=True)
 
     def _score(self, df, out, with_train):
-        """Tails over the rows to score, together with the training rows."""
-        rows = long_form(df, "row_id")
+        """Tails over the rows to score, together with the training rows.
+
+        A row is known by its id and vector, so rows that share an id, or have none, keep scores of their own.
+        """
+        df = df.withColumn("__key", F.xxhash64("row_id", F.col("features").cast("array<double>")))
+        rows = long_form(df, "row_id", "__key")
         own = rows.groupBy("fid", "x").agg(F.count(F.lit(1)).alias("c"))
         counts = own.unionByName(self.values.select("fid", "x", "c")) if with_train else own
         if with_train:
@@ -173,8 +177,12 @@ class FittedTails(FittedDetector):
             cell = F.greatest(skewed, F.col("left"), F.col("right"))
         table = table.select("fid", "x", cell.alias("u"))
         total = int(sum(r.n for r in size.values()))
-        scored = lookup(rows, table, ["fid", "x"], total, counts).groupBy("row_id").agg(F.sum("u").alias(out))
-        return df.join(scored, "row_id")
+        found = lookup(rows, table, ["fid", "x"], total, counts)
+        # equal rows are summed together: their sum is shared out among them
+        share = F.sum("u") * F.lit(float(d)) / F.count("u")
+        scored = found.groupBy(F.col("row_id").alias("__row"), F.col("__key").alias("__own")).agg(share.alias(out))
+        mine = F.col("row_id").eqNullSafe(F.col("__row")) & (F.col("__key") == F.col("__own"))
+        return df.join(scored, mine).drop("__row", "__own", "__key")
 
     def params(self):
         return {"kind": self.kind}

@@ -183,3 +183,24 @@ def test_loss_falls_and_strange_rows_stand_out(spark, kind):
     loss = {r.row_id: r.l for r in df.select("row_id", coder.loss().alias("l")).collect()}
     odd = np.mean([loss[i] for i in range(600, 612)])
     assert odd > np.mean([loss[i] for i in range(600)])
+
+
+@pytest.mark.parametrize("name", ["ECOD", "COPOD"])
+def test_rank_detectors_score_rows_and_not_ids(spark, name):
+    """Rows that share an id or have none are scored as rows with ids of their own are."""
+    rng = np.random.default_rng(4)
+    train = vectors(spark, rng.normal(size=(200, 3)))
+    fitted = make_model(name, 0.1).fit(train)
+    x = rng.normal(size=(30, 3)).round(2)
+    x[20:25] = x[0]
+    apart = [(i, r.tolist()) for i, r in enumerate(x)]
+    shared = [(None if i < 4 else 7 if i < 24 else i, r) for i, r in apart]
+    schema = "row_id bigint, features array<double>"
+
+    def scores(rows):
+        from doubtline.functions.vectors import with_width
+
+        df = with_width(spark.createDataFrame(rows, schema), "features", 3)
+        return sorted((tuple(r.features), round(r.score, 9)) for r in fitted.score(df).collect())
+
+    assert len(scores(apart)) == 30 and scores(shared) == scores(apart)
