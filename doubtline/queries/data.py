@@ -150,6 +150,31 @@ def nb_sql(name: str, train: str = "base", rows: str = "base", scaled: bool = Fa
 {softmax_sql(n, f'{n}_l', rows)}"""
 
 
+def counted_nb_sql(name: str, kind: str, train: str = "base", rows: str = "base") -> str:
+    """Naive Bayes over features scaled to 0..1: ``multinomial``, ``bernoulli`` (1 above 0) or ``complement``; smoothing 1."""
+    n = name
+    v = "(v - lo) / (hi - lo)" if kind != "bernoulli" else "((v - lo) / (hi - lo) > 0)::INT::DOUBLE"
+    mass = {
+        "multinomial": "s, sum(s) OVER (PARTITION BY c) + count(*) OVER (PARTITION BY c) AS whole",
+        "bernoulli": "s, (SELECT count(*) FROM {t} WHERE label = c) + 2.0 AS whole",
+        "complement": "sum(s) OVER (PARTITION BY j) - s AS s, sum(s) OVER () - sum(s) OVER (PARTITION BY c) + count(*) OVER (PARTITION BY c) AS whole",
+    }[kind].format(t=train)
+    score = {
+        "multinomial": "any_value(lp) + sum(v * th)",
+        "bernoulli": "any_value(lp) + sum(v * th + (1 - v) * ln(1 - exp(th)))",
+        "complement": "-sum(v * th)",
+    }[kind]
+    return f"""{long_sql(f'{n}_t0', train, ', label')},
+{n}_b AS (SELECT j, min(v) AS lo, max(v) AS hi FROM {n}_t0 GROUP BY j),
+{n}_t AS (SELECT row_id, label, j, {v} AS v FROM {n}_t0 JOIN {n}_b USING (j)),
+{n}_s AS (SELECT label AS c, j, sum(v) AS s FROM {n}_t GROUP BY 1, 2),
+{n}_m AS (SELECT c, j, {mass} FROM {n}_s),
+{n}_h AS (SELECT c, j, ln(s + 1) - ln(whole) AS th FROM {n}_m),
+{n}_p AS (SELECT label AS c, ln(count(*) + 1.0) - ln((SELECT count(*) + count(DISTINCT label) FROM {train})) AS lp FROM {train} GROUP BY 1),
+{n}_l AS (SELECT row_id, h.c, {score} AS ll FROM {n}_t x JOIN {n}_h h USING (j) JOIN {n}_p p ON p.c = h.c GROUP BY 1, 2),
+{softmax_sql(n, f'{n}_l', rows)}"""
+
+
 def softmax_sql(name: str, scores: str, rows: str = "base") -> str:
     """From ``scores(row_id, c, ll)`` to ``name(row_id, ..., prob, pred)``."""
     n = name

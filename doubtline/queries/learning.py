@@ -45,6 +45,9 @@ def accuracy(spark, sf):
     return rounded(evaluate(make_model("GNB"), df, df)[2])
 
 
+SCORED = "SELECT row_id, pred, round(list_max(prob), 6) AS confidence FROM m"
+
+
 def _register_models():
     plans = {
         "c01_xgb": ("XGB", {"rounds": 10}),
@@ -63,7 +66,8 @@ def _register_models():
         def plan(spark, sf, name=name, options=options):
             return _fit_and_score(make_model(name, **options), D.events(spark, sf))
 
-        query(key)(plan)
+        kind = {"MNB": "multinomial", "BNB": "bernoulli", "CNB": "complement"}.get(name)
+        query(key, with_sql(D.EVENTS_SQL, D.counted_nb_sql("m", kind), select=SCORED) if kind else None)(plan)
 
 
 _register_models()
