@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,12 +186,26 @@ def as_text(array, decimals: int | None = None) -> Column:
 
 
 def to_matrix(column: pa.Array) -> np.ndarray:
-    """An Arrow list column without nulls to a 2-D array, without a Python loop."""
+    """An Arrow list column to a 2-D array, without a Python loop.
+
+    A null vector is missing and counts as zeros, like a missing value; vectors of different lengths raise.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
+    if not rows:
+        return flat.reshape(0, 0)
+    if column.null_count == rows:
+        return np.zeros((rows, 1))
+    lengths = pc.min_max(pc.list_value_length(column)).as_py()
+    if lengths["min"] != lengths["max"]:
+        raise ValueError(f"vectors of {lengths['min']} and of {lengths['max']} numbers in one column")
+    if not column.null_count:
+        return flat.reshape(rows, -1)
+    out = np.zeros((rows, lengths["max"]))
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = flat.reshape(rows - column.null_count, -1)
+    return out
 
 
 def from_matrix(matrix: np.ndarray) -> pa.Array:

@@ -81,6 +81,8 @@ def rejected_to_null(pred: str = "pred", misc_pred: str = "misc_pred") -> Column
 def clean_features(df: DataFrame, features: str = "features") -> DataFrame:
     width = V.known_width(df, features)
     cleaned = V.clean_vector(features)
+    if width and df.schema[features].nullable:
+        cleaned = F.coalesce(cleaned, F.array(*[F.lit(0.0)] * width))  # a missing vector, like missing values
     return df.withColumn(features, V.vector(cleaned, width, features) if width else cleaned)
 
 

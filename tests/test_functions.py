@@ -101,3 +101,14 @@ def test_uniforms_are_uniform_and_keyed(spark):
         | (hash_uniform(1, F.col("id")) != F.expr(uniform_text("xxhash", "1", "id")))
     )
     assert same.count() == 0
+
+
+def test_null_vectors_are_missing_values():
+    import pyarrow as pa
+
+    column = pa.array([[1.0, 2.0], None, [3.0, 4.0], None], pa.list_(pa.float64()))
+    assert V.to_matrix(column).tolist() == [[1, 2], [0, 0], [3, 4], [0, 0]]
+    assert V.to_matrix(column.slice(1, 2)).tolist() == [[0, 0], [3, 4]]
+    assert V.to_matrix(pa.array([None], pa.list_(pa.float64()))).tolist() == [[0.0]]
+    with pytest.raises(ValueError):
+        V.to_matrix(pa.array([[1.0], [1.0, 2.0, 3.0]], pa.list_(pa.float64())))
