@@ -17,7 +17,7 @@ from doubtline.llm.common import frame_batch, id_and_text, map_batches
 #: A passage retrieves an item from this share of the item's own score on.
 THRESHOLD = 0.5
 #: Shares of the question's and the answer's word triples that have to stand in the passage, or of both together.
-OVERLAP, TOTAL_OVERLAP = 0.5, 0.7
+OVERLAP, TOTAL_OVERLAP = 0.5, 0.5
 K1, B = 1.2, 0.75
 #: Items under one block maximum; terms in more than this share of the items aren't followed when blocks are ruled out.
 BLOCK_ITEMS, COMMON = 2, 0.3
