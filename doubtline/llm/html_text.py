@@ -314,11 +314,13 @@ AROUND = (
     '<footer><p>&copy; {a} {b}</p></footer>', '<div class="footer"><p>&copy; {c}</p><a href="/i">{a}</a></div>', '<div id="copyright">&copy; {b}</div>',
 )
 ARTICLE = re.compile(r"<article\b[^>]*>(.*?)(</article>|\Z)", re.S | re.I)
+SHELL = re.compile(r"<!DOCTYPE[^>]*>|</?(?:html|body)\b[^>]*>|<head\b.*?</head>", re.S | re.I)
 MARK = "data-component=mainpart"
+VARIANTS = 3
 
 
 def variants(source: str, other: str, rng: np.random.Generator) -> list[str]:
-    """A page with its article marked, once as it is and once under another container with other surroundings."""
+    """A page with its article marked, once as it is and some times under another container with other surroundings."""
     found = ARTICLE.search(source)
     if not found:
         return [source]
@@ -332,19 +334,27 @@ def variants(source: str, other: str, rng: np.random.Generator) -> list[str]:
     def piece() -> str:
         return AROUND[int(rng.integers(0, len(AROUND)))].format(a=some(2), b=some(4), c=some(int(rng.integers(5, 16))), d=some(int(rng.integers(15, 60))))
 
-    container = CONTAINERS[int(rng.integers(0, len(CONTAINERS)))]
-    inside = found[1]
-    if rng.random() < 0.4:  # something that isn't the article inside its container
-        cut = inside.rfind("</p>")
-        if cut >= 0:
-            inside = inside[: cut + 4] + piece() + inside[cut + 4 :]
-    body = f"<{container} {MARK}>{inside}</{container.split()[0]}>"
-    before, after = ("".join(piece() for _ in range(int(rng.integers(0, 4)))) for _ in range(2))
-    whole = source[: found.start()] + before + body + after + source[found.end() :]
-    if rng.random() < 0.5:  # the usual elements by other names
-        for tag, name in (("nav", "div"), ("footer", "div")):
-            whole = re.sub(rf"<(/?){tag}\b", rf"<\1{name}", whole)
-    made.append(whole)
+    for _ in range(VARIANTS):
+        container = CONTAINERS[int(rng.integers(0, len(CONTAINERS)))]
+        inside = found[1]
+        if rng.random() < 0.4:  # something that isn't the article inside its container
+            cut = inside.rfind("</p>")
+            if cut >= 0:
+                inside = inside[: cut + 4] + piece() + inside[cut + 4 :]
+        if rng.random() < 0.4:  # headings of other levels, lists and quotes are parts of articles, too
+            inside = re.sub(r"<(/?)h1\b", rf"<\1h{int(rng.integers(2, 4))}", inside)
+        if rng.random() < 0.4:
+            kind = ("<ul><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>", "<ol><li>{}</li></ol>", "<h3>{}</h3>")[int(rng.integers(0, 4))]
+            inside = re.sub(r"<p>([^<]{1,300})</p>", lambda m: kind.format(m[1]), inside, count=2)
+        body = f"<{container} {MARK}>{inside}</{container.split()[0]}>"
+        before, after = ("".join(piece() for _ in range(int(rng.integers(0, 4)))) for _ in range(2))
+        whole = source[: found.start()] + before + body + after + source[found.end() :]
+        if rng.random() < 0.5:  # the usual elements by other names
+            for tag, name in (("nav", "div"), ("footer", "div")):
+                whole = re.sub(rf"<(/?){tag}\b", rf"<\1{name}", whole)
+        if rng.random() < 0.4:  # a part of a page
+            whole = SHELL.sub("", whole)
+        made.append(whole)
     return made
 
 
