@@ -59,6 +59,8 @@ def _repeated(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> dict[str, np.ndarray]:
     """The counts of each text of a chunk; ``offsets`` start at 0."""
     n = len(offsets) - 1
+    if not len(data):
+        return {k: np.zeros((n, len(lengths)) if k == "covered" else n, np.int64) for k in ARROW.names if k != "doc_id"}
     space = IS_SPACE[data]
     breaks = np.zeros(len(data) + 1, bool)  # where a text starts
     breaks[offsets] = True
