@@ -109,6 +109,20 @@ def by_hash(*columns: Column, seed: str = "") -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
+def least_by_hash(df: DataFrame, most: int, *columns: Column, seed: str) -> DataFrame:
+    """At most ``most`` rows: those whose hash of ``columns`` is least, and of equal hashes any.
+
+    A share of the hashes that holds about that many rows is filtered first, so that the tasks together, however many
+    they are, hand on about ``most`` rows and not ``most`` rows each.
+    """
+    rows = df.count()
+    hashed = df.withColumn("__hash", by_hash(*columns, seed=seed))
+    if rows > most:
+        share = min(1.0, (1.1 * most + 100) / rows)
+        hashed = hashed.filter(F.col("__hash") < int(-(2**63) + share * 2**64) if share < 1 else F.lit(True))
+    return hashed.orderBy("__hash").limit(most).drop("__hash")
+
+
 def frame_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A batch from numpy arrays, lists or Arrow arrays, in the schema's order."""
     arrays = []

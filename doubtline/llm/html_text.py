@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doubtline.llm.common import by_hash, frame_batch, map_batches
+from doubtline.llm.common import frame_batch, least_by_hash, map_batches
 
 #: Pages that are learned from at most (the bound of the training sample).
-TRAIN_PAGES = 400
+TRAIN_PAGES, MOST_CHARS = 400, 200_000
 
 # --- pages to nodes
 
@@ -390,10 +390,10 @@ def fit(sources: list[str], seed: int = 5) -> PageModel:
 
 
 def train(pages: DataFrame, most: int = TRAIN_PAGES) -> PageModel:
-    """The model from at most ``most`` pages, chosen by a hash of their source; only these reach the driver."""
-    known = pages.select(F.col("html").cast("string").alias("html")).filter(F.length("html") > 0)
-    chosen = known.select(by_hash(F.col("html"), seed="pages").alias("h"), F.length("html").alias("n"), "html").filter("n < 200000").orderBy("h", "n").limit(most)
-    return fit([r.html for r in chosen.collect()])
+    """The model from at most ``most`` pages of at most ``MOST_CHARS`` characters, chosen by hash; only these reach the driver."""
+    known = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).filter(F.length("html").between(1, MOST_CHARS))
+    chosen = least_by_hash(known, most, F.col("page_id"), F.col("url"), F.col("html"), seed="pages")
+    return fit(sorted(r.html for r in chosen.select("html").collect()))
 
 
 # --- decoding

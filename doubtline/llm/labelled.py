@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doubtline.llm.common import by_hash, id_and_text
+from doubtline.llm.common import id_and_text, least_by_hash
 
 
 def remainder(doc_id: Column, parts: int) -> Column:
@@ -27,5 +27,5 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"), parts, part))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = known.orderBy(by_hash(F.col("doc_id"), seed=seed), "doc_id").limit(most)
+    chosen = least_by_hash(known, most, F.col("doc_id"), seed=seed)
     return id_and_text(docs, null_text="").join(F.broadcast(chosen), "doc_id")
