@@ -89,21 +89,17 @@ def _splits(df):
     return [parts.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test")]
 
 
-def _light_candidates():
-    return [make_model("DT", depth=6), LinearDiscriminant(), make_model("RF", trees=10, depth=6), GaussianBayes(), make_model("LR")]
-
-
 def _light_monitor():
     return spec_monitor()
 
 
-def _trained(spark, sf, monitor=None, build=D.orders, names=None, candidates=None, ratios=(None, 0.1, 0.3)):
+def _trained(spark, sf, monitor=None, build=D.orders, names=None):
     train, val, test = _splits(build(spark, sf).select("row_id", "features", "label"))
     main = GaussianBayes().fit(train)
     monitor = monitor or _light_monitor()
     scored = materialize(main.transform(train), "scored")
     monitor.fit(scored, main, names=names or D.STATUS)
-    monitor.train(scored, materialize(main.transform(val), "scored"), candidates=candidates or _light_candidates(), ratios=ratios)
+    monitor.train(scored, materialize(main.transform(val), "scored"))
     return monitor, main.transform(test)
 
 
@@ -148,9 +144,7 @@ def predicted_errors(spark, sf):
 @query("m08_experiment")
 def run_experiment(spark, sf):
     train, val, test = _splits(D.orders(spark, sf).select("row_id", "features", "label"))
-    report = experiment(
-        _light_monitor(), GaussianBayes(), train, val, test, D.STATUS, "orders", _light_candidates(), (None, 0.1)
-    )
+    report = experiment(_light_monitor(), GaussianBayes(), train, val, test, D.STATUS, "orders")
     return rounded(report.drop("train_ms", "test_ms", "monitor_ms"))
 
 
@@ -237,21 +231,18 @@ def batch(spark, sf):
 
 @query("m13_learn_from_tables")
 def learn(spark, sf):
-    judge = learn_from_tables(
-        spark, _batch(spark, sf), min_accuracy=0.15, candidates=_light_candidates(), ratios=(None, 0.2)
-    )
+    judge = learn_from_tables(spark, _batch(spark, sf), min_accuracy=0.15)
     return rounded(judge.candidates(spark))
 
 
 @query("s09_report_sink")
 def report_sink(spark, sf):
     out = work_path(spark, "report")
-    learn_from_tables(
-        spark, _batch(spark, sf), out=out, min_accuracy=0.15, candidates=[make_model("RF", trees=10, depth=6)], ratios=(None,)
-    )
-    chosen = spark.read.parquet(f"{out}/metrics").first()
+    learn_from_tables(spark, _batch(spark, sf), out=out, min_accuracy=0.15)
+    chosen = spark.read.parquet(f"{out}/metrics").select("model", "mcc", "train_rows")
     table = spark.read.parquet(f"{out}/importances")
-    return rounded(table.withColumns({"model": F.lit(chosen.model), "mcc": F.lit(chosen.mcc), "train_rows": F.lit(chosen.train_rows)}))
+    # a model without importances still has its row
+    return rounded(chosen.join(table, F.lit(True), "left").select("um", "weight", "model", "mcc", "train_rows"))
 
 
 @query("m14_ablation_grid")

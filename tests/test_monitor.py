@@ -317,3 +317,32 @@ def test_groups_of_the_ablation_do_not_mix():
     groups = default_groups(columns)
     assert groups["checkers"] == ["um_combined_lda", "um_external_lda_entropy"]
     assert groups["ensembles"] == ["um_combined_confidencebagger_10"]
+
+
+@pytest.mark.parametrize("name", ["m04_train_adjudicator", "m05_candidate_search", "m06_judge", "m07_misclassifications", "m08_experiment", "m13_learn_from_tables", "s09_report_sink"])
+def test_registered_searches_use_the_whole_grid(spark, sf, monkeypatch, name):
+    """The candidates and ratios that reach the adjudicator's training are the engine's defaults."""
+    from doubtline.plans import adjudicator, jobs, monitor
+    from doubtline.queries import all_queries, learning
+
+    class Reached(Exception):
+        pass
+
+    def stop(train, val, um_columns, *args, candidates=None, ratios=adjudicator.RATIOS, **options):
+        models = adjudicator.search_candidates() if candidates is None else candidates
+        raise Reached([m.name for m in models], tuple(ratios))
+
+    monkeypatch.setattr(monitor, "train_adjudicator", stop)
+    monkeypatch.setattr(jobs, "train_adjudicator", stop)
+    monkeypatch.setattr(learning, "spec_monitor", lambda: Monitor().add_maxprob())
+    few = spark.createDataFrame(
+        [("a", "GNB", i, i % 4 == 0, i / 9) for i in range(9)],
+        "dataset string, clf string, row_id bigint, is_misclassification boolean, um_max_prob double",
+    ).withColumn("is_misclassification", F.col("is_misclassification").cast("int"))
+    monkeypatch.setattr(learning, "_batch", lambda spark, sf: "")
+    monkeypatch.setattr(jobs, "read_measure_tables", lambda *args: few)
+    pooled = name.startswith(("m13", "s09"))
+    with pytest.raises(Reached) as found:
+        all_queries()[name](spark, sf)
+    whole = adjudicator.pooled_candidates() if pooled else adjudicator.search_candidates()
+    assert found.value.args == ([m.name for m in whole], adjudicator.RATIOS)
