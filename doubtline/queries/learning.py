@@ -245,15 +245,19 @@ def report_sink(spark, sf):
     return rounded(chosen.join(table, F.lit(True), "left").select("um", "weight", "model", "mcc", "train_rows"))
 
 
+def _ablation_monitor():
+    """The supervised preset and both confidence ensembles: each group of the ablation has its measures."""
+    monitor = supervised_preset()
+    return monitor.add_confidence_bagging(GaussianBayes()).add_confidence_boosting(GaussianBayes())
+
+
 @query("m14_ablation_grid")
 def ablation(spark, sf):
     train, val, test = _splits(D.orders(spark, sf).select("row_id", "features", "label"))
     main = GaussianBayes().fit(train)
-    monitor = _light_monitor().fit(materialize(main.transform(train), "scored"), main, names=D.STATUS)
+    monitor = _ablation_monitor().fit(materialize(main.transform(train), "scored"), main, names=D.STATUS)
     subsets = measure_subsets(monitor.um_columns, default_groups(monitor.um_columns))
-    grid = ablation_grid(
-        monitor.measure(main.transform(val)), monitor.measure(main.transform(test)), subsets, "orders", "GNB", make_model("DT", depth=8)
-    )
+    grid = ablation_grid(monitor.measure(main.transform(val)), monitor.measure(main.transform(test)), subsets, "orders", "GNB")
     return rounded(grid)
 
 

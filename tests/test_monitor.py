@@ -346,3 +346,28 @@ def test_registered_searches_use_the_whole_grid(spark, sf, monkeypatch, name):
         all_queries()[name](spark, sf)
     whole = adjudicator.pooled_candidates() if pooled else adjudicator.search_candidates()
     assert found.value.args == ([m.name for m in whole], adjudicator.RATIOS)
+
+
+def test_registered_ablation_has_all_groups(spark, sf, monkeypatch):
+    """The measures of every group are in the monitor, and the model is the default."""
+    from doubtline.queries import all_queries, learning
+
+    seen = {}
+
+    def fit(self, *args, **options):
+        seen["measures"] = {type(m) for m in self.measures}
+        return self
+
+    def grid(val, test, subsets, dataset, clf, model=None):
+        seen["model"] = model
+        return val
+
+    monkeypatch.setattr(Monitor, "fit", fit)
+    monkeypatch.setattr(Monitor, "measure", lambda self, scored: scored)
+    monkeypatch.setattr(learning, "ablation_grid", grid)
+    all_queries()["m14_ablation_grid"](spark, sf)
+    groups = {
+        M.ConfidenceInterval, M.ReconstructionLoss, M.MaxProb, M.Entropy, M.External, M.Combined, M.MultiCombined,
+        M.Neighbours, M.Proximity, M.ConfidenceBaggingMeasure, M.ConfidenceBoostingMeasure,
+    }
+    assert groups <= seen["measures"] and seen["model"] is None
