@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ SEPARATORS = frozenset(".-_*·~'`^/\\,:")
 SWAP, REPEAT, SEPARATE, DROP = 1.0, 1.5, 0.7, 12.0
 #: Paths kept at each character, and readings of a word taken at its end.
 BEAM, READINGS = 24, 3
+#: Characters of a token at most that may be a piece of a spaced word, and of the word joined from such pieces.
+PIECE_CHARS, JOINED_CHARS = 5, 16
 
 
 def _symbol(c: str) -> int:
@@ -56,6 +59,11 @@ class CharModel:
 
     cost: np.ndarray
 
+    @cached_property
+    def flat(self) -> list[float]:
+        """The costs as one list, quicker to read one by one."""
+        return self.cost.ravel().tolist()
+
     @staticmethod
     def of(grams: np.ndarray) -> CharModel:
         """From counts of the 64**3 trigrams, with a mixture of shorter contexts."""
@@ -99,8 +107,8 @@ def char_model(docs: DataFrame) -> CharModel:
 # --- deobfuscation
 
 ODD_INSIDE = re.compile(r"[^\W\d_](?=.*[0-9@$!|+(€£.\-_*·~'`^/\\,:].*[^\W\d_])|[0-9@$!|+(€£](?=.*[^\W\d_])")
-THRICE = re.compile(r"([^\W\d_])\1\1")
-DOUBLES = re.compile(r"([^\W\d_])\1.*?([^\W\d_])\2.*?([^\W\d_])\3")
+DOUBLE = re.compile(r"([^\W\d_])\1")
+REPEATS = re.compile(r"([^\W\d_])\1+")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -111,44 +119,43 @@ def decode(noisy: str, model: CharModel, readings: int = READINGS) -> list[str]:
     separates or repeats the character before it. The path with the least sum of channel and language model costs wins;
     paths are kept apart by the last two symbols, the best ``BEAM`` of them at each character.
     """
-    cost = model.cost
-    # state: last two symbols, last character read as a letter -> (cost, text)
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for i, c in enumerate(noisy):
-        options: list[tuple[str, float]] = []
+    cost = model.flat
+    # state: last two symbols, a * SYMBOLS + b -> (cost, text)
+    paths: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    before = ""
+    for c in noisy:
+        options: list[tuple[str, int, float]] = []
         if c.isalpha():
-            options.append((c, 0.0))
-            if i and noisy[i - 1] == c:
-                options.append(("", REPEAT))
+            options.append((c, _symbol(c), 0.0))
         else:
-            options += [(letter, SWAP) for letter in LEET.get(c, "")]
-            options.append(("", SEPARATE if c in SEPARATORS or c == " " else DROP))
-            if i and noisy[i - 1] == c:
-                options.append(("", REPEAT))
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (spent, text) in paths.items():
-            for letter, channel in options:
+            options += [(letter, _symbol(letter), SWAP) for letter in LEET.get(c, "")]
+            options.append(("", 0, SEPARATE if c in SEPARATORS or c == " " else DROP))
+        if before == c:
+            options.append(("", 0, REPEAT))
+        before = c
+        step: dict[int, tuple[float, str]] = {}
+        for state, (spent, text) in paths.items():
+            for letter, s, channel in options:
                 if letter:
-                    s = _symbol(letter)
-                    key, total, made = (b, s), spent + channel + float(cost[a, b, s]), text + letter
+                    key, total, made = state % SYMBOLS * SYMBOLS + s, spent + channel + cost[state * SYMBOLS + s], text + letter
                 else:
                     # a separator between equal letters doesn't make a repeat of them
-                    key, total, made = (a, b), spent + channel, text
+                    key, total, made = state, spent + channel, text
                 known = step.get(key)
                 if known is None or (total, made) < known:
                     step[key] = (total, made)
         paths = dict(sorted(step.items(), key=lambda x: (x[1], x[0]))[:BEAM]) if len(step) > BEAM else step
-    ends = sorted((spent + float(cost[a, b, 0]), text) for (a, b), (spent, text) in paths.items())
+    ends = sorted((spent + cost[state * SYMBOLS], text) for state, (spent, text) in paths.items())
     return list(dict.fromkeys(text for _, text in ends if text))[:readings]
 
 
 def restore_word(word: str, model: CharModel) -> list[str]:
-    """A token's readings: as it stands, and the likeliest decoded ones if signs, separators or repeats look like noise."""
+    """A token's readings: as it stands, and the likeliest decoded ones if it has signs, separators or a doubled letter."""
     word = word.lower()
     plain = EDGE.sub("", word)
     found = [plain] if plain else []
     core = word if ODD_INSIDE.search(word) else plain
-    if any(c.isalpha() for c in core) and (ODD_INSIDE.search(core) or THRICE.search(core) or DOUBLES.search(core)):
+    if any(c.isalpha() for c in core) and (ODD_INSIDE.search(core) or DOUBLE.search(core)):
         # signs at the ends may be letters or mere signs: both readings
         for noisy in dict.fromkeys((plain, core.strip(".,;:*-_'\"()[]?#%&~"))):
             if noisy:
@@ -171,9 +178,47 @@ def spaced_runs(words: list[str]) -> list[str]:
     return runs
 
 
+class Joints(dict):
+    """Ends of two neighbouring tokens to whether the lattice reads them as one word rather than as two.
+
+    The key is the last two characters of one token and the first two of the next, with a space between. One word costs a
+    separator and the letters across the joint, two cost the end of one and the start of the other; all else is equal.
+    """
+
+    def __init__(self, model: CharModel):
+        super().__init__()
+        self.cost = model.cost
+
+    def __missing__(self, key: str) -> bool:
+        left, right = ([LEET.get(c, c)[0] if c in "@$€£" or c.isalnum() else " " for c in part] for part in key.lower().split(" "))
+        (a, b), (c, d) = [0, *map(_symbol, left)][-2:], [*map(_symbol, right), 0][:2]
+        cost = self.cost
+        value = bool(b and c and SEPARATE + cost[a, b, c] + cost[b, c, d] < cost[a, b, 0] + cost[0, 0, c] + cost[0, c, d])
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[key] = value
+        return value
+
+
+def joined_pieces(words: list[str], joints: Joints) -> list[tuple[int, int]]:
+    """(first, end) of neighbouring short tokens, two or more, that the lattice joins at each place between them."""
+    found = []
+    short = [len(w) <= PIECE_CHARS for w in words]
+    joint = [i for i, two in enumerate(zip(short, short[1:])) if two[0] and two[1] and joints[f"{words[i][-2:]} {words[i + 1][:2]}"]]
+    follows = set(joint)
+    for i in joint:
+        end, size = i + 1, len(words[i])
+        while end - 1 in follows and size + len(words[end]) <= JOINED_CHARS:
+            size += len(words[end])
+            end += 1
+            found.append((i, end))
+    return found
+
+
 def restore(text: str, model: CharModel) -> str:
     """A text with each noisy word replaced by the likeliest one, in lower case, words joined by a space."""
     words, out, i = text.split(), [], 0
+    longest: dict[int, int] = dict(joined_pieces(words, Joints(model)))
     while i < len(words):
         j = i
         while j < len(words) and len(words[j]) == 1:
@@ -181,6 +226,9 @@ def restore(text: str, model: CharModel) -> str:
         if runs := spaced_runs(words[i:j]):
             out += decode(runs[0].lower(), model, 1)
             i = j
+        elif (end := longest.get(i, 0)) and not spaced_runs(words[i:end]):
+            out += restore_word("".join(words[i:end]), model)[:2][-1:]
+            i = end
         else:
             out += restore_word(words[i], model)[:2][-1:]
             i += 1
@@ -206,13 +254,26 @@ class _Memo(dict):
     def __init__(self, char: CharModel, index: dict[str, int] | None):
         super().__init__()
         self.char, self.known = char, None if index is None else {f.split("+")[0] for f in index}
+        self.joints = Joints(char)
+        # known bases without repeats: the lattice only takes repeats out of a word of letters alone
+        self.heads = {REPEATS.sub(r"\1", b.removeprefix("=")) for b in self.known or ()}
+        self.lengths = sorted({len(h) for h in self.heads})
 
     def bases(self, read: list[str]) -> tuple:
         found = [(w, b) for w in read for b in bases_of(w)]
         return tuple(found if self.known is None else [x for x in found if x[1] in self.known])
 
+    def hopeless(self, word: str) -> bool:
+        """If no reading of the word can have a known base; decides it for words of letters alone."""
+        low = word.lower()
+        plain = EDGE.sub("", low)
+        if self.known is None or not plain.isalpha() or ODD_INSIDE.search(low):
+            return False
+        bare = REPEATS.sub(r"\1", plain)
+        return not any(bare[:n] in self.heads for n in self.lengths)
+
     def __missing__(self, word: str) -> tuple:
-        value = self.bases(restore_word(word, self.char))
+        value = () if self.hopeless(word) else self.bases(restore_word(word, self.char))
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -227,6 +288,8 @@ class _Memo(dict):
             # a letter before or after a spaced word may be a word of its own
             for noisy in [run, *([run[2:], run[:-2]] if len(run) > 7 else [])]:
                 found.update(self.bases(decode(noisy.lower(), self.char)))
+        for first, end in joined_pieces(words, self.joints):
+            found.update(self["".join(words[first:end])])
         counts = Counter(b for _, b in found)
         return [b if n == 1 else f"{b}+{n}" for b, c in counts.items() for n in range(1, min(c, MOST_ALIKE) + 1)]
 

@@ -74,6 +74,15 @@ def test_noise_is_undone(spark, toxic, noisy):
     assert got == {0: 1, 1: 0, 2: 0}
 
 
+@pytest.mark.parametrize("noisy", ["stuupid", "sstupid", "moorron", "iddiot", "stu pid", "id iot", "mor on", "st up id", "stu p1d"])
+def test_light_noise_is_undone(spark, toxic, noisy):
+    """One or two doubled letters, and words in a few pieces."""
+    _, _, model = toxic
+    docs = spark.createDataFrame([(0, f"river stone {noisy} garden paper"), (1, "river stone garden paper")], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, model).collect()}
+    assert got == {0: 1, 1: 0}
+
+
 def test_restored_text(toxic):
     _, char, _ = toxic
     assert toxicity.restore("You i d i o t and m0r0n.", char).split()[1:] == ["idiot", "and", "moron"]
