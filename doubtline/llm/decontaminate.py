@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,24 @@ def grams(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if size else set()
 
 
+@dataclass
+class Corpus:
+    """Numbers over all items: how many, their words, the longest one, and how many items have a word."""
+
+    n: int
+    words: int
+    longest: int
+    held: dict[str, int]
+
+    @staticmethod
+    def of(texts: Iterable[list[str]]) -> Corpus:
+        sizes, held = [], Counter()
+        for words in texts:
+            sizes.append(len(words))
+            held.update(set(words))
+        return Corpus(len(sizes), sum(sizes), max(sizes, default=0), held)
+
+
 class ItemIndex:
     """Postings of test items with impacts, their maxima by term and by block, and the items' parts.
 
@@ -65,18 +84,18 @@ class ItemIndex:
     passage scores 1 whatever its length.
     """
 
-    def __init__(self, items: list[tuple[int | None, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], corpus: Corpus | None = None):
         texts = [(i, [w for w in words_of(t) if w], question_and_answer(t)) for i, t in items]
         texts = [x for x in texts if x[1]]
         self.ids = [x[0] for x in texts]
         self.parts = [(grams(q), grams(a), len(q), len(a)) for _, _, (q, a) in texts]
         n = len(texts)
         counts = [Counter(x[1]) for x in texts]
-        held = Counter(w for c in counts for w in c)
-        mean = sum(len(x[1]) for x in texts) / max(n, 1)
-        self.longest = max((len(x[1]) for x in texts), default=0)
+        corpus = corpus or Corpus.of(x[1] for x in texts)
+        held = {w: corpus.held[w] for w in set().union(*counts)}
+        mean, self.longest = corpus.words / max(corpus.n, 1), corpus.longest
         self.cell = max(CELL_WORDS, self.longest)
-        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in held.items()}
+        idf = {w: math.log(1 + (corpus.n - d + 0.5) / (d + 0.5)) for w, d in held.items()}
         self.term = {w: k for k, w in enumerate(sorted(held))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.term]
         for item, c in enumerate(counts):
@@ -257,19 +276,44 @@ def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> list[ItemIndex]
     """Indexes over all items (``item_id, text``), each of about ``index_bytes`` of text at most and of whole items.
 
     Items without words can't be found and are left out; null ids stay null. The items of a large benchmark are dealt by a
-    hash, so the document frequencies of a part are those of a sample.
+    hash; item count, lengths and document frequencies are those of all items, summed by Spark, so the parts don't show.
     """
     slim = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-int(size) // index_bytes)
     dealt = slim.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(parts, 1))))
+    counted = map_batches(dealt.select("part", "text"), _counted, "part long, word string, n long, words long, longest long") if parts > 1 else None
+    whole, held = None, None
+    if counted is not None:
+        # an empty word stands for the item itself
+        whole = counted.filter("word = ''").agg(F.sum("n"), F.sum("words"), F.max("longest")).first()
+        held = counted.filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
     found = []
     for part in range(parts):
         rows = dealt.filter(F.col("part") == part).orderBy("item_id", "text").collect()
-        found.append(ItemIndex([(r.item_id, r.text) for r in rows]))
+        corpus = None
+        if whole is not None and whole[0]:
+            here = counted.filter((F.col("part") == part) & (F.col("word") != "")).select("word").distinct()
+            corpus = Corpus(whole[0], whole[1], whole[2], {r.word: r.n for r in held.join(here, "word").collect()})
+        found.append(ItemIndex([(r.item_id, r.text) for r in rows], corpus))
     return found
 
 
+def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """For each part: how many items have a word, and with an empty word how many items, their words and the longest."""
+    seen: dict[tuple[int, str], list[int]] = {}
+    for part, text in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        words = [w for w in words_of(text) if w]
+        for word in ("", *set(words)) if words else ():
+            row = seen.setdefault((part, word), [0, 0, 0])
+            row[0] += 1
+            if not word:
+                row[1], row[2] = row[1] + len(words), max(row[2], len(words))
+    schema = pa.schema([("part", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("words", pa.int64()), ("longest", pa.int64())])
+    columns = {"part": [k[0] for k in seen], "word": [k[1] for k in seen]}
+    return frame_batch(schema, **columns, **{name: [v[i] for v in seen.values()] for i, name in enumerate(("n", "words", "longest"))})
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap``: a row for each item that is verified in a row's text.
 

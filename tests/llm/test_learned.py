@@ -270,6 +270,15 @@ def test_leaks_are_found_and_clean_texts_left(spark, items, docs_of):
         assert {r.doc_id for r in left.collect()} == set(range(10, 42)) and left.columns == docs.columns
 
 
+def test_scores_do_not_depend_on_the_parts(spark, items, docs_of):
+    """Several indexes give the rows of one, to the last column, partial leaks included."""
+    rows, word = items
+    bench = spark.createDataFrame([*rows, (99, "...")], "item_id long, text string")
+    docs = docs_of([" ".join(word() for _ in range(100)) + " " + " ".join(r[1].split()[: 3 + len(r[1].split()) * 2 // 3]) for r in rows])
+    one, many = (sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in decontaminate.contaminated(docs, bench, index_bytes=size).collect()) for size in (1 << 20, 2000))
+    assert one and one == many
+
+
 def test_every_verbatim_item_of_the_tables(spark, sf, table):
     docs, bench = table("documents", "doc_id, text"), table("benchmark", "item_id, text")
     want = {(d, i) for d, t in docs for i, x in bench if x in t}
