@@ -50,7 +50,7 @@ SCORED = "SELECT row_id, pred, round(list_max(prob), 6) AS confidence FROM m"
 
 def _register_models():
     plans = {
-        "c01_xgb": ("XGB", {"rounds": 10}),
+        "c01_xgb": ("XGB", {}),
         "c02_decision_tree": ("DT", {}),
         "c04_linear_svm": ("SVM", {}),
         "c07_multinomial_nb": ("MNB", {}),
@@ -205,6 +205,10 @@ def stored_monitors(spark, sf):
 # --- jobs -----------------------------------------------------------------------------------
 
 
+# fixed values: the classifiers with labels of the usual batch
+BATCH_CLASSIFIERS = ("LDA", "DT", "LR", "RF", "XGB", "GBC", "GNB", "KNN", "SVM", "LB")
+
+
 def _batch(spark, sf):
     path = work_path(spark, "um-batch")
     datasets = {
@@ -212,9 +216,7 @@ def _batch(spark, sf):
         "events": D.events(spark, sf).select("row_id", "features", "label"),
         "documents": D.documents(spark, sf).select("row_id", "features", "label"),
     }
-    batch_measures(
-        datasets, ["GNB", "LDA"], lambda model: Monitor().add_confidence(level=0.9).add_maxprob().add_entropy().add_bayes(), path
-    )
+    batch_measures(datasets, BATCH_CLASSIFIERS, lambda model: supervised_preset(), path)
     return path
 
 

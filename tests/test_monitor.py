@@ -371,3 +371,23 @@ def test_registered_ablation_has_all_groups(spark, sf, monkeypatch):
         M.Neighbours, M.Proximity, M.ConfidenceBaggingMeasure, M.ConfidenceBoostingMeasure,
     }
     assert groups <= seen["measures"] and seen["model"] is None
+
+
+def test_registered_batch_and_boosting_are_whole(spark, sf, monkeypatch):
+    """All classifiers under the preset, and the default rounds."""
+    from doubtline.operators.models import make_model
+    from doubtline.plans.monitor import supervised_preset
+    from doubtline.queries import all_queries, learning
+
+    seen = {}
+    monkeypatch.setattr(learning, "_fit_and_score", lambda model, df: model.name)
+    assert all_queries()["c01_xgb"](spark, sf) == make_model("XGB").name
+
+    def stop(datasets, classifiers, monitor_for, path):
+        seen.update(datasets=set(datasets), classifiers=set(classifiers), measures=[type(m) for m in monitor_for(None).measures])
+
+    monkeypatch.setattr(learning, "batch_measures", stop)
+    learning._batch(spark, sf)
+    assert seen["datasets"] == {"orders", "events", "documents"}
+    assert seen["classifiers"] == {"LDA", "DT", "LR", "RF", "XGB", "GBC", "GNB", "KNN", "SVM", "LB"}
+    assert seen["measures"] == [type(m) for m in supervised_preset().measures]
