@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doubtline.llm import byte_bpe, decontaminate, html_text, quality, repetition, sharding, simhash, substrings, token_counts, toxicity
+from doubtline.llm import (
+    byte_bpe,
+    conversations,
+    decontaminate,
+    html_text,
+    lexical,
+    mixing,
+    quality,
+    repetition,
+    sharding,
+    simhash,
+    substrings,
+    token_counts,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -63,6 +77,18 @@ def op10_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(pages, html_text.train(pages))
 
 
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def op12_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.digests(conversations.repair(conversations.damage(_table(spark, sf, "conversations"))))
+
+
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +102,9 @@ PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_restored_toxicity,
         op9_token_counts,
         op10_html_main_text,
+        op11_lexical_search,
+        op12_source_mix,
+        op13_conversation_repair,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -85,5 +114,12 @@ def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def sql() -> dict[str, str]:
-    known = {"op1_repetition_rules": repetition.rules_sql(), "op4_hash_tree_shards": sharding.shards_sql(), "pipeline": corpus_pipeline.ORACLE_SQL}
+    known = {
+        "op1_repetition_rules": repetition.rules_sql(),
+        "op4_hash_tree_shards": sharding.shards_sql(),
+        "op11_lexical_search": lexical.SQL,
+        "op12_source_mix": mixing.mix_sql(),
+        "op13_conversation_repair": conversations.repair_sql(),
+        "pipeline": corpus_pipeline.ORACLE_SQL,
+    }
     return {name: statement for name, statement in known.items() if statement}
