@@ -29,10 +29,9 @@ from doubtline.operators.stats import (
     covariance,
     long_form,
     moments,
-    running_totals,
     task_partials,
 )
-from doubtline.session import materialize
+from doubtline.session import hidden, materialize
 
 DEFAULT_CONTAMINATION = 0.1
 
@@ -78,6 +77,10 @@ class FittedDetector(Fitted):
     threshold = low = high = 0.0
     classes = 2
 
+    @property
+    def row_local(self) -> bool:
+        return not self.costly
+
     def score(self, df: DataFrame, out: str = "score") -> DataFrame:
         raise NotImplementedError
 
@@ -120,6 +123,10 @@ def _vector_score(df: DataFrame, fn, out: str) -> DataFrame:
 # --- D1, D2: empirical tails ----------------------------------------------------------------
 
 
+#: Cut points of a feature, from a sketch with this accuracy; a value at two of them is common.
+TAIL_CUTS, TAIL_ACCURACY = 64, 2000
+
+
 class TailDetector(Detector):
     """COPOD and ECOD: -log of the empirical tail probabilities, summed over the features."""
 
@@ -129,15 +136,46 @@ class TailDetector(Detector):
 
     def learn(self, train):
         long = long_form(train, features="features")
-        return FittedTails(self.kind, long.groupBy("fid", "x").agg(F.count(F.lit(1)).alias("c")))
+        sums, cuts = _shape(long)
+        return FittedTails(self.kind, sums, cuts, long.groupBy("fid", "x").agg(F.count(F.lit(1)).alias("c")))
+
+
+def _shape(long: DataFrame) -> tuple[list, list]:
+    """Of each feature: count, mean, second and third central sum; and its cut points."""
+    shares = F.array(*[F.lit(i / TAIL_CUTS) for i in range(TAIL_CUTS + 1)])
+    table = long.groupBy("fid").agg(
+        F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.skewness("x").alias("s"),
+        F.percentile_approx("x", shares, TAIL_ACCURACY).alias("cuts"),
+    )
+    rows = sorted(bounded_collect(table, what="features"), key=lambda r: r.fid)
+    sums = []
+    for r in rows:
+        third = 0.0 if r.s is None or r.s != r.s else r.s * r.v**1.5 * r.n
+        sums.append([float(r.n), r.m or 0.0, (r.v or 0.0) * r.n, third])
+    return sums, [sorted(set(r.cuts or [])) for r in rows]
+
+
+def _joined_sums(a: list, b: list) -> list:
+    """Counts, means and central sums of two tables as one."""
+    out = []
+    for (n, m, s, t), (k, mean, second, third) in zip(a, b, strict=True):
+        whole, gap = n + k, mean - m
+        if not n or not k:
+            out.append([n, m, s, t] if n else [k, mean, second, third])
+            continue
+        out.append([
+            whole, m + gap * k / whole, s + second + gap**2 * n * k / whole,
+            t + third + gap**3 * n * k * (n - k) / whole**2 + 3 * gap * (n * second - k * s) / whole,
+        ])
+    return out
 
 
 @register
 class FittedTails(FittedDetector):
     costly = True
 
-    def __init__(self, kind, values):
-        self.kind, self.values = kind, values
+    def __init__(self, kind, sums, cuts, values):
+        self.kind, self.sums, self.cuts, self.values = kind, sums, cuts, values
 
     def train_scores(self, train):
         return self._score(train, "score", with_train=False)
@@ -146,62 +184,80 @@ class FittedTails(FittedDetector):
         return self._score(df, out, with_train=True)
 
     def _score(self, df, out, with_train):
-        """Tails over the rows to score, together with the training rows.
+        """Tails over the rows to score, together with the training values.
 
-        A row is known by its id and vector, so rows that share an id, or have none, keep scores of their own.
+        The cells of the rows go to ranges of their feature's values, between cut points or exactly at one. A range's rows
+        and how many come before it are counted in the tasks first, so a cell at a cut point, as all those of a common value
+        are, knows its tails without being moved; the others are ranked within their range. Cells know their row by a hash of
+        all its columns, and one fold by it sums them up; the row itself travels with the cell of its first feature.
         """
-        df = df.withColumn("__key", F.xxhash64("row_id", F.col("features").cast("array<double>")))
-        rows = long_form(df, "row_id", "__key")
-        own = rows.groupBy("fid", "x").agg(F.count(F.lit(1)).alias("c"))
-        counts = own.unionByName(self.values.select("fid", "x", "c")) if with_train else own
+        names = df.columns
+        key, whole, copies = hidden("key"), hidden("row"), hidden("copies")
+        every = [F.col(f"`{n}`") for n in names]
+        hashed = F.struct(F.xxhash64(*every), F.xxhash64(F.lit(1), *every))
+        row = df.select(hashed.alias(key), F.struct(*every).alias(whole), F.col("features").cast("array<double>").alias("x"))
+        cells = row.select(key, F.posexplode("x").alias("fid", "x"), whole).withColumn(whole, F.when(F.col("fid") == 0, F.col(whole)))
+        own_sums, own_cuts = _shape(long_form(df))
+        sums, cuts = own_sums or self.sums, own_cuts or self.cuts
+        if with_train and own_sums:
+            sums = _joined_sums(self.sums, own_sums)
+            cuts = [sorted({*a, *b}) for a, b in zip(self.cuts, own_cuts, strict=True)]
+        check_values(sum(map(len, cuts)), "cut points")
+        d, edges = len(sums), [np.array(c, float) for c in cuts]
+
+        @F.arrow_udf("int")
+        def place(fid: pa.Array, x: pa.Array) -> pa.Array:
+            # even numbers between cut points, odd ones at them
+            feature, value = fid.to_numpy(zero_copy_only=False), x.to_numpy(zero_copy_only=False).astype(float)
+            found = np.zeros(len(feature), np.int32)
+            for j in np.unique(feature):
+                mine = feature == j
+                right = np.searchsorted(edges[j], value[mine], side="right")
+                found[mine] = np.searchsorted(edges[j], value[mine]) + right
+            return pa.array(found)
+
+        cells = cells.withColumn("c", F.lit(1).cast("long")).withColumn("part", place("fid", "x"))
+        known = cells
         if with_train:
-            counts = counts.groupBy("fid", "x").agg(F.sum("c").alias("c"))
-        counts = materialize(counts, "tail-values")  # read by four jobs
-        table = running_totals(counts, "x", ["c"], by=["fid"], merged=True)
-        size = {r.fid: r for r in bounded_collect(_weighted_skew(counts))}
-        d = max(size) + 1
-        n = V.lit_vector([size[j].n for j in range(d)])
-        sign = V.lit_vector([size[j].s for j in range(d)])
-        table = table.select(
-            "fid",
-            "x",
-            (-F.ln(F.col("cum_c") / F.get(n, "fid"))).alias("left"),
-            (-F.ln((F.get(n, "fid") - F.col("cum_c") + F.col("c")) / F.get(n, "fid"))).alias("right"),
-            F.get(sign, "fid").alias("s"),
-        )
-        skewed = F.when(F.col("s") > 0, F.col("right")).when(F.col("s") < 0, F.col("left"))
-        skewed = skewed.otherwise(F.col("left") + F.col("right"))
-        if self.kind == "COPOD":
-            cell = F.greatest(skewed, (F.col("left") + F.col("right")) / 2.0)
-        else:
-            cell = F.greatest(skewed, F.col("left"), F.col("right"))
-        table = table.select("fid", "x", cell.alias("u"))
-        total = int(sum(r.n for r in size.values()))
-        found = lookup(rows, table, ["fid", "x"], total, counts)
-        # equal rows are summed together: their sum is shared out among them
+            old = self.values.select(F.lit(None).cast(cells.schema[key].dataType).alias(key), "fid", "x", F.lit(None).cast(cells.schema[whole].dataType).alias(whole), F.col("c").cast("long").alias("c"))
+            known = cells.unionByName(old.withColumn("part", place("fid", "x")))
+        ahead = Window.partitionBy("fid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        totals = known.groupBy("fid", "part").agg(F.sum("c").alias("inside"))  # at most two rows for each cut point
+        totals = totals.select("fid", "part", "inside", F.coalesce(F.sum("inside").over(ahead), F.lit(0)).alias("before"))
+        n = V.lit_vector([s[0] for s in sums])
+        sign = V.lit_vector([float(np.sign(s[3])) for s in sums])
+
+        def tails(below: Column, upto: Column) -> Column:
+            size, skew = F.get(n, "fid"), F.get(sign, "fid")
+            left, right = -F.ln(upto / size), -F.ln((size - below) / size)
+            skewed = F.when(skew > 0, right).when(skew < 0, left).otherwise(left + right)
+            return F.greatest(skewed, (left + right) / 2.0) if self.kind == "COPOD" else F.greatest(skewed, left, right)
+
+        totals = F.broadcast(totals)
+        at_cut = cells.filter(F.col("part") % 2 == 1).join(totals, ["fid", "part"])
+        at_cut = at_cut.select(key, whole, "fid", tails(F.col("before"), F.col("before") + F.col("inside")).alias("u"))
+        between = known.filter(F.col("part") % 2 == 0)
+        order = Window.partitionBy("fid", "part").orderBy("x")
+        ranked = between.withColumn("upto", F.sum("c").over(order)).withColumn("same", F.sum("c").over(Window.partitionBy("fid", "part", "x")))
+        ranked = ranked.filter(F.col(key).isNotNull()).join(totals, ["fid", "part"])
+        upto = F.col("before") + F.col("upto")
+        ranked = ranked.select(key, whole, "fid", tails(upto - F.col("same"), upto).alias("u"))
+        # rows that are equal in all columns fold into one and come out as often as they went in
         share = F.sum("u") * F.lit(float(d)) / F.count("u")
-        scored = found.groupBy(F.col("row_id").alias("__row"), F.col("__key").alias("__own")).agg(share.alias(out))
-        mine = F.col("row_id").eqNullSafe(F.col("__row")) & (F.col("__key") == F.col("__own"))
-        return df.join(scored, mine).drop("__row", "__own", "__key")
+        folded = at_cut.unionByName(ranked).groupBy(key).agg(
+            F.first(whole, ignorenulls=True).alias(whole), share.alias(out), F.sum(F.when(F.col("fid") == 0, 1)).alias(copies)
+        )
+        again = folded.select(whole, out, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copies))
+        fields = [F.col(whole)[f.name].alias(f.name, metadata=f.metadata) for f in df.schema]
+        return again.select(*fields, out)
 
     def params(self):
-        return {"kind": self.kind}
+        return {"kind": self.kind, "sums": self.sums, "cuts": self.cuts}
 
     def frames(self):
         return {"values": self.values}
 
 
-def _weighted_skew(counts: DataFrame) -> DataFrame:
-    """Per feature: number of rows and the sign of the skewness, from value counts."""
-    c, x = F.col("c").cast("double"), F.col("x")
-    mean = counts.groupBy("fid").agg(F.sum(c).alias("n"), (F.sum(c * x) / F.sum(c)).alias("m"))
-    gap = F.col("x") - F.col("m")
-    third = counts.join(F.broadcast(mean), "fid").groupBy("fid").agg(
-        F.first("n").alias("n"), F.sum(c * gap * gap * gap).alias("t")
-    )
-    return third.select("fid", "n", F.signum("t").alias("s"))
-
-
 # --- D3: histograms -------------------------------------------------------------------------
 
 

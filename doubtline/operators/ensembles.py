@@ -33,6 +33,10 @@ class Members(Fitted):
     def __init__(self, name: str, classes: int, subsets: list, members: list[Fitted] | None = None):
         self.name, self.classes, self.subsets, self.members = name, classes, subsets, members or []
 
+    @property
+    def row_local(self) -> bool:
+        return all(m.row_local for m in self.members)
+
     def extra(self) -> dict:
         return {}
 

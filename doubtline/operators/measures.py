@@ -11,13 +11,19 @@ Direction: for all measures a larger value means more trust, except for ``um_knn
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import os
+import threading
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from doubtline.functions import vectors as V
 from doubtline.functions.hashing import uniform_text
@@ -28,8 +34,55 @@ from doubtline.operators.interval import IntervalBounds
 from doubtline.operators.knn import knn_join, valid_k
 from doubtline.operators.models import Fitted, GaussianBayes, Model, load_fitted, make_model
 from doubtline.operators.recon import Reconstructor
-from doubtline.operators.stats import moments
+from doubtline.operators.stats import Moments, moments
 from doubtline.operators.store import read_json, write_json
+from doubtline.operators.trees import TreeModel, fit_together
+from doubtline.session import hidden, materialize
+
+
+class FitStore:
+    """What was fitted on ``row_id, features, label`` of one training table, by recipe.
+
+    Monitors of several main models on the same rows share a store: checkers, bounds, deviations and autoencoders don't read
+    the main model's columns, so each is fitted once. ``fits`` counts how often a recipe was fitted.
+    """
+
+    def __init__(self, train: DataFrame):
+        self.train = train
+        self.held: dict[str, object] = {}
+        self.fits: Counter = Counter()
+        self._locks: dict[str, threading.Lock] = {}
+        self._lock = threading.Lock()
+
+    def get(self, key: str, fit: Callable[[], object]):
+        with self._lock:
+            own = self._locks.setdefault(key, threading.Lock())
+        with own:
+            if key not in self.held:
+                self.held[key] = fit()
+                self.fits[key] += 1
+        return self.held[key]
+
+    def model(self, model: Model) -> Fitted:
+        return copy.copy(self.get(model.key(), lambda: model.fit(self.train)))
+
+    def together(self, models: Sequence[Model]) -> None:
+        """Grow the trees of all tree models among ``models`` at once."""
+        found = {m.key(): m for m in models if isinstance(m, TreeModel) and m.key() not in self.held}
+        if len(found) < 2:
+            return
+        with self._lock:
+            wanted = [self._locks.setdefault(key, threading.Lock()) for key in sorted(found)]
+        for lock in wanted:
+            lock.acquire()
+        try:
+            missing = [m for key, m in found.items() if key not in self.held]
+            for model, fitted in zip(missing, fit_together(self.train, missing) if missing else ()):
+                self.held[model.key()] = fitted
+                self.fits[model.key()] += 1
+        finally:
+            for lock in wanted:
+                lock.release()
 
 
 @dataclass
@@ -41,17 +94,25 @@ class FitContext:
     scorer: Fitted | None = None
     names: list[str] | None = None
     cache: dict[str, Fitted] = field(default_factory=dict)
+    store: FitStore | None = None
+
+    def __post_init__(self):
+        self.store = self.store or FitStore(self.train)
 
     def fit_model(self, model: Model) -> Fitted:
         key = model.key()
         if key not in self.cache:
-            fitted = model.fit(self.train)
+            fitted = self.store.model(model)
             if any(fitted.name == other.name for other in self.cache.values()):
                 # another recipe has this name: columns and reports need one of its own
                 fitted.name += "-" + hashlib.md5(key.encode()).hexdigest()[:6]
             self.cache[key] = fitted
         return self.cache[key]
 
+    def moments(self) -> Moments:
+        """Statistics of the features over the whole table."""
+        return self.store.get("moments", lambda: moments(self.store.train))
+
 
 @dataclass
 class Env:
@@ -84,6 +145,10 @@ def slug(value) -> str:
 class Measure:
     """Subclass with ``fit`` to add a measure of your own."""
 
+    def recipes(self) -> list[Model]:
+        """The checkers that ``fit`` will ask for."""
+        return [m for m in (getattr(self, "model", None), *(getattr(self, "checkers", None) or ())) if isinstance(m, Model)]
+
     def fit(self, ctx: FitContext) -> FittedMeasure:
         raise NotImplementedError
 
@@ -176,7 +241,8 @@ class ConfidenceInterval(Measure):
         self.supervised, self.scale = supervised, scale
 
     def fit(self, ctx):
-        bounds = IntervalBounds.fit(ctx.train, self.level, "label" if self.supervised else None, self.scale)
+        options = (self.level, "label" if self.supervised else None, self.scale)
+        bounds = ctx.store.get(f"interval {options}", lambda: IntervalBounds.fit(ctx.store.train, *options))
         return FittedConfidenceInterval(self.level, self.supervised, self.scale, bounds.state())
 
 
@@ -460,7 +526,7 @@ class Proximity(Measure):
         self.seed, self.noise = seed, noise
 
     def fit(self, ctx):
-        deviations = np.sqrt(moments(ctx.train).overall().var[0])
+        deviations = np.sqrt(ctx.moments().overall().var[0])
         return FittedProximity(self.points, self.width, self.weighted, self.seed, self.noise, deviations.tolist())
 
 
@@ -492,59 +558,89 @@ class FittedProximity(FittedMeasure):
 
 
 def apply_proximity(df: DataFrame, measures: list[FittedProximity], scorer: Fitted, width: int) -> DataFrame:
-    """All stability measures in one expansion, one scoring pass and one join back.
+    """All stability measures in one expansion and one scoring pass.
 
-    Every copy has a key of its own, for scorers that work by ``row_id``. For row-local scorers the
-    copies of a row stay in its task, so the partial aggregation folds them to one row before the
-    shuffle; the expanded rows themselves are never shuffled.
+    The copies of a row are made, scored and folded one after the other in the row's task, so for row-local scorers nothing
+    is shuffled. A scorer that moves rows gets copies with keys of their own, which are folded by the row's key and joined.
     """
     if scorer is None:
         raise ValueError("stability measures have to call the main model; give a scorer")
     plans = list({m.copies: m for m in measures}.values())
-    tags = []
-    for t, m in enumerate(plans):
-        tags.append(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(m.points)),
-                lambda i: F.struct(F.lit(t).alias("tag"), i.alias("copy")),
-            )
-        )
-    base = df.select("row_id", F.col("pred").alias("__own"), F.col("features").cast("array<double>").alias("__base"))
-    wide = base.withColumn("__e", F.explode(F.concat(*tags)))
+    sizes = [m.points for m in plans]
+    tag, copy_no, at, base, own, far, whole, key = (hidden(n) for n in ("tag", "copy", "at", "base", "own", "far", "whole", "key"))
+    steps = [(t, c) for t, n in enumerate(sizes) for c in range(1, n + 1)]
+    copies = F.array(*[F.struct(F.lit(i).alias(at), F.lit(t).alias(tag), F.lit(c).alias(copy_no)) for i, (t, c) in enumerate(steps)])
+    names = df.columns
+    if not scorer.row_local:
+        # a written number is the same whenever it is read
+        df = materialize(df.withColumn(key, F.monotonically_increasing_id()), "copied-rows")
+        whole_row = F.lit(None).cast("int")
+    else:
+        df = df.withColumn(key, F.lit(0).cast("long"))
+        whole_row = F.struct(*[F.col(f"`{n}`") for n in names])
+    wide = df.select(key, "row_id", F.col("pred").alias(own), F.col("features").cast("array<double>").alias(base), whole_row.alias(whole), F.explode(copies).alias("e"))
+    wide = wide.select(key, "row_id", own, base, F.when(F.col(f"e.{at}") == 0, F.col(whole)).alias(whole), "e.*")
     vector = None
     for t, m in enumerate(plans):
-        cell = m.noisy("row_id", "__e.copy")
-        vector = F.when(F.col("__e.tag") == t, cell) if vector is None else vector.when(F.col("__e.tag") == t, cell)
+        cell = m.noisy("row_id", copy_no, base)
+        vector = F.when(F.col(tag) == t, cell) if vector is None else vector.when(F.col(tag) == t, cell)
     wide = wide.withColumn("features", V.vector(vector, width, "features"))
-    wide = wide.withColumn("__far", V.euclidean("features", "__base", width)).drop("__base")
-    own = F.concat_ws("|", F.col("__row").cast("string"), F.col("__e.tag").cast("string"), F.col("__e.copy").cast("string"))
-    wide = wide.withColumnRenamed("row_id", "__row").withColumn("row_id", own)
-    scored = scorer.transform(wide, "__prob", "__pred")
-    hit = (F.col("__pred") == F.col("__own")).cast("double")
-    aggs = []
-    for t, _ in enumerate(plans):
-        mine = F.col("__e.tag") == t
-        aggs += [
-            F.sum(F.when(mine, 1.0)).alias(f"n{t}"),
-            F.sum(F.when(mine, hit)).alias(f"h{t}"),
-            F.sum(F.when(mine, hit * F.col("__far"))).alias(f"g{t}"),
-            F.sum(F.when(mine, F.col("__far"))).alias(f"d{t}"),
-            F.max(F.when(mine, F.col("__far"))).alias(f"m{t}"),
-        ]
-    folded = scored.groupBy(F.col("__row").alias("row_id")).agg(*aggs)
+    wide = wide.withColumn(far, V.euclidean("features", base, width)).drop(base)
+    if not scorer.row_local:
+        wide = wide.withColumn("row_id", F.concat_ws("|", F.col(key).cast("string"), F.col(at).cast("string")))
+    prob, pred = hidden("prob"), hidden("pred")
+    hit = F.coalesce(F.col(pred) == F.col(own), F.lit(False)).cast("double")
+    scored = scorer.transform(wide, prob, pred).select(key, whole, at, tag, hit.alias("hit"), F.coalesce(F.col(far), F.lit(0.0)).alias("far"))
     place = {m.copies: t for t, m in enumerate(plans)}
-    out = ["row_id"]
-    for m in measures:
-        t = place[m.copies]
-        n, h, g, d, top = (F.col(f"{c}{t}") for c in "nhgdm")
-        if m.weighted:
-            # weight of a copy: (top - far) + top / 10
-            mass = F.lit(1.1) * top * n - d
-            value = F.when(mass > 0, (F.lit(1.1) * top * h - g) / mass)
-        else:
-            value = h / n
-        out.append(value.alias(m.um))
-    return df.join(folded.select(*out), "row_id", "left")
+    ums = {m.um: (place[m.copies], m.weighted) for m in measures}
+    if scorer.row_local:
+        return _folded_copies(scored, whole, at, df.select(*names).schema, sizes, ums)
+    aggs = []
+    for t, n in enumerate(sizes):
+        mine = F.col(tag) == t
+        sums = [F.sum(F.when(mine, x)) for x in (F.col("hit"), F.col("hit") * F.col("far"), F.col("far"))]
+        hits, near, distance, top = *sums, F.max(F.when(mine, F.col("far")))
+        for um, (plan, weighted) in ums.items():
+            if plan == t:
+                # weight of a copy: (top - far) + top / 10
+                mass = F.lit(1.1 * n) * top - distance
+                aggs.append((F.when(mass > 0, (F.lit(1.1) * top * hits - near) / mass) if weighted else hits / F.lit(float(n))).alias(um))
+    folded = scored.groupBy(F.col(key).alias(f"{key}_2")).agg(*aggs)
+    return df.join(folded, F.col(key) == F.col(f"{key}_2"), "left").drop(key, f"{key}_2")
+
+
+def _folded_copies(scored: DataFrame, whole: str, at: str, schema: StructType, sizes: list[int], ums: dict[str, tuple[int, bool]]) -> DataFrame:
+    """Rows with their stability measures, from copies that follow one another in their task."""
+    count, ends = sum(sizes), np.cumsum(sizes)
+    plain = StructType([StructField(f.name, f.dataType, True) for f in schema] + [StructField(um, DoubleType()) for um in ums])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            rows = held.num_rows // count
+            if not rows:
+                continue
+            done, held = held.slice(0, rows * count), held.slice(rows * count)
+            order = done.column(at).to_numpy().reshape(rows, count)
+            if (order != np.arange(count)).any():
+                raise ValueError("the main model moves rows; it has to say so by row_local = False")
+            hit, far = (done.column(n).to_numpy().reshape(rows, count) for n in ("hit", "far"))
+            first = done.column(whole).take(pa.array(np.arange(rows) * count)).combine_chunks()
+            columns = first.flatten()
+            for plan, weighted in ums.values():
+                mine = slice(ends[plan] - sizes[plan], ends[plan])
+                weight = 1.1 * far[:, mine].max(axis=1, keepdims=True) - far[:, mine] if weighted else np.ones((rows, sizes[plan]))
+                mass = weight.sum(axis=1)
+                share = (hit[:, mine] * weight).sum(axis=1) / np.where(mass > 0, mass, 1.0)
+                columns.append(pa.array(share, pa.float64(), mask=mass <= 0))
+            yield pa.RecordBatch.from_arrays(columns, names=plain.names)
+        if held is not None and held.num_rows:
+            raise ValueError("the main model loses rows; it has to say so by row_local = False")
+
+    out = scored.select(whole, at, "hit", "far").mapInArrow(run, plain)
+    return out.select(*[F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in schema], *ums)
 
 
 # --- bags and reconstruction ----------------------------------------------------------------
@@ -608,7 +704,8 @@ class ReconstructionLoss(Measure):
         self.epochs, self.batch, self.seed = epochs, batch, seed
 
     def fit(self, ctx):
-        coder = Reconstructor.fit(ctx.train, self.kind, self.epochs, self.batch, self.seed)
+        options = (self.kind, self.epochs, self.batch, self.seed)
+        coder = ctx.store.get(f"reconstruction {options}", lambda: Reconstructor.fit(ctx.store.train, *options))
         return FittedReconstruction(coder.state())
 
 

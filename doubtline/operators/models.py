@@ -40,7 +40,7 @@ def run_parallel(jobs: list[Callable], width: int = PARALLEL_FITS) -> list:
     """Run independent Spark jobs from a few driver threads."""
     if len(jobs) <= 1 or width <= 1:
         return [job() for job in jobs]
-    wrap = inheritable_thread_target(SparkSession.getActiveSession())
+    wrap = inheritable_thread_target(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate())
     with ThreadPoolExecutor(width) as pool:
         return [f.result() for f in [pool.submit(wrap(job)) for job in jobs]]
 
@@ -80,6 +80,8 @@ class Model:
 class Fitted:
     name = "model"
     is_detector = False
+    #: ``transform`` keeps rows in their tasks and in order.
+    row_local = True
 
     def transform(self, df: DataFrame, prob: str = "prob", pred: str = "pred") -> DataFrame:
         raise NotImplementedError
@@ -305,6 +307,8 @@ class NeighbourVote(Model):
 
 @register
 class FittedNeighbourVote(Fitted):
+    row_local = False
+
     def __init__(self, name, k, classes, ref):
         self.name, self.k, self.classes, self.ref = name, k, classes, ref
 
@@ -615,16 +619,18 @@ class BlackBox(Fitted):
 # --- names ----------------------------------------------------------------------------------
 
 
-def _gbt(rounds: int, depth: int = 3, step: float = 0.1):
-    return lambda: C.GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=7)
-
-
-def _tree(depth: int = 30):
-    return lambda: C.DecisionTreeClassifier(maxDepth=depth, maxMemoryInMB=512, seed=7)
+def tree_model(short: str, count: int | None = None, depth: int | None = None) -> Model:
+    from doubtline.operators.trees import TreeModel
 
-
-def _forest(trees: int, depth: int = 15):
-    return lambda: C.RandomForestClassifier(numTrees=trees, maxDepth=depth, maxMemoryInMB=512, seed=7)
+    if short == "XGB":
+        return TreeModel(f"XGB{count or 100}", "boost", count or 100, depth or 6, step=0.3, ridge=1.0, least=1.0)
+    if short == "GBC":
+        return TreeModel(f"GBC{count or 50}", "boost", count or 50, depth or 3, step=0.1, ridge=0.0)
+    if short == "LB":
+        return TreeModel(f"LB{count or 10}", "boost", count or 10, depth or 3, step=1.0, ridge=0.01)
+    if short == "DT":
+        return TreeModel("DT", "forest", 1, depth or 30)
+    return TreeModel(f"RF{count or 10}", "forest", count or 10, depth or 15, bagged=True, draw=True)
 
 
 # fixed values: names a model is known by
@@ -668,17 +674,8 @@ def canonical(name: str) -> str:
 def make_model(name: str, contamination: float | None = None, **options) -> Model:
     """A model by name. ``contamination`` (share of anomalies) goes to detectors, at most 0.5."""
     short = canonical(name)
-    n = options.get("rounds") or options.get("trees")
-    if short == "XGB":
-        return MLModel(f"XGB{n or 100}", _gbt(n or 100, depth=6, step=0.3), per_class=True)
-    if short == "GBC":
-        return MLModel(f"GBC{n or 50}", _gbt(n or 50), per_class=True)
-    if short == "LB":
-        return MLModel(f"LB{n or 10}", _gbt(n or 10, depth=3, step=1.0), per_class=True)
-    if short == "DT":
-        return MLModel("DT", _tree(options.get("depth", 30)))
-    if short == "RF":
-        return MLModel(f"RF{n or 10}", _forest(n or 10, options.get("depth", 15)))
+    if short in ("XGB", "GBC", "LB", "DT", "RF"):
+        return tree_model(short, options.get("rounds") or options.get("trees"), options.get("depth"))
     if short == "KNN":
         return NeighbourVote(options.get("k", 11))
     if short == "SVM":

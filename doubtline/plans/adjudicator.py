@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from doubtline.functions import vectors as V
 from doubtline.operators.cleaning import judge_inputs
-from doubtline.operators.metrics import best_candidate, detection_metrics
+from doubtline.operators.metrics import best_candidate, detection_scores
 from doubtline.operators.models import (
     Fitted,
     GaussianBayes,
@@ -21,15 +22,16 @@ from doubtline.operators.models import (
     make_model,
     run_parallel,
 )
-from doubtline.operators.sampling import class_counts, downsample
+from doubtline.operators.sampling import class_counts, downsample, downsample_share
 from doubtline.operators.store import read_json, write_json
+from doubtline.operators.trees import TreeModel, fit_together
 
 # fixed values: error ratios tried when thinning out the right predictions
 RATIOS = (None, 0.05, 0.1, 0.2, 0.3)
 
 REPORT_SCHEMA = (
     "candidate int, model string, ratio double, tp bigint, tn bigint, fp bigint, fn bigint, "
-    "accuracy double, precision double, recall double, mcc double, auc_hard double, error string"
+    "accuracy double, precision double, recall double, mcc double, auc_hard double, error string, seconds double"
 )
 
 
@@ -124,6 +126,20 @@ def _inputs(df: DataFrame, um_columns: list[str], wrong: str, key: str) -> DataF
     return frame.select(F.col(key).alias("row_id"), "features", F.col(wrong).cast("int").alias("label"))
 
 
+def _confusions(rows: DataFrame, models: Sequence[Fitted]) -> list[tuple[int, int, int, int]]:
+    """True and false positives and negatives of all models, in one pass over the rows."""
+    for i, model in enumerate(models):
+        rows = model.transform(rows, "__misc", f"__{i}").drop("__misc")
+    cells = [(1, 1), (0, 0), (0, 1), (1, 0)]
+    sums = [
+        F.coalesce(F.sum(((F.col("label") == actual) & (F.col(f"__{i}") == said)).cast("long")), F.lit(0)).alias(f"n{i}_{c}")
+        for i in range(len(models))
+        for c, (actual, said) in enumerate(cells)
+    ]
+    row = rows.agg(*sums).first()
+    return [tuple(row[f"n{i}_{c}"] for c in range(4)) for i in range(len(models))]
+
+
 def train_adjudicator(
     train: DataFrame,
     val: DataFrame,
@@ -137,38 +153,77 @@ def train_adjudicator(
 ) -> Adjudicator:
     """Fit every candidate at every ratio, keep the one with the highest MCC on ``val``.
 
-    The measure tables are persisted once and shared by all fits; a candidate that fails is
-    reported with its error instead of being dropped in silence.
+    All trees of the grid grow together from one binned table, and a model of fewer rounds or trees is the beginning of one
+    of more. The other candidates are fitted a few at a time. The cells of a candidate are counted on ``val`` in one pass. A
+    cell that fails is reported with its error instead of being dropped in silence; ``seconds`` is the time of a cell's fit,
+    or its part of that of all trees.
     """
     um_columns = list(um_columns)
     candidates = search_candidates() if candidates is None else list(candidates)
+    ratios = list(ratios or (None,))
     spark = train.sparkSession
     train_rows = _inputs(train, um_columns, wrong, key).persist(StorageLevel.MEMORY_AND_DISK)
     val_rows = _inputs(val, um_columns, wrong, key).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = class_counts(train_rows, "label")
-        grid = [(m, r) for m in candidates for r in (ratios or (None,))]
+        grid = [(m, r) for m in candidates for r in ratios]
+        # ratios that keep the same share of rows have the same sample, so their cells share a fit
+        shares = [downsample_share(*counts, r) for _, r in grid]
+        first: dict[tuple, int] = {}
+        same = [first.setdefault((no // len(ratios), share), no) for no, share in enumerate(shares)]
+        own = sorted(set(same))
+        trees = [i for i in own if isinstance(grid[i][0], TreeModel)]
+
+        def grown() -> dict[int, tuple]:
+            start = time.time()
+            try:
+                found = fit_together(train_rows, [grid[i][0] for i in trees], [shares[i] for i in trees], seed=seed)
+                return {i: (f, None, (time.time() - start) / len(trees)) for i, f in zip(trees, found)}
+            except Exception as error:
+                return dict.fromkeys(trees, (None, f"{type(error).__name__}: {error}"[:300], None))
+
+        def fitted(i: int):
+            def job() -> dict[int, tuple]:
+                start = time.time()
+                try:
+                    sample = downsample(train_rows, grid[i][1], "row_id", seed=seed, counts=counts)
+                    return {i: (grid[i][0].fit(sample), None, time.time() - start)}
+                except Exception as error:
+                    return {i: (None, f"{type(error).__name__}: {error}"[:300], None)}
+
+            return job
+
+        jobs = ([grown] if trees else []) + [fitted(i) for i in own if i not in trees]
+        cells = {i: cell for part in run_parallel(jobs, parallel) for i, cell in part.items()}
+
+        def counted(no: int):
+            mine = [i for i in own if i // len(ratios) == no and cells[i][1] is None]
 
-        def one(no: int, model: Model, ratio: float | None):
-            def job():
-                entry = {"candidate": no, "model": model.name, "ratio": ratio, "error": None}
+            def job() -> dict[int, tuple]:
                 try:
-                    sample = downsample(train_rows, ratio, "row_id", seed=seed, counts=counts)
-                    fitted = model.fit(sample)
-                    scored = fitted.transform(val_rows, "__misc", "misc_pred")
-                    row = detection_metrics(scored, "label", "misc_pred").first()
-                    entry.update(row.asDict())
-                    return entry, fitted
+                    return dict(zip(mine, _confusions(val_rows, [cells[i][0] for i in mine]))) if mine else {}
                 except Exception as error:
-                    entry["error"] = f"{type(error).__name__}: {error}"[:300]
-                    return entry, None
+                    return {i: f"{type(error).__name__}: {error}"[:300] for i in mine}
 
             return job
 
-        results = run_parallel([one(i, m, r) for i, (m, r) in enumerate(grid)], parallel)
+        found = {i: c for part in run_parallel([counted(no) for no in range(len(candidates))], parallel) for i, c in part.items()}
     finally:
         train_rows.unpersist()
         val_rows.unpersist()
+    results = []
+    for i, (model, ratio) in enumerate(grid):
+        fit, error, seconds = cells[same[i]]
+        scores = found.get(same[i])
+        error = error or (scores if isinstance(scores, str) else None)
+        entry = {"candidate": i, "model": model.name, "ratio": ratio, "error": error, "seconds": seconds}
+        if error is None:
+            entry.update(zip(("tp", "tn", "fp", "fn"), scores))
+        results.append((entry, fit))
+    counts_of = [(i, *(e[c] for c in ("tp", "tn", "fp", "fn"))) for i, (e, _) in enumerate(results) if e["error"] is None]
+    sums = spark.createDataFrame(counts_of, "candidate int, tp long, tn long, fp long, fn long")
+    for row in detection_scores(sums).collect():
+        results[row.candidate][0].update(row.asDict())
     report = [entry for entry, _ in results]
     good = [e for e in report if e["error"] is None]
     if not good:

@@ -22,6 +22,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **extra: str) -> S
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in extra.items():
@@ -58,6 +59,11 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return os.path.join(shared_dir(spark), "doubtline", f"{tag}-{uuid.uuid4().hex}")
 
 
+def hidden(name: str) -> str:
+    """A name for a column of one plan that no caller's column has."""
+    return f"__{name}_{uuid.uuid4().hex[:12]}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
