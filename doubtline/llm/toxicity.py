@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from doubtline.llm.common import chunks, frame_batch, id_and_text, map_batches, utf8_slices
 from doubtline.llm.labelled import held_out, training_sample
 
-#: Labelled documents that are learned from at most, and features of the model at most (bounds of the fit).
-TRAIN_DOCS, MOST_FEATURES = 20_000, 4096
+#: Labelled documents that are learned from at most (the bound of the fit).
+TRAIN_DOCS = 20_000
 ACCEPT = 0.7
 PARTS, HELD_OUT = 3, 1
 CACHE_WORDS, CACHE_CHARS = 400_000, 48
@@ -34,10 +35,8 @@ LEET = {
 SEPARATORS = frozenset(".-_*·~'`^/\\,:")
 #: Costs in nats of what the channel does to one character.
 SWAP, REPEAT, SEPARATE, DROP = 1.0, 1.5, 0.7, 12.0
-#: Paths kept at each character, and readings of a word taken at its end.
-BEAM, READINGS = 24, 3
-#: Characters of a token at most that may be a piece of a spaced word, and of the word joined from such pieces.
-PIECE_CHARS, JOINED_CHARS = 5, 16
+#: Readings of a word taken at its end.
+READINGS = 3
 
 
 def _symbol(c: str) -> int:
@@ -116,8 +115,9 @@ def decode(noisy: str, model: CharModel, readings: int = READINGS) -> list[str]:
     """The likeliest words behind a noisy one (lower-cased), the best first.
 
     The lattice has for each character the letters it may stand for: itself, those that a sign resembles, or nothing, if it
-    separates or repeats the character before it. The path with the least sum of channel and language model costs wins;
-    paths are kept apart by the last two symbols, the best ``BEAM`` of them at each character.
+    separates or repeats the character before it. A space is the end of a word, or it separates the letters of one; a reading
+    with ends of words has spaces in it. The path with the least sum of channel and language model costs wins; for all pairs
+    of last symbols the best path is kept.
     """
     cost = model.flat
     # state: last two symbols, a * SYMBOLS + b -> (cost, text)
@@ -132,11 +132,18 @@ def decode(noisy: str, model: CharModel, readings: int = READINGS) -> list[str]:
             options.append(("", 0, SEPARATE if c in SEPARATORS or c == " " else DROP))
         if before == c:
             options.append(("", 0, REPEAT))
+        if c == " ":
+            options.append((" ", 0, 0.0))
         before = c
         step: dict[int, tuple[float, str]] = {}
         for state, (spent, text) in paths.items():
             for letter, s, channel in options:
-                if letter:
+                if letter == " ":
+                    # the next word starts like the first; no word is empty
+                    if not state % SYMBOLS:
+                        continue
+                    key, total, made = 0, spent + cost[state * SYMBOLS], text + letter
+                elif letter:
                     key, total, made = state % SYMBOLS * SYMBOLS + s, spent + channel + cost[state * SYMBOLS + s], text + letter
                 else:
                     # a separator between equal letters doesn't make a repeat of them
@@ -144,7 +151,7 @@ def decode(noisy: str, model: CharModel, readings: int = READINGS) -> list[str]:
                 known = step.get(key)
                 if known is None or (total, made) < known:
                     step[key] = (total, made)
-        paths = dict(sorted(step.items(), key=lambda x: (x[1], x[0]))[:BEAM]) if len(step) > BEAM else step
+        paths = step
     ends = sorted((spent + cost[state * SYMBOLS], text) for state, (spent, text) in paths.items())
     return list(dict.fromkeys(text for _, text in ends if text))[:readings]
 
@@ -163,89 +170,104 @@ def restore_word(word: str, model: CharModel) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-def spaced_runs(words: list[str]) -> list[str]:
-    """Runs of three or more single characters, some of them letters, as words with spaces inside."""
-    single = [i for i, w in enumerate(words) if len(w) == 1]
-    if len(single) < 3:
-        return []
-    runs, start = [], 0
-    for k in range(1, len(single) + 1):
-        if k == len(single) or single[k] != single[k - 1] + 1:
-            run = words[single[start] : single[k - 1] + 1]
-            if len(run) >= 3 and sum(c.isalpha() for c in run) >= 2:
-                runs.append(" ".join(run))
-            start = k
-    return runs
+# --- words to features
+
+
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: How many different words of a text that begin alike are told apart.
+MOST_ALIKE = 3
+
 
+def bases_of(word: str) -> list[str]:
+    """A restored word and its beginnings."""
+    return ["=" + word] + [word[:n] for n in BEGINNINGS if len(word) > n]
 
-class Joints(dict):
-    """Ends of two neighbouring tokens to whether the lattice reads them as one word rather than as two.
 
-    The key is the last two characters of one token and the first two of the next, with a space between. One word costs a
-    separator and the letters across the joint, two cost the end of one and the start of the other; all else is equal.
+class Heads:
+    """Known beginnings of words as a tree of letters, walked by all that a noisy token may stand for.
+
+    A walk takes a letter or lets it go as a repeat, takes any letter that a sign resembles or lets the sign go, and lets go
+    what separates. So it loses no reading of the lattice: where no walk over some tokens ends in a known beginning, no word
+    that the lattice could join from them has one.
     """
 
-    def __init__(self, model: CharModel):
+    def __init__(self, words: Iterable[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.letter = [""]
+        self.ends: set[int] = set()
+        for word in words:
+            node = 0
+            for c in REPEATS.sub(r"\1", word):
+                if c not in self.next[node]:
+                    self.next[node][c] = len(self.next)
+                    self.next.append({})
+                    self.letter.append(c)
+                node = self.next[node][c]
+            self.ends.add(node)
+
+    def walk(self, nodes: Iterable[int], token: str) -> tuple[tuple[int, ...], bool]:
+        """Where walks from some nodes over a token stand at its end, and whether one passed the end of a beginning."""
+        # node, and the character that led there: it may be repeated
+        now, passed = {(n, "") for n in nodes}, False
+        for c in token.lower():
+            letters = c if c.isalpha() else LEET.get(c, "")
+            step = set() if c.isalpha() else set(now)
+            for node, last in now:
+                if c == last or (node and self.letter[node] in letters):
+                    step.add((node, c))
+                for letter in letters:
+                    found = self.next[node].get(letter)
+                    if found is not None:
+                        step.add((found, c))
+                        passed = passed or found in self.ends
+            now = step
+            if not now:
+                break
+        return tuple(sorted({n for n, _ in now})), passed
+
+
+class _Walks(dict):
+    """(nodes, token) to where the walks over the token lead."""
+
+    def __init__(self, heads: Heads):
         super().__init__()
-        self.cost = model.cost
+        self.heads = heads
 
-    def __missing__(self, key: str) -> bool:
-        left, right = ([LEET.get(c, c)[0] if c in "@$€£" or c.isalnum() else " " for c in part] for part in key.lower().split(" "))
-        (a, b), (c, d) = [0, *map(_symbol, left)][-2:], [*map(_symbol, right), 0][:2]
-        cost = self.cost
-        value = bool(b and c and SEPARATE + cost[a, b, c] + cost[b, c, d] < cost[a, b, 0] + cost[0, 0, c] + cost[0, c, d])
+    def __missing__(self, key: tuple[tuple[int, ...], str]) -> tuple[tuple[int, ...], bool]:
+        value = self.heads.walk(*key)
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[key] = value
         return value
 
 
-def joined_pieces(words: list[str], joints: Joints) -> list[tuple[int, int]]:
-    """(first, end) of neighbouring short tokens, two or more, that the lattice joins at each place between them."""
-    found = []
-    short = [len(w) <= PIECE_CHARS for w in words]
-    joint = [i for i, two in enumerate(zip(short, short[1:])) if two[0] and two[1] and joints[f"{words[i][-2:]} {words[i + 1][:2]}"]]
-    follows = set(joint)
-    for i in joint:
-        end, size = i + 1, len(words[i])
-        while end - 1 in follows and size + len(words[end]) <= JOINED_CHARS:
-            size += len(words[end])
-            end += 1
-            found.append((i, end))
-    return found
-
-
-def restore(text: str, model: CharModel) -> str:
-    """A text with each noisy word replaced by the likeliest one, in lower case, words joined by a space."""
-    words, out, i = text.split(), [], 0
-    longest: dict[int, int] = dict(joined_pieces(words, Joints(model)))
-    while i < len(words):
-        j = i
-        while j < len(words) and len(words[j]) == 1:
-            j += 1
-        if runs := spaced_runs(words[i:j]):
-            out += decode(runs[0].lower(), model, 1)
-            i = j
-        elif (end := longest.get(i, 0)) and not spaced_runs(words[i:end]):
-            out += restore_word("".join(words[i:end]), model)[:2][-1:]
-            i = end
-        else:
-            out += restore_word(words[i], model)[:2][-1:]
-            i += 1
-    return " ".join(out)
-
-
-# --- words to features
+class _Starts(dict):
+    """Token to where walks over it from the root lead, empty if none goes beyond it."""
 
+    def __init__(self, heads: Heads):
+        super().__init__()
+        self.heads = heads
 
-BEGINNINGS = (4, 5, 6, 7, 8)
-#: How many different words of a text that begin alike are told apart.
-MOST_ALIKE = 3
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        nodes = tuple(n for n in self.heads.walk((0,), token)[0] if n and self.heads.next[n])
+        if len(token) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[token] = nodes
+        return nodes
 
 
-def bases_of(word: str) -> list[str]:
-    """A restored word and its beginnings."""
-    return ["=" + word] + [word[:n] for n in BEGINNINGS if len(word) > n]
+def spaced_runs(words: list[str]) -> list[tuple[int, int]]:
+    """(first, end) of runs of three or more single characters, two of them letters."""
+    single = [i for i, w in enumerate(words) if len(w) == 1]
+    found, start = [], 0
+    for k in range(1, len(single) + 1):
+        if k == len(single) or single[k] != single[k - 1] + 1:
+            run = (single[start], single[k - 1] + 1)
+            if k - start >= 3 and sum(c.isalpha() for c in words[run[0] : run[1]]) >= 2:
+                found.append(run)
+            start = k
+    return found
 
 
 class _Memo(dict):
@@ -254,7 +276,8 @@ class _Memo(dict):
     def __init__(self, char: CharModel, index: dict[str, int] | None):
         super().__init__()
         self.char, self.known = char, None if index is None else {f.split("+")[0] for f in index}
-        self.joints = Joints(char)
+        heads = Heads(b.removeprefix("=") for b in self.known or ())
+        self.starts, self.walks = _Starts(heads), _Walks(heads)
         # known bases without repeats: the lattice only takes repeats out of a word of letters alone
         self.heads = {REPEATS.sub(r"\1", b.removeprefix("=")) for b in self.known or ()}
         self.lengths = sorted({len(h) for h in self.heads})
@@ -280,20 +303,48 @@ class _Memo(dict):
             self[word] = value
         return value
 
+    def windows(self, words: list[str]) -> list[tuple[int, int]]:
+        """(first, end) of neighbouring tokens that the lattice may read as words with a known beginning across their ends.
+
+        Before anything is known, these are runs of single characters.
+        """
+        if self.known is None:
+            return spaced_runs(words)
+        found, last = [], len(words) - 1
+        for i in [i for i, nodes in enumerate(map(self.starts.__getitem__, words)) if nodes and i < last]:
+            nodes, end = self.starts[words[i]], 0
+            for j in range(i + 1, len(words)):
+                nodes, passed = self.walks[nodes, words[j]]
+                if passed:
+                    end = j + 1
+                if not nodes:
+                    break
+            if end:
+                found.append((i, end))
+        return found
+
     def of(self, text: str | None) -> list[str]:
         """Distinct features of a text: a base, and the base with +2 or +3 where so many different words share it."""
         words = text.split() if text else []
         found = {x for hit in map(self.__getitem__, words) if hit for x in hit}
-        for run in spaced_runs(words):
-            # a letter before or after a spaced word may be a word of its own
-            for noisy in [run, *([run[2:], run[:-2]] if len(run) > 7 else [])]:
-                found.update(self.bases(decode(noisy.lower(), self.char)))
-        for first, end in joined_pieces(words, self.joints):
-            found.update(self["".join(words[first:end])])
+        for first, end in self.windows(words):
+            for reading in decode(" ".join(words[first:end]).lower(), self.char, 1):
+                found.update(self.bases(reading.split()))
         counts = Counter(b for _, b in found)
         return [b if n == 1 else f"{b}+{n}" for b, c in counts.items() for n in range(1, min(c, MOST_ALIKE) + 1)]
 
 
+def restore(text: str, char: CharModel, index: dict[str, int] | None = None) -> str:
+    """A text with each noisy word, and each window of pieces, as the lattice reads it best: in lower case, joined by a space."""
+    words, out, i, memo = text.split(), [], 0, _Memo(char, index)
+    windows = dict(memo.windows(words))
+    while i < len(words):
+        end = windows.get(i)
+        out += decode(" ".join(words[i:end]).lower(), char, 1) if end else restore_word(words[i], char)[:2][-1:]
+        i = end or i + 1
+    return " ".join(out)
+
+
 @dataclass
 class ToxicModel:
     """The language model, the features and their weights."""
@@ -323,11 +374,11 @@ def _logistic(rows: list[list[int]], labels: np.ndarray, n: int) -> tuple[np.nda
     return weights, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, char: CharModel, most: int = TRAIN_DOCS, most_features: int = MOST_FEATURES) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, char: CharModel, most: int = TRAIN_DOCS) -> ToxicModel:
     """The model of ``labels.toxic``, learned from at most ``most`` documents outside the held-out part.
 
-    Features are counted by label in the tasks and summed by Spark. Those that stand out in toxic documents, at most
-    ``most_features``, are kept; a second pass gives each document's features among them, for the fit of the weights.
+    The sample is written once. Features are counted by label in the tasks and summed by Spark. Those that stand out in
+    toxic documents are kept; a second pass gives each document's features among them, for the fit of the weights.
     """
     sample = training_sample(docs, labels, "toxic", PARTS, HELD_OUT, most, "toxic").select("text", "label")
     totals = {y: n for y, n in sample.groupBy("label").count().collect()}
@@ -355,7 +406,7 @@ def train(docs: DataFrame, labels: DataFrame, char: CharModel, most: int = TRAIN
     held = (F.col("n1") + 0.5) / (both + 1.0)
     gain = 2 * (F.col("n1") * F.log(held / rate) + F.col("n0") * F.log((1 - held) / (1 - rate)))
     marked = counted.filter((F.col("n1") >= 2) & (held > 2.5 * rate)).withColumn("gain", gain).filter("gain > 6")
-    names = [r.feature for r in marked.orderBy(F.desc("gain"), "feature").limit(most_features).collect()]
+    names = [r.feature for r in marked.orderBy(F.desc("gain"), "feature").collect()]
     index = {f: i for i, f in enumerate(names)}
     pairs = pa.schema([("label", pa.int32()), ("ids", pa.list_(pa.int32()))])
 

@@ -83,6 +83,54 @@ def test_light_noise_is_undone(spark, toxic, noisy):
     assert got == {0: 1, 1: 0}
 
 
+@pytest.mark.parametrize("noisy", ["asparag us", "aspara gus", "asparagu s", "a s p a r a g u s", "asp4ra gus", "aspara-gus", "asspar aagus"])
+def test_pieces_of_any_length_are_joined(spark, toxic, noisy):
+    """Words in pieces of 6 and more letters, and words of any length."""
+    docs, char, _ = toxic
+    rows = [(i, f"river stone {'asparagus' if i % 3 == 0 else 'window'} garden paper market") for i in range(90)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(own, labels, toxicity.char_model(docs.unionByName(own)))
+    asked = spark.createDataFrame([(0, f"river stone {noisy} garden paper"), (1, "river stone garden paper"), (2, "paper summer window letter")], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score_toxicity(asked, model).collect()} == {0: 1, 1: 0, 2: 0}
+
+
+def test_walks_lose_no_reading():
+    """Every way to noise a word is walked to its beginning."""
+    heads = toxicity.Heads(["letter", "idiot"])
+    for noisy in ("letter", "le7ter", "let7er", "l3tteerr", "l.e.t.t.e.r", "1d10t", "iddiot", "!d!o+", "i-d-i-o-t", "idio7t"):
+        assert heads.walk((0,), noisy)[1], noisy
+    nodes, passed = heads.walk((0,), "let")
+    assert not passed and heads.walk(nodes, "7er")[1] and not heads.walk(nodes, "idiot")[1]
+    assert heads.walk((0,), "paper") == ((), False)
+
+
+def test_all_states_are_kept(toxic):
+    """Many signs in a row: the least cost over all of their letters."""
+    _, char, _ = toxic
+    import itertools
+
+    noisy = "1|1|1|1|"
+    best = min(
+        (sum(float(char.cost[a, b, c]) for a, b, c in zip(m, m[1:], m[2:])) + spent, text)
+        for picks in itertools.product(*[[("i", toxicity.SWAP), ("l", toxicity.SWAP), ("", toxicity.DROP)]] * len(noisy))
+        if (text := "".join(x for x, _ in picks))
+        for m in [[0, 0, *map(toxicity._symbol, text), 0]]
+        for spent in [sum(x for _, x in picks)]
+    )
+    assert toxicity.decode(noisy, char)[0] == best[1]
+
+
+def test_very_long_and_repeated_training_rows(spark, toxic):
+    docs, char, model = toxic
+    asked = spark.createDataFrame([(0, "river stone " * 20_000 + "1d10t"), (1, "river stone " * 20_000)], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score_toxicity(asked, model).collect()}[1] == 0
+    many = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    sample = labelled.training_sample(many, labels, "toxic", 10**6, 10**6, 50, "x")
+    assert sample.count() <= 50
+
+
 def test_restored_text(toxic):
     _, char, _ = toxic
     assert toxicity.restore("You i d i o t and m0r0n.", char).split()[1:] == ["idiot", "and", "moron"]
