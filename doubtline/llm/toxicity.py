@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -19,6 +19,8 @@ from doubtline.llm.labelled import held_out, training_sample
 
 #: Labelled documents that are learned from at most (the bound of the fit).
 TRAIN_DOCS = 20_000
+#: Evidence a feature needs: the log-likelihood ratio that chance passes once in a thousand features.
+EVIDENCE = 10.8
 ACCEPT = 0.7
 PARTS, HELD_OUT = 3, 1
 CACHE_WORDS, CACHE_CHARS = 400_000, 48
@@ -109,6 +111,8 @@ ODD_INSIDE = re.compile(r"[^\W\d_](?=.*[0-9@$!|+(€£.\-_*·~'`^/\\,:].*[^\W\d_
 DOUBLE = re.compile(r"([^\W\d_])\1")
 REPEATS = re.compile(r"([^\W\d_])\1+")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+SIGN, LETTERS = re.compile("[" + re.escape("".join(LEET)) + "]"), re.compile(r"[\W\d_]+")
+NOTHING: tuple[tuple, tuple[int, ...]] = ((), ())
 
 
 def decode(noisy: str, model: CharModel, readings: int = READINGS) -> list[str]:
@@ -204,6 +208,37 @@ class Heads:
                     self.letter.append(c)
                 node = self.next[node][c]
             self.ends.add(node)
+        self.allowed: dict[tuple[int, ...], frozenset[str]] = {}
+
+    def knows(self, bare: str) -> bool:
+        """If a squeezed word of letters begins with a head."""
+        node, nexts, ends = 0, self.next, self.ends
+        for c in bare:
+            node = nexts[node].get(c)
+            if node is None:
+                return False
+            if node in ends:
+                return True
+        return False
+
+    def go(self, node: int, letters: str) -> tuple[int, bool]:
+        """The same as ``walk`` over letters alone, which have one way: its end, 0 if there is none."""
+        passed = False
+        for c in letters:
+            found = self.next[node].get(c)
+            if found is not None:
+                node = found
+                passed = passed or node in self.ends
+            elif not node or c != self.letter[node]:
+                return 0, passed
+        return node, passed
+
+    def first(self, nodes: tuple[int, ...]) -> frozenset[str]:
+        """Letters with which walks from some nodes can go on."""
+        found = self.allowed.get(nodes)
+        if found is None:
+            found = self.allowed[nodes] = frozenset(c for n in nodes for c in (*self.next[n], self.letter[n]))
+        return found
 
     def walk(self, nodes: Iterable[int], token: str) -> tuple[tuple[int, ...], bool]:
         """Where walks from some nodes over a token stand at its end, and whether one passed the end of a beginning."""
@@ -241,20 +276,23 @@ class _Walks(dict):
         return value
 
 
-class _Starts(dict):
-    """Token to where walks over it from the root lead, empty if none goes beyond it."""
+class Joints(dict):
+    """Ends of two words of two letters or more to whether the lattice reads them as one word rather than as two.
 
-    def __init__(self, heads: Heads):
+    The key is the last two letters of one and the first two of the next. The two ways through the lattice part at the space
+    and meet two letters on, so this is the lattice's choice, and each joint has its own: one word costs a separator and
+    the letters across the joint, two cost the end of one and the start of the other.
+    """
+
+    def __init__(self, model: CharModel):
         super().__init__()
-        self.heads = heads
+        self.cost = model.cost
 
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        nodes = tuple(n for n in self.heads.walk((0,), token)[0] if n and self.heads.next[n])
-        if len(token) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[token] = nodes
-        return nodes
+    def __missing__(self, key: str) -> bool:
+        a, b, c, d = map(_symbol, key)
+        cost = self.cost
+        value = self[key] = bool(SEPARATE + float(cost[a, b, c]) + float(cost[b, c, d]) < float(cost[a, b, 0]) + float(cost[0, 0, c]) + float(cost[0, c, d]))
+        return value
 
 
 def spaced_runs(words: list[str]) -> list[tuple[int, int]]:
@@ -276,58 +314,87 @@ class _Memo(dict):
     def __init__(self, char: CharModel, index: dict[str, int] | None):
         super().__init__()
         self.char, self.known = char, None if index is None else {f.split("+")[0] for f in index}
-        heads = Heads(b.removeprefix("=") for b in self.known or ())
-        self.starts, self.walks = _Starts(heads), _Walks(heads)
-        # known bases without repeats: the lattice only takes repeats out of a word of letters alone
-        self.heads = {REPEATS.sub(r"\1", b.removeprefix("=")) for b in self.known or ()}
-        self.lengths = sorted({len(h) for h in self.heads})
+        self.heads = Heads(b.removeprefix("=") for b in self.known or ())
+        self.walks, self.joints = _Walks(self.heads), Joints(char)
 
     def bases(self, read: list[str]) -> tuple:
         found = [(w, b) for w in read for b in bases_of(w)]
         return tuple(found if self.known is None else [x for x in found if x[1] in self.known])
 
-    def hopeless(self, word: str) -> bool:
-        """If no reading of the word can have a known base; decides it for words of letters alone."""
+    def _seen(self, word: str) -> tuple[tuple, tuple[int, ...]]:
+        """Bases of a token, and where walks over it lead that go beyond it."""
+        if self.known is None:
+            return self.bases(restore_word(word, self.char)), ()
         low = word.lower()
+        if low.isalpha():
+            node, passed = self.heads.go(0, low)
+            # the lattice only takes repeats out of a word of letters alone
+            return self._value(word if passed else None, (node,))
+        if SIGN.search(low):
+            nodes = self.heads.walk((0,), low)[0]
+        else:
+            node, passed = self.heads.go(0, LETTERS.sub("", low))
+            if not passed:
+                return self._value(None, (node,))
+            nodes = (node,)
         plain = EDGE.sub("", low)
-        if self.known is None or not plain.isalpha() or ODD_INSIDE.search(low):
-            return False
-        bare = REPEATS.sub(r"\1", plain)
-        return not any(bare[:n] in self.heads for n in self.lengths)
+        hopeless = plain.isalpha() and not ODD_INSIDE.search(low) and not self.heads.knows(REPEATS.sub(r"\1", plain))
+        return self._value(None if hopeless else word, nodes)
+
+    def _value(self, word: str | None, nodes: tuple[int, ...]) -> tuple[tuple, tuple[int, ...]]:
+        bases = self.bases(restore_word(word, self.char)) if word else ()
+        nodes = tuple(n for n in nodes if n and self.heads.next[n])
+        return (bases, nodes) if bases or nodes else NOTHING
 
-    def __missing__(self, word: str) -> tuple:
-        value = () if self.hopeless(word) else self.bases(restore_word(word, self.char))
+    def __missing__(self, word: str) -> tuple[tuple, tuple[int, ...]]:
+        value = self._seen(word)
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()
             self[word] = value
         return value
 
-    def windows(self, words: list[str]) -> list[tuple[int, int]]:
+    def windows(self, words: list[str], seen: list[tuple] | None = None) -> list[tuple[int, int]]:
         """(first, end) of neighbouring tokens that the lattice may read as words with a known beginning across their ends.
 
         Before anything is known, these are runs of single characters.
         """
         if self.known is None:
             return spaced_runs(words)
-        found, last = [], len(words) - 1
-        for i in [i for i, nodes in enumerate(map(self.starts.__getitem__, words)) if nodes and i < last]:
-            nodes, end = self.starts[words[i]], 0
+        found, last, heads = [], len(words) - 1, self.heads
+        seen = list(map(self.__getitem__, words)) if seen is None else seen
+        for i in [i for i, hit in enumerate(seen) if hit is not NOTHING and hit[1] and i < last]:
+            nodes, end = seen[i][1], 0
             for j in range(i + 1, len(words)):
-                nodes, passed = self.walks[nodes, words[j]]
+                word = words[j].lower()
+                if word[0].isalpha() and word[0] not in heads.first(nodes):
+                    break
+                if len(nodes) == 1 and word.isalpha():
+                    node, passed = heads.go(nodes[0], word)
+                    nodes = (node,) if node else ()
+                else:
+                    nodes, passed = self.walks[nodes, words[j]]
                 if passed:
                     end = j + 1
                 if not nodes:
                     break
-            if end:
+            if end and not self._parted(words[i:end]):
                 found.append((i, end))
         return found
 
+    def _parted(self, words: list[str]) -> bool:
+        """If the lattice keeps all ends of some words; told without a search for words of two letters or more, none doubled."""
+        if not all(len(w) > 1 and w.isascii() and w.isalpha() for w in words):
+            return False
+        low = [w.lower() for w in words]
+        return not any(self.joints[a[-2:] + b[:2]] or a[-1] == b[0] for a, b in zip(low, low[1:])) and not any(DOUBLE.search(w) for w in low)
+
     def of(self, text: str | None) -> list[str]:
         """Distinct features of a text: a base, and the base with +2 or +3 where so many different words share it."""
         words = text.split() if text else []
-        found = {x for hit in map(self.__getitem__, words) if hit for x in hit}
-        for first, end in self.windows(words):
+        seen = list(map(self.__getitem__, words))
+        found = {x for hit in seen if hit is not NOTHING for x in hit[0]}
+        for first, end in self.windows(words, seen):
             for reading in decode(" ".join(words[first:end]).lower(), self.char, 1):
                 found.update(self.bases(reading.split()))
         counts = Counter(b for _, b in found)
@@ -405,7 +472,7 @@ def train(docs: DataFrame, labels: DataFrame, char: CharModel, most: int = TRAIN
     both = F.col("n1") + F.col("n0")
     held = (F.col("n1") + 0.5) / (both + 1.0)
     gain = 2 * (F.col("n1") * F.log(held / rate) + F.col("n0") * F.log((1 - held) / (1 - rate)))
-    marked = counted.filter((F.col("n1") >= 2) & (held > 2.5 * rate)).withColumn("gain", gain).filter("gain > 6")
+    marked = counted.filter((F.col("n1") >= 2) & (held > 2.5 * rate)).withColumn("gain", gain).filter(F.col("gain") > EVIDENCE)
     names = [r.feature for r in marked.orderBy(F.desc("gain"), "feature").collect()]
     index = {f: i for i, f in enumerate(names)}
     pairs = pa.schema([("label", pa.int32()), ("ids", pa.list_(pa.int32()))])
