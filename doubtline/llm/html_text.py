@@ -29,9 +29,14 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|data-component)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TOKEN = re.compile(r"[a-z]+")
-#: Elements by their part in a page (fixed values of HTML): read over up to their end; inside a line; without an end tag.
-RAW = frozenset("script style noscript template textarea title iframe svg math select button object canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements by their part in a page (fixed values of HTML): read over up to their end, or to the page's; read over if they
+#: end within their container; inside a line; without an end tag.
+RAW = frozenset("script style textarea title".split())
+WIDGETS = frozenset("noscript template iframe svg select button object canvas audio video".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math nobr q s samp small span strike strong sub sup time tt u var wbr".split())
+MATHML = frozenset("mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot munder mover munderover mstyle mspace semantics annotation".split())
+#: A widget that reaches beyond the end of one of these isn't closed.
+CONTAINER_END = re.compile(r"</(?:article|main|section|body|html|div|p|ul|ol|table|form)\b")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element ends an open one of these kinds, up to a container.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -57,6 +62,12 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
+def _leaves(lower: str, start: int, end: int) -> bool:
+    """If a piece of a page ends a container that it doesn't begin."""
+    piece = lower[start:end]
+    return any(piece.count("</" + name) > piece.count("<" + name) for name in {m[0][2:] for m in CONTAINER_END.finditer(piece)})
+
+
 def parse(source: str) -> Page:
     """The nodes of a page; broken markup is read as browsers do in the usual cases (open paragraphs, items, ends without a start)."""
     page, lower = Page(), None
@@ -98,21 +109,27 @@ def parse(source: str) -> Page:
         if not name:
             continue
         tag, end, attributes = name.lower(), found[1] or found[4], found[3] or found[6] or ""
-        if tag in INLINE:
+        if tag in INLINE or tag in MATHML:
             if tag == "a":
                 in_link = not end
             continue
         if tag == "br":
             line.append(" ")
             continue
-        if tag in RAW and not end:
+        if tag in WIDGETS and end:
+            continue
+        if (tag in RAW or tag in WIDGETS) and not end:
             flush()
             if lower is None:
                 lower = source.lower()
                 if len(lower) != len(source):  # a few letters change their length
                     lower = re.sub("[A-Z]+", lambda m: m[0].lower(), source)
             close = lower.find("</" + tag, at)
-            if not attributes.endswith("/"):
+            if tag in WIDGETS:
+                # one that isn't closed where it stands is a mere sign, and what follows is read
+                if close >= 0 and not attributes.endswith("/") and lower.find("<" + tag, at, close) < 0 and not _leaves(lower, at, close):
+                    at = close
+            elif not attributes.endswith("/"):
                 at = len(source) if close < 0 else close
             continue
         flush()
@@ -320,10 +337,13 @@ VARIANTS = 3
 
 
 def variants(source: str, other: str, rng: np.random.Generator) -> list[str]:
-    """A page with its article marked, once as it is and some times under another container with other surroundings."""
+    """A page with its article marked, once as it is and some times under another container with other surroundings.
+
+    A page whose article isn't marked says nothing about what is one, and has no variants.
+    """
     found = ARTICLE.search(source)
     if not found:
-        return [source]
+        return [source] if any(not MAIN.isdisjoint(t) for t in parse(source).tokens) else []
     made = [source[: found.start()] + f"<article {MARK}>" + source[found.start(1) :]]
     words = re.sub(r"<[^>]*>|&\w+;?", " ", other).split() or ["-"]
 
@@ -374,7 +394,7 @@ class PageModel:
 
 
 def fit(sources: list[str], seed: int = 5) -> PageModel:
-    """Token odds and trees from pages with a known article; pages without one teach that nothing on them is."""
+    """Token odds and trees from pages with a marked article; others teach nothing."""
     rng = np.random.default_rng(seed)
     pages = [parse(v) for i, s in enumerate(sources) for v in variants(s, sources[i - 1], rng)]
     batch = Batch(pages or [parse("")])

@@ -18,11 +18,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doubtline.llm.common import RollingHash, frame_batch, map_batches, splitmix, utf8_slices
-from doubtline.session import materialize
+from doubtline.session import hidden, materialize
 
 LENGTH, GRAM = 200, 48
 #: Classes of a bucket beyond which it is split by the text that neighbouring windows share, and by whole windows.
@@ -160,13 +160,20 @@ def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 KEY = ["did", "tid"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows by doc_id (a fixed number stands for null) and a hash of the text, so that repeated ids don't mix."""
+def _key() -> tuple[Column, Column]:
+    """A row's key: 128 bits of its id and its whole text, from two hash functions. Only equal rows share one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.hash(text).alias("tid"), text.alias("text"))
+    doc_id = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))
+    return F.xxhash64(doc_id, text), F.conv(F.substring(F.md5(F.concat_ws("|", doc_id, text)), 1, 16), 16, -10).cast("long")
+
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``did, tid, doc_id, text``: rows by their key; a null text is empty."""
+    did, tid = _key()
+    return docs.select(did.alias("did"), tid.alias("tid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-UNIT_SCHEMA = pa.schema([("did", pa.int64()), ("tid", pa.int32()), ("bucket", pa.int64()), ("kind", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("span", pa.int64()), ("c", pa.int64())])
+
+UNIT_SCHEMA = pa.schema([("did", pa.int64()), ("tid", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("span", pa.int64()), ("c", pa.int64())])
 
 
 def _unit_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
@@ -178,12 +185,12 @@ def _unit_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
         did, tid = (np.repeat(batch.column(k).to_numpy(), each) for k in KEY)
         return frame_batch(UNIT_SCHEMA, did=did, tid=tid, bucket=bucket.view(np.int64), kind=kind.view(np.int64), **dict(zip(("start", "n", "span", "c"), rest, strict=True)))
 
-    return map_batches(keyed, run, "did long, tid int, bucket long, kind long, start long, n long, span long, c long")
+    return map_batches(keyed, run, "did long, tid long, bucket long, kind long, start long, n long, span long, c long")
 
 
-PIECE_SCHEMA = pa.schema([("slot", pa.int64()), ("key", pa.int64()), ("did", pa.int64()), ("tid", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("piece", pa.binary())])
-PIECES = "slot long, key long, did long, tid int, start long, n long, c long, piece binary"
-RANGE_SCHEMA = pa.schema([("did", pa.int64()), ("tid", pa.int32()), ("start", pa.int64()), ("span", pa.int64())])
+PIECE_SCHEMA = pa.schema([("slot", pa.int64()), ("key", pa.int64()), ("did", pa.int64()), ("tid", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("piece", pa.binary())])
+PIECES = "slot long, key long, did long, tid long, start long, n long, c long, piece binary"
+RANGE_SCHEMA = pa.schema([("did", pa.int64()), ("tid", pa.int64()), ("start", pa.int64()), ("span", pa.int64())])
 
 
 def _chunks_of(data: np.ndarray, sums: tuple[np.ndarray, np.ndarray], wanted: dict, length: int, gram: int) -> Iterator[tuple[int, int, int]]:
@@ -317,7 +324,7 @@ def _refined(pieces: DataFrame, length: int, most: int) -> DataFrame:
         if held and (rest := pa.concat_tables(held)).num_rows:
             yield settle(rest)
 
-    return pieces.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "did long, tid int, start long, span long")
+    return pieces.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "did long, tid long, start long, span long")
 
 
 def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE_BUCKET, huge: int = HUGE_BUCKET, most: int = REFINE_BYTES) -> DataFrame:
@@ -342,7 +349,8 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, la
 def _marked(docs: DataFrame, length: int, gram: int, **limits) -> DataFrame:
     """``docs`` under ``d`` with the list of repeated starts of each row, null where it has none."""
     ranges = repeated_ranges(_keyed(docs), length, gram, **limits)
-    lists = ranges.groupBy(*KEY).agg(F.collect_list(F.struct("start", "span")).alias("ranges"))
+    # equal rows have equal ranges: a set of them, however often a row is repeated
+    lists = ranges.groupBy(*KEY).agg(F.collect_set(F.struct("start", "span")).alias("ranges"))
     return lists
 
 
@@ -381,8 +389,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **li
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = [t.encode() for t in batch.column("text").to_pylist()]
         cut = [_cut(r, x, length) for r, x in zip(raw, batch.column("ranges").to_pylist(), strict=True)]
-        ids = [None if i == -(2**63) else i for i in batch.column("did").to_pylist()]
-        return frame_batch(schema, doc_id=ids, n_bytes=[len(r) for r in raw], n_removed=[c[1] for c in cut], n_spans=[c[2] for c in cut], kept=[b"".join(c[0]) for c in cut])
+        return frame_batch(schema, doc_id=batch.column("doc_id"), n_bytes=[len(r) for r in raw], n_removed=[c[1] for c in cut], n_spans=[c[2] for c in cut], kept=[b"".join(c[0]) for c in cut])
 
     return map_batches(keyed.join(lists, KEY, "left"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
@@ -393,17 +400,17 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **l
     Characters cut in two by that are dropped, too. ``n_chars``, where it exists, is the length of the new text.
     """
     lists = _marked(docs, length, gram, **limits)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    did, tid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.hash(text)
-    named = lists.select(F.col("did").alias("__did"), F.col("tid").alias("__tid"), F.col("ranges").alias("__ranges"))
-    joined = docs.join(named, (did == F.col("__did")) & (tid == F.col("__tid")), "left").drop("__did", "__tid")
+    did, tid = _key()
+    first, second, ranges = (hidden(n) for n in (*KEY, "ranges"))
+    named = lists.select(F.col("did").alias(first), F.col("tid").alias(second), F.col("ranges").alias(ranges))
+    joined = docs.join(named, (did == F.col(first)) & (tid == F.col(second)), "left")
 
     @F.pandas_udf("string")
     def left(texts, ranges):
         return texts.combine(ranges, lambda t, r: t if t is None or r is None else "".join(k.decode("utf-8", "ignore") for k in _cut(t.encode(), list(r), length)[0]))
 
-    gone = F.col("__ranges").isNotNull()
-    out = joined.withColumn("text", F.when(gone, left(F.col("text"), F.col("__ranges"))).otherwise(F.col("text"))).filter(~gone | (F.trim(F.col("text")) != ""))
+    gone = F.col(ranges).isNotNull()
+    out = joined.withColumn("text", F.when(gone, left(F.col("text"), F.col(ranges))).otherwise(F.col("text"))).filter(~gone | (F.trim(F.col("text")) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(gone, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
