@@ -361,19 +361,20 @@ class _Memo(dict):
         """
         if self.known is None:
             return spaced_runs(words)
-        found, last, heads = [], len(words) - 1, self.heads
+        found, last = [], len(words) - 1
         seen = list(map(self.__getitem__, words)) if seen is None else seen
+        covered, then = -1, ()
         for i in [i for i, hit in enumerate(seen) if hit is not NOTHING and hit[1] and i < last]:
             nodes, end = seen[i][1], 0
+            # an earlier start that stands at the same place here finds all that this one would: a token said over and over
+            again, covered = i == covered and nodes == then, i + 1
+            then = ()
             for j in range(i + 1, len(words)):
-                word = words[j].lower()
-                if word[0].isalpha() and word[0] not in heads.first(nodes):
-                    break
-                if len(nodes) == 1 and word.isalpha():
-                    node, passed = heads.go(nodes[0], word)
-                    nodes = (node,) if node else ()
-                else:
-                    nodes, passed = self.walks[nodes, words[j]]
+                nodes, passed = self._step(nodes, words[j])
+                if j == i + 1:
+                    then = nodes
+                    if again:
+                        break
                 if passed:
                     end = j + 1
                 if not nodes:
@@ -382,6 +383,15 @@ class _Memo(dict):
                 found.append((i, end))
         return found
 
+    def _step(self, nodes: tuple[int, ...], token: str) -> tuple[tuple[int, ...], bool]:
+        word = token.lower()
+        if word[0].isalpha() and word[0] not in self.heads.first(nodes):
+            return (), False
+        if len(nodes) == 1 and word.isalpha():
+            node, passed = self.heads.go(nodes[0], word)
+            return (node,) if node else (), passed
+        return self.walks[nodes, token]
+
     def _parted(self, words: list[str]) -> bool:
         """If the lattice keeps all ends of some words; told without a search for words of two letters or more, none doubled."""
         if not all(len(w) > 1 and w.isascii() and w.isalpha() for w in words):

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from doubtline.llm import html_text, substrings
+from doubtline.llm import html_text, substrings, toxicity
 
 PROSE = "<p>A long paragraph of prose, with commas, and words that say things about the matter at hand.</p>"
 
@@ -56,3 +56,10 @@ def test_pages_without_a_marked_article_teach_nothing():
     for model in (alone, with_plain):
         assert "A long paragraph" in html_text.extract_pages([plain], model)[0]
     assert html_text.extract_pages([plain], html_text.fit([plain] * 5)) is not None
+
+
+def test_a_token_said_over_and_over_is_walked_once():
+    char = toxicity.CharModel(np.ones((toxicity.SYMBOLS,) * 3, np.float32))
+    memo = toxicity._Memo(char, {"=idiot": 0, "idio": 1})
+    assert memo.windows(["i"] * 200_000) == []
+    assert memo.windows(["x", "i", "i", "d", "i", "o", "t", "y"]) == [(1, 7)]
