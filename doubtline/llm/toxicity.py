@@ -7,7 +7,9 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
+from itertools import chain, compress
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ TRAIN_DOCS = 20_000
 EVIDENCE = 10.8
 ACCEPT = 0.7
 PARTS, HELD_OUT = 3, 1
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_WORDS, CACHE_CHARS = 600_000, 48
 
 # --- letters
 
@@ -111,8 +113,19 @@ ODD_INSIDE = re.compile(r"[^\W\d_](?=.*[0-9@$!|+(€£.\-_*·~'`^/\\,:].*[^\W\d_
 DOUBLE = re.compile(r"([^\W\d_])\1")
 REPEATS = re.compile(r"([^\W\d_])\1+")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-SIGN, LETTERS = re.compile("[" + re.escape("".join(LEET)) + "]"), re.compile(r"[\W\d_]+")
-NOTHING: tuple[tuple, tuple[int, ...]] = ((), ())
+SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
+PUNCTUATION = ".,;:?)\"'"
+#: What most tokens have: no base, no walk that goes on, no letter that it could go on with.
+NOTHING: tuple[tuple, tuple[int, ...], frozenset[str]] = ((), (), frozenset())
+
+
+@lru_cache(1024)
+def _options(c: str) -> tuple[tuple[str, int, float], ...]:
+    """What a character may stand for: letters with their symbols and channel costs, or nothing."""
+    if c.isalpha():
+        return ((c, _symbol(c), 0.0),)
+    letters = tuple((letter, _symbol(letter), SWAP) for letter in LEET.get(c, ""))
+    return (*letters, ("", 0, SEPARATE if c in SEPARATORS or c == " " else DROP))
 
 
 def decode(noisy: str, model: CharModel, readings: int = READINGS) -> list[str]:
@@ -128,18 +141,23 @@ def decode(noisy: str, model: CharModel, readings: int = READINGS) -> list[str]:
     paths: dict[int, tuple[float, str]] = {0: (0.0, "")}
     before = ""
     for c in noisy:
-        options: list[tuple[str, int, float]] = []
-        if c.isalpha():
-            options.append((c, _symbol(c), 0.0))
-        else:
-            options += [(letter, _symbol(letter), SWAP) for letter in LEET.get(c, "")]
-            options.append(("", 0, SEPARATE if c in SEPARATORS or c == " " else DROP))
+        options = _options(c)
+        step: dict[int, tuple[float, str]] = {}
+        if c != before and len(options) == 1 and options[0][0]:
+            # a letter that isn't a repeat: one way for each path
+            s, before = options[0][1], c
+            for state, (spent, text) in paths.items():
+                key, path = state % SYMBOLS * SYMBOLS + s, (spent + cost[state * SYMBOLS + s], text + c)
+                known = step.get(key)
+                if known is None or path < known:
+                    step[key] = path
+            paths = step
+            continue
         if before == c:
-            options.append(("", 0, REPEAT))
+            options += (("", 0, REPEAT),)
         if c == " ":
-            options.append((" ", 0, 0.0))
+            options += ((" ", 0, 0.0),)
         before = c
-        step: dict[int, tuple[float, str]] = {}
         for state, (spent, text) in paths.items():
             for letter, s, channel in options:
                 if letter == " ":
@@ -234,17 +252,28 @@ class Heads:
         return node, passed
 
     def first(self, nodes: tuple[int, ...]) -> frozenset[str]:
-        """Letters with which walks from some nodes can go on."""
+        """One and two letters with which walks from some nodes can go on; a letter and ``_`` where it ends a beginning."""
         found = self.allowed.get(nodes)
         if found is None:
-            found = self.allowed[nodes] = frozenset(c for n in nodes for c in (*self.next[n], self.letter[n]))
+            ways = [way for n in nodes for way in self._ways(n)]
+            pairs = [c + d for c, n in ways for d, _ in self._ways(n)]
+            found = self.allowed[nodes] = frozenset([*pairs, *(c for c, _ in ways), *(c + "_" for c, n in ways if n in self.ends)])
         return found
 
+    def _ways(self, node: int) -> list[tuple[str, int]]:
+        return [*self.next[node].items(), *([(self.letter[node], node)] if node else [])]
+
     def walk(self, nodes: Iterable[int], token: str) -> tuple[tuple[int, ...], bool]:
         """Where walks from some nodes over a token stand at its end, and whether one passed the end of a beginning."""
         # node, and the character that led there: it may be repeated
         now, passed = {(n, "") for n in nodes}, False
-        for c in token.lower():
+        start = next((i for i, c in enumerate(token) if not c.isalpha()), len(token)) if len(now) == 1 else 0
+        if start:
+            node, passed = self.go(next(iter(now))[0], token[:start])
+            if not node:
+                return (), passed
+            now = {(node, token[start - 1])}
+        for c in token[start:]:
             letters = c if c.isalpha() else LEET.get(c, "")
             step = set() if c.isalpha() else set(now)
             for node, last in now:
@@ -308,45 +337,59 @@ def spaced_runs(words: list[str]) -> list[tuple[int, int]]:
     return found
 
 
+class _Stands(dict):
+    """Node to the value of a word without known beginnings that leads there."""
+
+    def __init__(self, heads: Heads):
+        super().__init__()
+        self.heads = heads
+
+    def __missing__(self, node: int) -> tuple[tuple, tuple[int, ...], frozenset[str]]:
+        value = self[node] = ((), (node,), self.heads.first((node,))) if self.heads.next[node] else NOTHING
+        return value
+
+
 class _Memo(dict):
-    """Token to its restored words and their bases; with an index, only bases that the model knows."""
+    """Lower-cased token to its restored words and their bases; with an index, only bases that the model knows."""
 
     def __init__(self, char: CharModel, index: dict[str, int] | None):
         super().__init__()
         self.char, self.known = char, None if index is None else {f.split("+")[0] for f in index}
         self.heads = Heads(b.removeprefix("=") for b in self.known or ())
         self.walks, self.joints = _Walks(self.heads), Joints(char)
+        self.decoded: dict[str, tuple] = {}
+        self.stands = _Stands(self.heads)
 
     def bases(self, read: list[str]) -> tuple:
         found = [(w, b) for w in read for b in bases_of(w)]
         return tuple(found if self.known is None else [x for x in found if x[1] in self.known])
 
-    def _seen(self, word: str) -> tuple[tuple, tuple[int, ...]]:
-        """Bases of a token, and where walks over it lead that go beyond it."""
+    def _seen(self, low: str) -> tuple[tuple, tuple[int, ...], frozenset[str]]:
+        """Bases of a token, where walks over it lead that go beyond it, and the letters with which they can go on."""
         if self.known is None:
-            return self.bases(restore_word(word, self.char)), ()
-        low = word.lower()
-        if low.isalpha():
-            node, passed = self.heads.go(0, low)
-            # the lattice only takes repeats out of a word of letters alone
-            return self._value(word if passed else None, (node,))
+            return self.bases(restore_word(low, self.char)), (), NOTHING[2]
+        stem = low.rstrip(PUNCTUATION)
+        if stem.isalpha():
+            node, passed = self.heads.go(0, stem)
+            # the lattice only takes repeats out of a word of letters alone, whatever ends the sentence after it
+            return self._value(low, (node,)) if passed else self.stands[node] if node else NOTHING
         if SIGN.search(low):
             nodes = self.heads.walk((0,), low)[0]
         else:
-            node, passed = self.heads.go(0, LETTERS.sub("", low))
+            node, passed = self.heads.go(0, "".join(filter(str.isalpha, low)))
             if not passed:
                 return self._value(None, (node,))
             nodes = (node,)
         plain = EDGE.sub("", low)
         hopeless = plain.isalpha() and not ODD_INSIDE.search(low) and not self.heads.knows(REPEATS.sub(r"\1", plain))
-        return self._value(None if hopeless else word, nodes)
+        return self._value(None if hopeless else low, nodes)
 
-    def _value(self, word: str | None, nodes: tuple[int, ...]) -> tuple[tuple, tuple[int, ...]]:
+    def _value(self, word: str | None, nodes: tuple[int, ...]) -> tuple[tuple, tuple[int, ...], frozenset[str]]:
         bases = self.bases(restore_word(word, self.char)) if word else ()
         nodes = tuple(n for n in nodes if n and self.heads.next[n])
-        return (bases, nodes) if bases or nodes else NOTHING
+        return (bases, nodes, self.heads.first(nodes)) if bases or nodes else NOTHING
 
-    def __missing__(self, word: str) -> tuple[tuple, tuple[int, ...]]:
+    def __missing__(self, word: str) -> tuple[tuple, tuple[int, ...], frozenset[str]]:
         value = self._seen(word)
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
@@ -357,15 +400,18 @@ class _Memo(dict):
     def windows(self, words: list[str], seen: list[tuple] | None = None) -> list[tuple[int, int]]:
         """(first, end) of neighbouring tokens that the lattice may read as words with a known beginning across their ends.
 
-        Before anything is known, these are runs of single characters.
+        Tokens are lower-cased. Before anything is known, these are runs of single characters.
         """
         if self.known is None:
             return spaced_runs(words)
         found, last = [], len(words) - 1
         seen = list(map(self.__getitem__, words)) if seen is None else seen
         covered, then = -1, ()
-        for i in [i for i, hit in enumerate(seen) if hit is not NOTHING and hit[1] and i < last]:
-            nodes, end = seen[i][1], 0
+        for i in compress(range(last), map(itemgetter(1), seen)):
+            _, nodes, letters = seen[i]
+            end, ahead = 0, words[i + 1][:2]
+            if ahead not in letters and ahead.isalpha() and ahead[0] + "_" not in letters:
+                continue
             # an earlier start that stands at the same place here finds all that this one would: a token said over and over
             again, covered = i == covered and nodes == then, i + 1
             then = ()
@@ -384,11 +430,11 @@ class _Memo(dict):
         return found
 
     def _step(self, nodes: tuple[int, ...], token: str) -> tuple[tuple[int, ...], bool]:
-        word = token.lower()
-        if word[0].isalpha() and word[0] not in self.heads.first(nodes):
+        ahead, letters = token[:2], self.heads.first(nodes)
+        if ahead not in letters and ahead.isalpha() and ahead[0] + "_" not in letters:
             return (), False
-        if len(nodes) == 1 and word.isalpha():
-            node, passed = self.heads.go(nodes[0], word)
+        if len(nodes) == 1 and token.isalpha():
+            node, passed = self.heads.go(nodes[0], token)
             return (node,) if node else (), passed
         return self.walks[nodes, token]
 
@@ -396,28 +442,37 @@ class _Memo(dict):
         """If the lattice keeps all ends of some words; told without a search for words of two letters or more, none doubled."""
         if not all(len(w) > 1 and w.isascii() and w.isalpha() for w in words):
             return False
-        low = [w.lower() for w in words]
-        return not any(self.joints[a[-2:] + b[:2]] or a[-1] == b[0] for a, b in zip(low, low[1:])) and not any(DOUBLE.search(w) for w in low)
+        return not any(self.joints[a[-2:] + b[:2]] or a[-1] == b[0] for a, b in zip(words, words[1:])) and not any(DOUBLE.search(w) for w in words)
+
+    def _joined(self, noisy: str) -> tuple:
+        """Bases of a window's best reading."""
+        value = self.decoded.get(noisy)
+        if value is None:
+            value = tuple(x for reading in decode(noisy, self.char, 1) for x in self.bases(reading.split()))
+            if len(noisy) <= CACHE_CHARS:
+                if len(self.decoded) >= CACHE_WORDS:
+                    self.decoded.clear()
+                self.decoded[noisy] = value
+        return value
 
     def of(self, text: str | None) -> list[str]:
         """Distinct features of a text: a base, and the base with +2 or +3 where so many different words share it."""
-        words = text.split() if text else []
+        words = text.lower().split() if text else []
         seen = list(map(self.__getitem__, words))
-        found = {x for hit in seen if hit is not NOTHING for x in hit[0]}
+        found = set(chain.from_iterable(filter(None, map(itemgetter(0), seen))))
         for first, end in self.windows(words, seen):
-            for reading in decode(" ".join(words[first:end]).lower(), self.char, 1):
-                found.update(self.bases(reading.split()))
+            found.update(self._joined(" ".join(words[first:end])))
         counts = Counter(b for _, b in found)
         return [b if n == 1 else f"{b}+{n}" for b, c in counts.items() for n in range(1, min(c, MOST_ALIKE) + 1)]
 
 
 def restore(text: str, char: CharModel, index: dict[str, int] | None = None) -> str:
     """A text with each noisy word, and each window of pieces, as the lattice reads it best: in lower case, joined by a space."""
-    words, out, i, memo = text.split(), [], 0, _Memo(char, index)
+    words, out, i, memo = text.lower().split(), [], 0, _Memo(char, index)
     windows = dict(memo.windows(words))
     while i < len(words):
         end = windows.get(i)
-        out += decode(" ".join(words[i:end]).lower(), char, 1) if end else restore_word(words[i], char)[:2][-1:]
+        out += decode(" ".join(words[i:end]), char, 1) if end else restore_word(words[i], char)[:2][-1:]
         i = end or i + 1
     return " ".join(out)
 

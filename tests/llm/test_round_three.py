@@ -63,3 +63,41 @@ def test_a_token_said_over_and_over_is_walked_once():
     memo = toxicity._Memo(char, {"=idiot": 0, "idio": 1})
     assert memo.windows(["i"] * 200_000) == []
     assert memo.windows(["x", "i", "i", "d", "i", "o", "t", "y"]) == [(1, 7)]
+
+
+def plain_walk(heads, nodes, token):
+    """All that walks over a token can do, one character after the other."""
+    now, passed = {(n, "") for n in nodes}, False
+    for c in token:
+        letters, step = c if c.isalpha() else toxicity.LEET.get(c, ""), set() if c.isalpha() else set(now)
+        for node, last in now:
+            if c == last or (node and heads.letter[node] in letters):
+                step.add((node, c))
+            for found in [heads.next[node][x] for x in letters if x in heads.next[node]]:
+                step.add((found, c))
+                passed |= found in heads.ends
+        now = step
+    return tuple(sorted({n for n, _ in now})), passed
+
+
+def test_short_ways_lose_nothing():
+    """Letters ahead, leading letters and cached tokens against walks and readings without any of these."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abco"), rng.integers(2, 7))) for _ in range(25)]
+    char = toxicity.CharModel(rng.random((toxicity.SYMBOLS,) * 3).astype(np.float32))
+    memo = toxicity._Memo(char, {b: i for i, b in enumerate(dict.fromkeys(b for w in words for b in toxicity.bases_of(w)))})
+    heads, rejected = memo.heads, 0
+    for _ in range(6000):
+        token = "".join(rng.choice(list("abcoabcoabco0(.!-\u00b2"), rng.integers(1, 8)))
+        nodes = tuple(sorted(set(rng.integers(0, len(heads.next), rng.integers(1, 3)).tolist())))
+        want = plain_walk(heads, nodes, token)
+        assert heads.walk(nodes, token) == want
+        got = memo._step(nodes, token)
+        assert got[1] == want[1] and {n for n in got[0]} == {n for n in want[0]}
+        rejected += got == ((), False)
+        assert set(memo[token][0]) == set(memo.bases(toxicity.restore_word(token, char))), token
+        end = tuple(n for n in plain_walk(heads, (0,), token)[0] if n and heads.next[n])
+        assert memo[token][1] == end, token
+    assert 500 < rejected < 5500
+    text = " ".join(words).upper()
+    assert sorted(memo.of(text)) == sorted(memo.of(text.lower()))
