@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -416,7 +417,7 @@ class _Memo(dict):
             again, covered = i == covered and nodes == then, i + 1
             then = ()
             for j in range(i + 1, len(words)):
-                nodes, passed = self._step(nodes, words[j])
+                nodes, passed = (self._go if j == i + 1 else self._step)(nodes, words[j])
                 if j == i + 1:
                     then = nodes
                     if again:
@@ -433,16 +434,23 @@ class _Memo(dict):
         ahead, letters = token[:2], self.heads.first(nodes)
         if ahead not in letters and ahead.isalpha() and ahead[0] + "_" not in letters:
             return (), False
+        return self._go(nodes, token)
+
+    def _go(self, nodes: tuple[int, ...], token: str) -> tuple[tuple[int, ...], bool]:
         if len(nodes) == 1 and token.isalpha():
             node, passed = self.heads.go(nodes[0], token)
             return (node,) if node else (), passed
         return self.walks[nodes, token]
 
     def _parted(self, words: list[str]) -> bool:
-        """If the lattice keeps all ends of some words; told without a search for words of two letters or more, none doubled."""
-        if not all(len(w) > 1 and w.isascii() and w.isalpha() for w in words):
+        """If the lattice keeps all ends of some words; told without a search for words of two letters or more, none doubled.
+
+        Punctuation after a word is let go at the same cost on both ways.
+        """
+        stems = [w.rstrip(PUNCTUATION) for w in words]
+        if not all(len(w) > 1 and w.isalpha() for w in stems):
             return False
-        return not any(self.joints[a[-2:] + b[:2]] or a[-1] == b[0] for a, b in zip(words, words[1:])) and not any(DOUBLE.search(w) for w in words)
+        return not any(self.joints[a[-2:] + b[:2]] or a[-1] == b[0] for a, b in zip(stems, stems[1:])) and not any(DOUBLE.search(w) for w in stems)
 
     def _joined(self, noisy: str) -> tuple:
         """Bases of a window's best reading."""
@@ -459,11 +467,29 @@ class _Memo(dict):
         """Distinct features of a text: a base, and the base with +2 or +3 where so many different words share it."""
         words = text.lower().split() if text else []
         seen = list(map(self.__getitem__, words))
-        found = set(chain.from_iterable(filter(None, map(itemgetter(0), seen))))
+        if self.known is None:
+            found = set(chain.from_iterable(bases for bases, _, _ in dict(zip(words, seen)).values()))
+        else:
+            found = set(chain.from_iterable(filter(None, map(itemgetter(0), seen))))
         for first, end in self.windows(words, seen):
             found.update(self._joined(" ".join(words[first:end])))
-        counts = Counter(b for _, b in found)
-        return [b if n == 1 else f"{b}+{n}" for b, c in counts.items() for n in range(1, min(c, MOST_ALIKE) + 1)]
+        counts = Counter(map(itemgetter(1), found))
+        return [*counts, *(f"{b}+{n}" for b, c in counts.items() if c > 1 for n in range(2, min(c, MOST_ALIKE) + 1))]
+
+
+#: The memo of the last model that this worker process used, by the model's digest: later tasks start with what it knows.
+_KEPT: dict[str, _Memo] = {}
+
+
+def _digest(char: CharModel, index: dict[str, int]) -> str:
+    return hashlib.sha256(char.cost.tobytes() + "\n".join(index).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _memo_of(key: str, char: CharModel, index: dict[str, int]) -> _Memo:
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = _Memo(char, index)
+    return _KEPT[key]
 
 
 def restore(text: str, char: CharModel, index: dict[str, int] | None = None) -> str:
@@ -542,8 +568,10 @@ def train(docs: DataFrame, labels: DataFrame, char: CharModel, most: int = TRAIN
     index = {f: i for i, f in enumerate(names)}
     pairs = pa.schema([("label", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
+    key = _digest(char, index)
+
     def present(batch: pa.RecordBatch) -> pa.RecordBatch:
-        memo = _Memo(char, index)
+        memo = _memo_of(key, char, index)
         return frame_batch(pairs, label=batch.column("label"), ids=[sorted(index[f] for f in memo.of(t) if f in index) for t in batch.column("text").to_pylist()])
 
     rows = sorted((r.label, r.ids) for r in map_batches(sample, present, "label int, ids array<int>").collect())
@@ -558,13 +586,11 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, accept: float = ACCEPT) -
     stays null and isn't held out; repeated rows are all returned; further columns are ignored.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-    memo: list[_Memo] = []
+    key = _digest(model.char, model.index)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not memo:
-            memo.append(_Memo(model.char, model.index))
-        at, weights = model.index, model.weights
-        logit = [model.bias + math.fsum(weights[at[f]] for f in memo[0].of(t) if f in at) for t in batch.column("text").to_pylist()]
+        memo, at, weights = _memo_of(key, model.char, model.index), model.index, model.weights
+        logit = [model.bias + math.fsum(weights[at[f]] for f in memo.of(t) if f in at) for t in batch.column("text").to_pylist()]
         return frame_batch(schema, doc_id=batch.column("doc_id"), score=1 / (1 + np.exp(-np.clip(logit, -500, 500))))
 
     out = map_batches(id_and_text(docs), run, "doc_id long, score double")
