@@ -26,7 +26,7 @@ TRAIN_DOCS = 20_000
 EVIDENCE = 10.8
 ACCEPT = 0.7
 PARTS, HELD_OUT = 3, 1
-CACHE_WORDS, CACHE_CHARS = 600_000, 48
+CACHE_WORDS, CACHE_CHARS = 400_000, 48
 
 # --- letters
 
@@ -544,6 +544,8 @@ def train(docs: DataFrame, labels: DataFrame, char: CharModel, most: int = TRAIN
     schema = pa.schema([("feature", pa.string()), ("n1", pa.int64()), ("n0", pa.int64())])
 
     def count(batches):
+        # a model of before isn't needed beside the counts
+        _KEPT.clear()
         memo, seen = _Memo(char, None), (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
