@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from doubtline.functions import vectors as V
 from doubtline.functions.hashing import md5_uniform
 from doubtline.functions.prob import argmax, softmax
+from doubtline.operators.bounded import STATE_VALUES
 from doubtline.operators.knn import knn_join
 from doubtline.operators.stats import Moments, covariance, moments, task_partials
 from doubtline.operators.store import read_json, write_json
@@ -449,10 +450,15 @@ class BaggedLinearSVM(Model):
 
     All members and classes are solved together by Newton's method: a pass over the table sums
     the gradients and curvatures of every member at once, so the number of passes does not grow
-    with the number of members or classes. The calibration, a logistic curve per class on the
-    mean margin, is fitted the same way.
+    with the number of members or classes. Where the curvatures of wide vectors pass the limit of
+    partial results, Newton's steps are found by conjugate gradients, whose passes sum products of
+    the curvatures with a direction: as many numbers as weights. The calibration, a logistic curve
+    per class on the mean margin, is fitted by Newton's method, too.
     """
 
+    #: Curvature numbers of all members and classes that a pass may sum, and directions tried for a step beyond that.
+    curvature_numbers, directions = STATE_VALUES, 60
+
     name = "SVM"
 
     def __init__(self, members: int = 10, sample: float = 0.1, seed: int = 0, passes: int = 12, ridge: float = 1e-3):
@@ -472,7 +478,8 @@ class BaggedLinearSVM(Model):
         packed = train.select(cells.alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
         targets = [1] if k <= 2 else list(range(k))
         try:
-            weights = self._solve(packed, d + 1, targets)
+            direct = self.members * len(targets) * ((d + 1) * (d + 2) + 1) <= self.curvature_numbers
+            weights = (self._solve if direct else self._solve_wide)(packed, d + 1, targets)
             scale = self._calibrate(packed, weights, d + 1, targets)
         finally:
             packed.unpersist()
@@ -511,6 +518,50 @@ class BaggedLinearSVM(Model):
                 break
         return weights.mean(axis=0)
 
+    def _solve_wide(self, packed: DataFrame, width: int, targets: list[int]) -> np.ndarray:
+        """The same minimum without curvature matrices."""
+        members, cells = self.members, self.members * len(targets)
+
+        def sums(current: np.ndarray, along: np.ndarray | None) -> np.ndarray:
+            """Mean gradients of all members and targets, or their curvatures' products with a direction for each."""
+
+            def part(block: np.ndarray) -> np.ndarray:
+                x, label = block[:, :width], block[:, width]
+                drawn = np.repeat(block[:, width + 1 :] > 0, len(targets), axis=1)
+                y = np.tile(np.where(label[:, None] == np.array(targets), 1.0, -1.0), (1, members))
+                miss = np.where(drawn, np.maximum(1.0 - y * (x @ current.T), 0.0), 0.0)
+                pull = -y * miss if along is None else (miss > 0) * (x @ along.T)
+                return np.hstack([pull.T @ x, drawn.sum(axis=0)[:, None]]).ravel()
+
+            out = task_partials(packed, part, cells * (width + 1)).reshape(cells, width + 1)
+            means = out[:, :width] / np.maximum(out[:, width:], 1.0)
+            return means + self.ridge * (current if along is None else along)
+
+        weights, start = np.zeros((cells, width)), None
+        for _ in range(self.passes):
+            left = sums(weights, None)
+            size = np.linalg.norm(left, axis=1)
+            start = np.maximum(size, 1e-300) if start is None else start
+            if (size <= 1e-8 * start).all():
+                break
+            # the nearer the minimum, the more exact the step
+            goal = (np.minimum(0.1, size / start) * size) ** 2
+            step, along, rest = np.zeros_like(weights), left, size**2
+            for _ in range(self.directions):
+                going = rest > np.maximum(goal, 1e-300)
+                if not going.any():
+                    break
+                curved = sums(weights, along)
+                bend = (along * curved).sum(axis=1)
+                far = np.where(going & (bend > 0), rest / np.where(bend > 0, bend, 1.0), 0.0)[:, None]
+                step, left = step + far * along, left - far * curved
+                now = (left * left).sum(axis=1)
+                turn = np.where(going, now / np.where(going, rest, 1.0), 0.0)[:, None]
+                along = np.where(going[:, None], left + turn * along, 0.0)
+                rest = np.where(going, now, rest)
+            weights = weights - step
+        return weights.reshape(members, len(targets), width).mean(axis=0)
+
     def _calibrate(self, packed: DataFrame, weights: np.ndarray, width: int, targets: list[int]) -> np.ndarray:
         scale = np.tile([1.0, 0.0], (len(targets), 1))
         for _ in range(self.passes):

@@ -43,6 +43,32 @@ def test_two_classes_and_reload(spark, tmp_path, name):
     assert a == b and all(len(p) == 2 for _, p in a.values())
 
 
+def test_linear_svm_without_curvature_matrices(spark):
+    """Conjugate gradients end at the weights that the matrices give."""
+    rng = np.random.default_rng(11)
+    x, y = blobs(rng, 900, [[0, 0, 3, 1], [3, 0, 0, 2], [0, 3, 0, 0]])
+    df = vectors(spark, x, y)
+    direct, wide = make_model("SVM", members=3, sample=0.4), make_model("SVM", members=3, sample=0.4)
+    wide.curvature_numbers = 0
+    a, b = direct.fit(df), wide.fit(df)
+    assert np.abs(a.weights - b.weights).max() < 1e-6 and np.abs(a.scale - b.scale).max() < 1e-4
+    # one label only, and two
+    for one in (df.withColumn("label", F.lit(0)), df.filter("label < 2")):
+        assert np.isfinite(wide.fit(one).weights).all()
+
+
+def test_linear_svm_on_wide_vectors(spark):
+    """Ten classes of 784 values: the curvatures of ten members would be 61.7 million numbers."""
+    rng = np.random.default_rng(12)
+    centres = rng.random((10, 784))
+    y = np.arange(600) % 10
+    df = vectors(spark, centres[y] + rng.normal(0, 0.3, (600, 784)), y).coalesce(1).cache()
+    model = make_model("SVM")
+    assert model.members * 10 * (785 * 786 + 1) > model.curvature_numbers
+    report = evaluate(model, df, df)[2].first()
+    assert report.accuracy > 0.95
+
+
 def test_bayes_narrow_equals_wide(spark):
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(300, 5)), rng.integers(0, 3, 300)
