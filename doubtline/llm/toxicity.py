@@ -26,7 +26,7 @@ TRAIN_DOCS = 20_000
 EVIDENCE = 10.8
 ACCEPT = 0.7
 PARTS, HELD_OUT = 3, 1
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_WORDS, CACHE_CHARS = 200_000, 48
 
 # --- letters
 
@@ -550,7 +550,7 @@ def train(docs: DataFrame, labels: DataFrame, char: CharModel, most: int = TRAIN
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 seen[label].update(memo.of(text))
-            if len(seen[0]) + len(seen[1]) > 300_000:
+            if len(seen[0]) + len(seen[1]) > 150_000:
                 yield _counted(seen)
                 seen = (Counter(), Counter())
         yield _counted(seen)
