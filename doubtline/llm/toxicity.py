@@ -26,7 +26,7 @@ TRAIN_DOCS = 20_000
 EVIDENCE = 10.8
 ACCEPT = 0.7
 PARTS, HELD_OUT = 3, 1
-CACHE_WORDS, CACHE_CHARS = 200_000, 48
+CACHE_WORDS, CACHE_CHARS = 400_000, 48
 
 # --- letters
 
@@ -393,7 +393,8 @@ class _Memo(dict):
     def __missing__(self, word: str) -> tuple[tuple, tuple[int, ...], frozenset[str]]:
         value = self._seen(word)
         if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
+            # before anything is known, a word has all its bases: eight times the memory
+            if len(self) >= (CACHE_WORDS // 8 if self.known is None else CACHE_WORDS):
                 self.clear()
             self[word] = value
         return value
