@@ -4,15 +4,23 @@ Contract: ``knn_join`` adds a column ``nn array<struct<dist, ref_id, carried...>
 ordered by (distance rounded to 9 digits, ref_id), so that ties are settled the same way for any
 partitioning.
 
-Two physical forms, chosen by the measured size of the reference table:
-
-* below the broadcast bound, the reference matrix goes to every task and each batch of queries is
-  ranked in place: no shuffle at all;
-* above it, the reference rows are assigned to pivots (a Voronoi partition) and each cell is cut
-  into blocks of bounded size. The triangle inequality tells which blocks can hold a neighbour of
-  a query; queries go to those blocks only, each block yields its best k, and the partial lists
-  are merged. Blocks with many queries are replicated, so neither side of a block grows with the
-  data. No pruning ever drops a true neighbour.
+Three physical forms with equal results, chosen by measured figures:
+
+* ``broadcast``: a reference below the broadcast bound goes to every task and each batch of queries
+  is ranked in place: no shuffle at all;
+* ``pivots``: the reference rows are assigned to pivots (a Voronoi partition), each cell is cut
+  into rings by the distance from its pivot, and a ring of too many rows into blocks by hash. The
+  triangle inequality tells which blocks can hold a neighbour of a query; queries go to those
+  blocks only, each block yields its best k, and the partial lists are merged. Blocks with many
+  queries are replicated, so neither side of a block grows with the data. No pruning ever drops a
+  true neighbour;
+* ``tiles``: where the inequality rules out little (many wide vectors), sending a query to each
+  block is waste. Groups of queries then stay in a task, the reference passes by in tiles, and a
+  running top-k is kept. A query row is shuffled once as long as the reference is one slice; a
+  larger one is cut into slices of bounded size, and the lists of the slices are merged.
+
+A hashed sample of queries gives the share of the reference that a query must be compared with, and
+with it the bytes that ``pivots`` and ``tiles`` would shuffle (see ``choose_form``).
 
 Copies of one vector beyond the first k ids can never be among anyone's k nearest, hence they are
 removed first; a vector that makes up a third of the table costs k rows.
@@ -37,6 +45,11 @@ from doubtline.session import materialize
 DIGITS = 9
 WINDOW_LIMIT = 1000  # up to here Spark prunes row_number() <= k before the shuffle
 SALTS = 64
+RINGS = 64  # of one cell, at most
+ROUTE_SAMPLE = 2000  # queries asked for the share of the reference they need
+DENSE_SHARE = 0.5  # from here on ruling out blocks saves less work than it moves
+SLICE_ROWS = 1_000_000
+GROUP_BYTES = 64 * 1024 * 1024
 
 
 def valid_k(k, default: int = 19) -> int:
@@ -51,12 +64,18 @@ def valid_k(k, default: int = 19) -> int:
 
 
 def nearest(
-    q: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int, q_ids: np.ndarray | None = None
+    q: np.ndarray,
+    r: np.ndarray,
+    r_ids: np.ndarray,
+    k: int,
+    q_ids: np.ndarray | None = None,
+    bound: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query index, reference index, distance)`` of the k nearest, in rank order per query.
 
     Candidates are found by the matrix product and then measured again by differences, since the
-    product loses digits for close points. With ``q_ids`` a row is not its own neighbour.
+    product loses digits for close points. With ``q_ids`` a row is not its own neighbour. With
+    ``bound``, a distance for each query, rows farther than that may be left out.
     """
     out_q, out_r, out_d = [], [], []
     if len(q) == 0 or len(r) == 0:
@@ -74,6 +93,8 @@ def nearest(
             kth = np.partition(square, k - 1, axis=1)[:, k - 1]
         else:
             kth = np.full(len(x), np.inf)
+        if bound is not None:
+            kth = np.minimum(kth, bound[start : start + chunk] ** 2)
         edge = np.sqrt(np.maximum(np.where(np.isfinite(kth), kth, 0.0), 0.0))
         slack = 1e-10 * (x_norm + r_norm.max()) + 4e-9 * (1.0 + edge)
         keep = square <= (kth + slack)[:, None]
@@ -173,6 +194,7 @@ class _Cells:
         self.block_high = np.zeros(0)
         self.block_ids = np.zeros(0, np.int64)
         self.kth_within = np.full(len(pivots), np.inf)
+        self.cuts: dict[int, np.ndarray] = {}
 
     def distances(self, x: np.ndarray) -> np.ndarray:
         square = (
@@ -202,7 +224,48 @@ def pick_pivots(ref: DataFrame, count: int, id_col: str = "__rid", features: str
     return np.unique(np.array([r[0] for r in rows], float), axis=0)
 
 
-def _pivot_join(query, ref, k, query_id, ref_id, features, carry, exclude_self, rows, pivots, block_rows, query_rows):
+def routing(query: DataFrame, cells: _Cells, block_sizes: np.ndarray, features: str) -> tuple[int, float, float]:
+    """Queries, the mean share of the reference one must be compared with, and the mean number of blocks.
+
+    The means are over at most ``ROUTE_SAMPLE`` queries, the first by a hash of their vectors.
+    """
+    vector = F.col(features).cast("array<double>")
+    told = query.select(vector.alias("x"), F.xxhash64(vector, F.lit(29)).alias("h"))
+    rows = told.filter("x is not null").orderBy("h").limit(ROUTE_SAMPLE).select("x").toArrow()
+    asked = query.count()
+    if not rows.num_rows:
+        return asked, 0.0, 0.0
+    qi, block = cells.routes(to_matrix(rows.column("x")))
+    return asked, float(block_sizes[block].sum() / block_sizes.sum() / rows.num_rows), len(block) / rows.num_rows
+
+
+def tiling(asked: int, rows: int, width: int, query_rows: int, tasks: int, slice_rows: int = SLICE_ROWS) -> tuple[int, int]:
+    """Groups of queries and slices of the reference.
+
+    A group's vectors stay within ``GROUP_BYTES``; few queries make more groups, as long as each has 256.
+    """
+    held = max(1, min(query_rows, GROUP_BYTES // (8 * max(width, 1))))
+    groups = max(math.ceil(asked / held), min(tasks, math.ceil(asked / 256)), 1)
+    return groups, max(1, math.ceil(rows / slice_rows))
+
+
+def choose_form(
+    asked: int, share: float, visits: float, groups: int, slices: int, rows: int, width: int, k: int, carried: int, query_rows: int
+) -> str:
+    """``tiles`` where blocks rule out less than half of the work and the tiles move fewer bytes, else ``pivots``."""
+    if share < DENSE_SHARE:
+        return "pivots"
+    vector, entry = 8 * width + 24, 8 * (3 + carried)
+    replicas = max(1.0, share * asked / query_rows)
+    by_pivots = asked * visits * (vector + k * entry) + rows * vector * replicas
+    merged = 0 if slices == 1 else asked * slices * k * entry
+    by_tiles = asked * vector * slices + rows * vector * groups + merged
+    return "tiles" if by_tiles < by_pivots else "pivots"
+
+
+def _pivot_join(
+    query, ref, k, query_id, ref_id, features, carry, exclude_self, rows, pivots, block_rows, query_rows, form, slice_rows
+):
     spark = query.sparkSession
     sc = spark.sparkContext
     base = _reference(ref, ref_id, features, carry)
@@ -223,30 +286,52 @@ def _pivot_join(query, ref, k, query_id, ref_id, features, carry, exclude_self,
     placed = base.withColumn("__h", home("__rf"))
     placed = placed.withColumns({"__cell": F.col("__h.cell"), "__away": F.col("__h.away")}).drop("__h")
     placed = materialize(placed, "knn-cells")
-    sizes = {
-        r["__cell"]: r.n
-        for r in bounded_collect(placed.groupBy("__cell").agg(F.count(F.lit(1)).alias("n")), what="cells")
-    }
-    parts = {c: max(1, math.ceil(n / block_rows)) for c, n in sizes.items()}
-    first, total = {}, 0
-    for c in sorted(parts):
-        first[c], total = total, total + parts[c]
+    tail = [i / RINGS for i in range(1, RINGS)]
+    measured = placed.groupBy("__cell").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("__away", tail, 4 * RINGS).alias("cuts")
+    )
+    sizes = {}
+    for r in bounded_collect(measured, what="cells"):
+        sizes[r["__cell"]] = r.n
+        rings = min(RINGS, math.ceil(r.n / block_rows))
+        cells.cuts[r["__cell"]] = np.unique([r.cuts[RINGS * i // rings - 1] for i in range(1, rings)])
+    cut_state = sc.broadcast(cells.cuts)
+
+    @F.arrow_udf("int")
+    def ring(cell: pa.Array, away: pa.Array) -> pa.Array:
+        c, a = cell.to_numpy(), away.to_numpy()
+        out = np.zeros(len(c), np.int32)
+        for own in np.unique(c):
+            out[c == own] = np.searchsorted(cut_state.value[own], a[c == own])
+        return pa.array(out)
+
+    ringed = placed.withColumn("__ring", ring("__cell", "__away"))
+    counted = bounded_collect(
+        ringed.groupBy("__cell", "__ring").agg(
+            F.count(F.lit(1)).alias("n"), F.min("__away").alias("lo"), F.max("__away").alias("hi")
+        ),
+        what="rings",
+    )
+    split, total = [], 0
+    for r in sorted(counted, key=lambda r: (r["__cell"], r["__ring"])):
+        pieces = math.ceil(r.n / (2 * block_rows))
+        split.append((r["__cell"], r["__ring"], total, pieces, r.lo, r.hi, r.n))
+        total += pieces
     check_values(total * 4, "blocks")
-    plan = F.broadcast(
-        spark.createDataFrame([(c, first[c], parts[c]) for c in parts], "__cell int, __first int, __parts int")
+    plan = spark.createDataFrame(
+        [row[:4] for row in split], "__cell int, __ring int, __first int, __parts int"
     )
-    blocks = placed.join(plan, "__cell").withColumn(
+    blocks = ringed.join(F.broadcast(plan), ["__cell", "__ring"]).withColumn(
         "__block", F.col("__first") + F.pmod(F.xxhash64("__rid"), F.col("__parts")).cast("int")
     )
-    summary = bounded_collect(
-        blocks.groupBy("__block", "__cell").agg(F.min("__away").alias("lo"), F.max("__away").alias("hi")),
-        limit=2_000_000,
-        what="blocks",
-    )
-    cells.block_ids = np.array([r["__block"] for r in summary], np.int64)
-    cells.block_cell = np.array([r["__cell"] for r in summary], int)
-    cells.block_low = np.array([r.lo for r in summary])
-    cells.block_high = np.array([r.hi for r in summary])
+    pieces = np.array([row[3] for row in split], int)
+
+    def per_block(i: int) -> np.ndarray:
+        return np.repeat([row[i] for row in split], pieces)
+
+    cells.block_ids = np.arange(total)
+    cells.block_cell, cells.block_low, cells.block_high = per_block(0), per_block(4), per_block(5)
+    block_sizes = per_block(6) / per_block(3)
     if need < WINDOW_LIMIT:
         inner = F.row_number().over(Window.partitionBy("__cell").orderBy("__away", "__rid"))
         kth = placed.select("__cell", "__away", "__rid").withColumn("__n", inner).filter(F.col("__n") <= need)
@@ -256,6 +341,17 @@ def _pivot_join(query, ref, k, query_id, ref_id, features, carry, exclude_self,
         kth = placed.filter(F.col("__cell").isin(big)).groupBy("__cell").agg(F.max("__away").alias("__away"))
     for r in bounded_collect(kth, what="cells"):
         cells.kth_within[r["__cell"]] = r["__away"]
+    if form is None:
+        asked, share, visits = routing(query, cells, block_sizes, features)
+        width = cells.pivots.shape[1]
+        groups, slices = tiling(asked, int(block_sizes.sum()), width, query_rows, sc.defaultParallelism)
+        form = choose_form(asked, share, visits, groups, slices, int(block_sizes.sum()), width, k, len(carry), query_rows)
+    if form == "tiles":
+        stored = placed.select("__rid", "__rf", *[f"__c_{c}" for c in carry])
+        return _tiled_join(
+            query, ref, stored, k, query_id, ref_id, features, carry, exclude_self,
+            cells.pivots.shape[1], query_rows, slice_rows, block_rows,
+        )
     route_state = sc.broadcast(cells)
 
     @F.arrow_udf("array<int>")
@@ -328,11 +424,132 @@ def _pivot_join(query, ref, k, query_id, ref_id, features, carry, exclude_self,
     )
     lists = best.groupBy("__qid", "__qk").agg(F.collect_list(F.struct("__rank", entry.alias("e"))).alias("l"))
     ranked = F.transform(F.array_sort("l"), lambda s: s["e"])
-    lists = lists.select("__qid", "__qk", ranked.alias("nn"))
-    mine = F.col(query_id).eqNullSafe(F.col("__qid")) & (F.xxhash64(vector) == F.col("__qk"))
-    empty = F.array().cast(_nn_type(ref, ref_id, carry))
+    return _attach(query, lists.select("__qid", "__qk", ranked.alias("nn")), query_id, vector, _nn_type(ref, ref_id, carry))
+
+
+def _attach(query: DataFrame, lists: DataFrame, query_id: str, vector: Column, kind: T.ArrayType) -> DataFrame:
+    """Query rows with their lists; a row is known by its id and its vector."""
+    mine = F.col(query_id).eqNullSafe(F.col("__qid")) & F.xxhash64(vector).eqNullSafe(F.col("__qk"))
     joined = query.join(lists, mine, "left").drop("__qid", "__qk")
-    return joined.withColumn("nn", F.coalesce("nn", empty))
+    return joined.withColumn("nn", F.coalesce("nn", F.array().cast(kind)))
+
+
+# --- form C: groups of queries, tiles of the reference ---------------------------------------
+
+
+def _tiled_join(
+    query, ref, stored, k, query_id, ref_id, features, carry, exclude_self, width, query_rows, slice_rows, tile_rows
+):
+    sc = query.sparkSession.sparkContext
+    query = query.drop("nn")
+    groups, slices = tiling(query.count(), stored.count(), width, query_rows, sc.defaultParallelism, slice_rows)
+    kind = _nn_type(ref, ref_id, carry)
+    struct = to_arrow_type(kind.elementType)
+    vector = F.col(features).cast("array<double>")
+    key = F.xxhash64(vector)
+    # one slice: the whole row travels and comes back complete; several: its key, for the merge of the lists
+    rows = [F.col(query_id).alias("__qid"), key.alias("__qk")] if slices > 1 else [F.col(f"`{c}`") for c in query.columns]
+    payload = query.select(*rows).schema
+    group = F.pmod(F.xxhash64(F.col(query_id), key), F.lit(groups))
+    own = F.col(query_id).alias("__own")
+    none = [F.lit(None).cast(ref.schema[c].dataType).alias(f"__c_{c}") for c in carry]
+    asked = query.select(
+        F.explode(F.sequence((group * slices).cast("int"), (group * slices + slices - 1).cast("int"))).alias("__slot"),
+        F.lit(0).alias("__side"), F.struct(*rows).alias("__row"), own, vector.alias("__vec"),
+        F.lit(None).cast(ref.schema[ref_id].dataType).alias("__rid"), *none,
+    )
+    piece = F.pmod(F.xxhash64("__rid"), F.lit(slices))
+    passing = stored.select(
+        F.explode(F.sequence(piece.cast("int"), (piece + slices * (groups - 1)).cast("int"), F.lit(slices))).alias("__slot"),
+        F.lit(1).alias("__side"), F.lit(None).cast(payload).alias("__row"),
+        F.lit(None).cast(query.schema[query_id].dataType).alias("__own"),
+        F.col("__rf").alias("__vec"), "__rid", *[f"__c_{c}" for c in carry],
+    )
+    met = asked.unionByName(passing).repartitionById(groups * slices, F.col("__slot"))
+    met = met.sortWithinPartitions("__slot", "__side")
+    out_schema = T.StructType([*payload.fields, T.StructField("nn", kind)])
+    out_type = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in out_schema])
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return np.zeros((len(column), width)) if column.null_count == len(column) else to_matrix(column)
+
+    def best_of(queries: list, tiles) -> object:
+        """The lists of one group, after all tiles of one slice have passed."""
+        held = pa.Table.from_batches(queries)
+        q = matrix(held.column("__vec"))
+        ids = held.column("__own").to_numpy() if exclude_self else None
+        names = [f.name for f in struct]
+        state = pa.table([pa.array([], f.type) for f in struct], schema=pa.schema(list(struct)))
+        at, bound = np.zeros(0, np.int64), np.full(len(q), np.inf)
+        for tile in tiles:
+            r_ids = tile.column("__rid").to_numpy()
+            qi, ri, dist = nearest(q, matrix(tile.column("__vec")), r_ids, k, ids, bound)
+            picked = tile.take(pa.array(ri))
+            found = [pa.chunked_array([pa.array(dist)]), *[picked.column(c) for c in ["__rid", *[f"__c_{c}" for c in carry]]]]
+            found = [c.cast(f.type) for c, f in zip(found, struct, strict=True)]
+            state = pa.concat_tables([state, pa.table(found, schema=pa.schema(list(struct)))])
+            at = np.concatenate([at, qi])
+            away = state.column(0).to_numpy()
+            order = np.lexsort((state.column(1).to_numpy(), np.round(away, DIGITS), at))
+            at = at[order]
+            keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+            order, at = order[keep], at[keep]
+            state = state.take(pa.array(order)).combine_chunks()
+            full = np.searchsorted(at, np.arange(len(q))) + k - 1
+            has = np.bincount(at, minlength=len(q)) >= k
+            bound[has] = state.column(0).to_numpy()[full[has]]
+        offsets = np.searchsorted(at, np.arange(len(q) + 1)).astype(np.int32)
+        cells = [state.column(n).combine_chunks() for n in names]
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(cells, fields=list(struct)))
+        told = held.column("__row").combine_chunks()
+        done = pa.table([*told.flatten(), lists], names=out_type.names).cast(out_type)
+        return done.to_batches(max_chunksize=4096)
+
+    def run(batches):
+        def runs():
+            """Pieces of equal slot and side, in their order."""
+            for b in batches:
+                s, side = b.column("__slot").to_numpy(), b.column("__side").to_numpy()
+                edges = np.flatnonzero(np.diff(s.astype(np.int64) * 2 + side)) + 1
+                for lo, hi in zip([0, *edges], [*edges, len(s)], strict=True):
+                    if hi > lo:
+                        yield int(s[lo]), int(side[lo]), b.slice(lo, hi - lo)
+
+        pieces = runs()
+        ahead = next(pieces, None)
+        while ahead is not None:
+            slot, queries = ahead[0], []
+            while ahead is not None and ahead[0] == slot and ahead[1] == 0:
+                queries.append(ahead[2])
+                ahead = next(pieces, None)
+
+            def tiles(slot=slot):
+                nonlocal ahead
+                tile, n = [], 0
+                while ahead is not None and ahead[0] == slot:
+                    tile.append(ahead[2])
+                    n += ahead[2].num_rows
+                    ahead = next(pieces, None)
+                    if n >= tile_rows:
+                        yield pa.Table.from_batches(tile)
+                        tile, n = [], 0
+                if n:
+                    yield pa.Table.from_batches(tile)
+
+            if queries:
+                yield from best_of(queries, tiles())
+            else:
+                for _ in tiles():
+                    pass
+
+    found = met.mapInArrow(run, out_schema)
+    if slices == 1:
+        return found
+    # equal rows of a group have equal lists; one of them goes on
+    entry = F.transform("nn", lambda e: F.struct(F.round(e["dist"], DIGITS).alias("d"), e["ref_id"].alias("i"), e.alias("e")))
+    lists = found.groupBy("__qid", "__qk").agg(F.array_distinct(F.flatten(F.collect_list(entry))).alias("l"))
+    ranked = F.transform(F.slice(F.array_sort("l"), 1, k), lambda s: s["e"])
+    return _attach(query, lists.select("__qid", "__qk", ranked.alias("nn")), query_id, vector, kind)
 
 
 def column_bytes(name: str, kind: T.DataType) -> Column:
@@ -365,8 +582,13 @@ def knn_join(
     pivots: int | None = None,
     block_rows: int = 20_000,
     query_rows: int = 50_000,
+    slice_rows: int = SLICE_ROWS,
+    form: str | None = None,
 ) -> DataFrame:
-    """Add the k nearest reference rows of every query row as column ``nn``."""
+    """Add the k nearest reference rows of every query row as column ``nn``.
+
+    ``form`` (``pivots`` or ``tiles``) settles what else is measured beyond the broadcast bound.
+    """
     k = valid_k(k)
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -377,7 +599,7 @@ def knn_join(
         joined = _broadcast_join(query, ref, k, query_id, ref_id, features, carry, exclude_self)
     else:
         joined = _pivot_join(
-            query, slim, k, query_id, ref_id, features, carry, exclude_self, rows, pivots, block_rows, query_rows
+            query, slim, k, query_id, ref_id, features, carry, exclude_self, rows, pivots, block_rows, query_rows, form, slice_rows
         )
     width = known_width(query, features)
     return with_width(joined, features, width) if width else joined

@@ -41,7 +41,23 @@ def top_k(spark, sf):
 def nearest_by_pivots(spark, sf):
     """The same join in the form it takes when the reference is too large to broadcast."""
     df = D.embeddings(spark, sf)
-    return rounded(neighbour_pairs(knn_join(df, df, K, broadcast_bytes=0, pivots=16, block_rows=200, query_rows=400)))
+    return rounded(neighbour_pairs(knn_join(df, df, K, broadcast_bytes=0, form="pivots", pivots=16, block_rows=200, query_rows=400)))
+
+
+@query("j01_knn_join_tiles", with_sql(*_NN, select="SELECT row_id, rank::INTEGER AS rank, ref_id, round(dist, 6) AS dist FROM nn"))
+def nearest_by_tiles(spark, sf):
+    """The same join with groups of queries in place and the reference passing by in tiles."""
+    df = D.embeddings(spark, sf)
+    return rounded(neighbour_pairs(knn_join(df, df, K, broadcast_bytes=0, form="tiles", query_rows=400, block_rows=200)))
+
+
+@query("j01_knn_join_slices", with_sql(*_NN, select="SELECT row_id, rank::INTEGER AS rank, ref_id, round(dist, 6) AS dist FROM nn"))
+def nearest_by_slices(spark, sf):
+    """The tiled join with a reference cut into slices, whose lists are merged."""
+    df = D.embeddings(spark, sf)
+    return rounded(
+        neighbour_pairs(knn_join(df, df, K, broadcast_bytes=0, form="tiles", query_rows=400, block_rows=200, slice_rows=500))
+    )
 
 
 @query("j02_knn_lsh")

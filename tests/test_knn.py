@@ -22,8 +22,12 @@ def pairs(df):
 
 FORMS = {
     "broadcast": {},
-    "pivots": {"broadcast_bytes": 0, "pivots": 7, "block_rows": 40, "query_rows": 30},
-    "one_pivot": {"broadcast_bytes": 0, "pivots": 1, "block_rows": 1000, "query_rows": 1000},
+    "pivots": {"broadcast_bytes": 0, "pivots": 7, "block_rows": 40, "query_rows": 30, "form": "pivots"},
+    "one_pivot": {"broadcast_bytes": 0, "pivots": 1, "block_rows": 1000, "query_rows": 1000, "form": "pivots"},
+    "rings": {"broadcast_bytes": 0, "pivots": 2, "block_rows": 10, "query_rows": 1000, "form": "pivots"},
+    "tiles": {"broadcast_bytes": 0, "pivots": 3, "block_rows": 40, "query_rows": 70, "form": "tiles"},
+    "slices": {"broadcast_bytes": 0, "pivots": 3, "block_rows": 20, "query_rows": 70, "slice_rows": 90, "form": "tiles"},
+    "measured": {"broadcast_bytes": 0, "block_rows": 40},
 }
 
 
@@ -83,7 +87,7 @@ def test_hashing_recall_and_k(spark):
     assert valid_k("7") == 7 and valid_k("many") == 19 and valid_k(None) == 19
 
 
-def test_both_forms_agree_on_repeated_ids(spark):
+def test_all_forms_agree_on_repeated_ids(spark):
     """An id may stand on several rows, some of them equal: each row has the neighbours of its own vector."""
     rng = np.random.default_rng(5)
     ref = vectors(spark, rng.normal(size=(200, 2)))
@@ -96,7 +100,9 @@ def test_both_forms_agree_on_repeated_ids(spark):
         return sorted((r.row_id, tuple(r.features), tuple((e.ref_id, round(e.dist, 9)) for e in r.nn)) for r in out)
 
     want = answers("broadcast")
-    assert len(want) == 130 and answers("pivots") == want and answers("one_pivot") == want
+    assert len(want) == 130
+    for form in ("pivots", "rings", "tiles", "slices"):
+        assert answers(form) == want, form
 
 
 def test_an_empty_reference_gives_empty_lists(spark):
@@ -121,3 +127,58 @@ def test_copies_are_cut_for_any_k(spark):
     df = vectors(spark, np.zeros((3000, 2))).union(vectors(spark, np.ones((5, 2)), start=3000))
     kept = drop_surplus_copies(df, 1200, "row_id", "features").collect()
     assert sorted(r.row_id for r in kept) == [*range(1200), *range(3000, 3005)]
+
+
+def test_the_share_of_the_reference_asked_chooses_the_form():
+    from doubtline.operators.knn import choose_form, tiling
+
+    asked, rows, width = 1_000_000, 10_000_000, 64
+    groups, slices = tiling(asked, rows, width, 50_000, 8)
+    assert (groups, slices) == (20, 10)
+    told = {"groups": groups, "slices": slices, "rows": rows, "width": width, "k": 19, "carried": 0, "query_rows": 50_000}
+    assert choose_form(asked, 0.07, 35.0, **told) == "pivots"
+    assert choose_form(asked, 1.0, 500.0, **told) == "tiles"
+    # few queries that ask two blocks each: a reference moved to eight groups would be waste
+    assert tiling(1, rows, width, 50_000, 8) == (1, 10)
+    assert choose_form(2000, 0.6, 2.0, 8, 1, rows, width, 19, 0, 50_000) == "pivots"
+
+
+def test_routing_tells_clustered_from_wide_vectors(spark):
+    from doubtline.operators.knn import _Cells, routing
+
+    rng = np.random.default_rng(8)
+
+    def share(x):
+        cells = _Cells(x[:: len(x) // 12][:12])
+        away = cells.distances(x)
+        home = away.argmin(axis=1)
+        used = np.unique(home)
+        cells.block_ids, cells.block_cell = np.arange(len(used)), used
+        own = [away[home == c, c] for c in used]
+        cells.block_low, cells.block_high = np.array([o.min() for o in own]), np.array([o.max() for o in own])
+        for c, o in zip(used, own, strict=True):
+            cells.kth_within[c] = np.sort(o)[min(4, len(o) - 1)] if len(o) > 4 else np.inf
+        return routing(vectors(spark, x), cells, np.array([len(o) for o in own]), "features")
+
+    asked, wide, _ = share(rng.normal(size=(400, 64)))
+    assert asked == 400 and wide > 0.9
+    clustered = np.concatenate([rng.normal(size=(50, 4)) * 0.1 + 20 * c for c in np.concatenate([np.eye(4), -np.eye(4)])])
+    assert share(clustered)[1] < 0.5
+
+
+def test_tiles_keep_the_columns_of_the_query(spark):
+    rng = np.random.default_rng(9)
+    df = vectors(spark, rng.normal(size=(90, 3)))
+    query = df.selectExpr("row_id", "features", "cast(null as string) as note", "array('a', null) as `a.b`", "named_struct('x', row_id) as s", "1 as nn")
+    out = knn_join(query, df, 2, **FORMS["tiles"])
+    assert [(f.name, f.dataType) for f in out.schema][:5] == [(f.name, f.dataType) for f in query.schema][:5]
+    rows = out.collect()
+    assert len(rows) == 90
+    assert all(r["a.b"] == ["a", None] and r.s.x == r.row_id and r.nn[0].ref_id == r.row_id for r in rows)
+
+
+def test_a_query_without_a_vector_counts_as_zeros_in_all_forms(spark):
+    df = vectors(spark, np.arange(40.0)[:, None] - 20)
+    query = spark.createDataFrame([(1, None)], "row_id bigint, features array<double>")
+    for form in ("broadcast", "tiles", "slices"):
+        assert [e.ref_id for e in knn_join(query, df, 2, **FORMS[form]).first().nn] == [20, 19], form
