@@ -1,12 +1,14 @@
 """Reconstruction loss of an autoencoder, trained data-parallel.
 
-Each epoch every task runs mini-batch Adam over its own rows, starting from the common weights;
-weights and Adam moments are then averaged over the tasks, weighted by rows, on the executors.
-Only the weights travel; the table stays where it is.
+Rows are dealt to shards by a hash of their id, as many as the number of rows asks for, and ordered in them, by one
+shuffle. Each epoch every shard runs mini-batch Adam over its own rows, starting from the common weights; weights and
+Adam moments are then averaged over the shards, weighted by rows, on the executors. Only the weights travel. Since
+neither shards nor order depend on how the table was partitioned, the weights don't either.
 """
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 from pyspark import StorageLevel
@@ -19,6 +21,13 @@ from doubtline.operators.bounded import check_values
 from doubtline.operators.stats import covariance, fold_vectors, moments
 
 SPARSE_PENALTY = 1e-4
+SHARD_ROWS = 8192
+SHARDS = 1024  # beyond, shards grow up to MOST_ROWS before more are made
+MOST_ROWS = 1_000_000
+
+
+def shard_count(rows: int) -> int:
+    return max(1, min(math.ceil(rows / SHARD_ROWS), max(SHARDS, math.ceil(rows / MOST_ROWS))))
 
 
 def bottleneck(d: int) -> int:
@@ -125,29 +134,34 @@ def train_autoencoder(
     span = np.where(high > low, high - low, 1.0)
     shift = np.where(high > low, low, 0.0)
     rows = train.filter(hash_uniform(seed, F.col("row_id")) < train_split)
-    stored = rows.select(F.col("features").cast("array<double>").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = stored
+    shards = shard_count(rows.count())
+    keyed = rows.select(F.col("features").cast("array<double>").alias("x"), F.col("row_id").alias("id"))
+    # equal ids go by their vector, so that a hot id or none at all is spread, too
+    key = F.xxhash64("id", "x", F.lit(seed))
+    dealt = keyed.repartitionById(shards, F.pmod(key, F.lit(shards)).cast("int")).sortWithinPartitions(key, "id", "x")
+    rows = stored = dealt.select("x").persist(StorageLevel.MEMORY_AND_DISK)
     chunk = max(batch, 65536)
     state = np.concatenate([initial(sizes, seed), np.zeros(2 * size)])
     sc = train.sparkSession.sparkContext
     step, history = 0, []
+    # a single shard has nothing to average: its task runs all epochs in a row, with the same result
+    rounds = epochs if shards == 1 else 1
     try:
-        for epoch in range(epochs):
+        for epoch in range(0, epochs, rounds):
             shared = sc.broadcast((state, step))
 
             def run(batches, shared=shared, epoch=epoch):
                 import pyarrow as pa
 
                 local, at = shared.value
-                losses, n, pending, held = [], 0, [], 0
+                losses, n, pending, held = np.zeros(rounds), 0, [], 0
 
                 def flush():
                     nonlocal local, at, pending, held
-                    x = (np.concatenate(pending) - shift) / span
-                    local, at, loss = local_epoch(
-                        local, at, sizes, np.clip(x, 0.0, 1.0), batch, penalty, [seed, epoch], rate
-                    )
-                    losses.append(loss * len(x))
+                    x = np.clip((np.concatenate(pending) - shift) / span, 0.0, 1.0)
+                    for i in range(rounds):
+                        local, at, loss = local_epoch(local, at, sizes, x, batch, penalty, [seed, epoch + i], rate)
+                        losses[i] += loss * len(x)
                     pending, held = [], 0
 
                 for b in batches:
@@ -161,17 +175,17 @@ def train_autoencoder(
                 if held:
                     flush()
                 if n:
-                    out = np.concatenate([[n, (at - shared.value[1]) * n, sum(losses)], local * n])
+                    out = np.concatenate([[n, (at - shared.value[1]) * n], losses, local * n])
                     yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], ["part"])
 
             parts = rows.mapInArrow(run, "part array<double>")
-            flat = fold_vectors(parts, 3 + 3 * size)
+            flat = fold_vectors(parts, 2 + rounds + 3 * size)
             shared.unpersist()
             if flat[0] == 0:
                 raise ValueError("no rows to train the autoencoder on")
-            state = flat[3:] / flat[0]
+            state = flat[2 + rounds :] / flat[0]
             step += max(1, round(flat[1] / flat[0]))
-            history.append(flat[2] / flat[0])
+            history += (flat[2 : 2 + rounds] / flat[0]).tolist()
     finally:
         stored.unpersist()
     return state[:size], sizes, history

@@ -8,6 +8,7 @@ from doubtline.functions import vectors as V
 from doubtline.functions.prob import modal_vote, vote_share
 from doubtline.operators import measures as M
 from doubtline.operators.models import BlackBox, GaussianBayes, LinearDiscriminant, Model
+from doubtline.operators.recon import Reconstructor
 from doubtline.plans.monitor import Monitor
 from doubtline.queries import data as D
 from doubtline.queries.aggregates import bounds_sql
@@ -228,6 +229,25 @@ def reconstruction_linear(spark, sf):
     return measured(spark, sf, D.embeddings, [M.ReconstructionLoss("pca")], 10)[0]
 
 
+@query(
+    "u19_reconstruction_stable",
+    """SELECT kind, count(*) AS n, count(*) AS same, true AS learned
+FROM embeddings, (SELECT unnest(['simple', 'sparse', 'deep']) AS kind) GROUP BY kind""",
+)
+def reconstruction_stable(spark, sf):
+    """Rows whose loss is the same (to 1e-6) whether the autoencoder read one partition or eight, and whether it learned."""
+    df = D.embeddings(spark, sf)
+    out = None
+    for kind in ("simple", "sparse", "deep"):
+        one, many = (Reconstructor.fit(df.repartition(n), kind, epochs=10) for n in (1, 8))
+        same = F.abs(one.loss() - many.loss()) <= 1e-6
+        told = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("same")).select(
+            F.lit(kind).alias("kind"), "n", "same", F.lit(one.history[-1] < one.history[0]).alias("learned")
+        )
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 @query("u22_confidence_bagging")
 def confidence_bagging(spark, sf):
     return measured(spark, sf, D.events, [M.ConfidenceBaggingMeasure(GaussianBayes(), members=10, decisors=6)], 5)[0]

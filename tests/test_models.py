@@ -230,3 +230,41 @@ def test_rank_detectors_score_rows_and_not_ids(spark, name):
         return sorted((tuple(r.features), round(r.score, 9)) for r in fitted.score(df).collect())
 
     assert len(scores(apart)) == 30 and scores(shared) == scores(apart)
+
+
+@pytest.mark.parametrize("kind", ["simple", "sparse", "deep"])
+def test_autoencoder_does_not_depend_on_partitions(spark, monkeypatch, kind):
+    from doubtline.operators import recon
+
+    monkeypatch.setattr(recon, "SHARD_ROWS", 60)  # several shards of a small table
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 6))
+    x[::3] = x[0]  # a third of the rows are copies
+    df = vectors(spark, x)
+    fits = [recon.Reconstructor.fit(df.repartition(n), kind, epochs=6, batch=32) for n in (1, 3, 8)]
+    for other in fits[1:]:
+        np.testing.assert_allclose(other.weights, fits[0].weights, atol=1e-9)
+        np.testing.assert_allclose(other.history, fits[0].history, atol=1e-9)
+
+
+def test_one_shard_runs_its_epochs_in_a_row_with_the_result_of_a_plain_loop(spark):
+    from doubtline.operators import recon
+
+    rng = np.random.default_rng(13)
+    df = vectors(spark, rng.uniform(size=(80, 4)))
+    flat, sizes, history = recon.train_autoencoder(df, np.zeros(4), np.ones(4), "simple", 5, 16, train_split=2.0)
+    assert len(history) == 5
+    hashed = df.orderBy(F.xxhash64(F.col("row_id"), F.col("features").cast("array<double>"), F.lit(7)))
+    x = np.array([r.features for r in hashed.collect()])
+    size = parameter_count(sizes)
+    state, step = np.concatenate([initial(sizes, 7), np.zeros(2 * size)]), 0
+    for epoch in range(5):
+        state, step, loss = recon.local_epoch(state, step, sizes, x, 16, 0.0, [7, epoch])
+        assert abs(loss - history[epoch]) < 1e-12
+    np.testing.assert_allclose(flat, state[:size], atol=1e-12)
+
+
+def test_shards_of_the_autoencoder_follow_the_rows():
+    from doubtline.operators.recon import shard_count
+
+    assert [shard_count(n) for n in (0, 1, 8192, 8193, 10**7, 10**9, 10**10)] == [1, 1, 1, 2, 1024, 1024, 10_000]
