@@ -30,7 +30,7 @@ LARGE_BUCKET, HUGE_BUCKET = 2000, 20_000
 #: Neighbouring windows that are split off together.
 CHUNK = 16
 #: Bytes of text that are refined together; larger buckets are taken whole.
-REFINE_BYTES = 1 << 21
+REFINE_BYTES = 1 << 20
 #: Windows that are searched for anchors at a time; a unit ends there, which refinement makes good.
 BLOCK_BITS = 19
 
