@@ -83,3 +83,16 @@ def test_proximity_of_copies_without_noise_is_whole(noisy, name):
     assert got.columns == [*scored.columns, fitted.um]
     values = [r[0] for r in got.select(fitted.um).collect()]
     assert len(values) == rows.count() and (values == [1.0] * len(values) or name == "ECOD")
+
+
+def test_rows_of_equal_bins_are_one_cell(spark, monkeypatch):
+    """Many rows of few different vectors are grown in tasks, with the trees that passes over all rows give."""
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 4, (900, 3)).astype(float), rng.integers(0, 3, 900)
+    rows = vectors(spark, x, y)
+    models = [make_model("XGB", rounds=3), make_model("RF", trees=3), make_model("DT")]
+    passes = T.fit_together(rows, models, [1.0, 0.7, 0.4], local_bytes=0)
+    monkeypatch.setattr(T, "grow_on_spark", lambda *a: pytest.fail("passes over all rows"))
+    cells = T.fit_together(rows, models, [1.0, 0.7, 0.4], local_bytes=64 * (3 + 24))
+    for a, b in zip(passes, cells):
+        assert all(same(p, q) for p, q in zip(a.trees, b.trees)), a.name
