@@ -50,6 +50,9 @@ ROUTE_SAMPLE = 2000  # queries asked for the share of the reference they need
 DENSE_SHARE = 0.5  # from here on ruling out blocks saves less work than it moves
 SLICE_ROWS = 1_000_000
 GROUP_BYTES = 64 * 1024 * 1024
+# a row goes to about so many blocks, groups or slices, as long as those stay within the rows below or ``GROUP_BYTES``
+COPIES, SLICES = 16, 8
+BLOCK_ROWS, QUERY_ROWS = 20_000, 50_000
 
 
 def valid_k(k, default: int = 19) -> int:
@@ -89,12 +92,10 @@ def nearest(
         square = x_norm[:, None] + r_norm[None, :] - 2.0 * (x @ r.T)
         if q_ids is not None:
             square[q_ids[start : start + chunk, None] == r_ids[None, :]] = np.inf
-        if k < len(r):
-            kth = np.partition(square, k - 1, axis=1)[:, k - 1]
-        else:
-            kth = np.full(len(x), np.inf)
-        if bound is not None:
-            kth = np.minimum(kth, bound[start : start + chunk] ** 2)
+        kth = np.full(len(x), np.inf) if bound is None else bound[start : start + chunk] ** 2
+        # bounds that leave few rows need no rank
+        if k < len(r) and np.count_nonzero(square <= kth[:, None]) > 8 * k * len(x):
+            kth = np.minimum(kth, np.partition(square, k - 1, axis=1)[:, k - 1])
         edge = np.sqrt(np.maximum(np.where(np.isfinite(kth), kth, 0.0), 0.0))
         slack = 1e-10 * (x_norm + r_norm.max()) + 4e-9 * (1.0 + edge)
         keep = square <= (kth + slack)[:, None]
@@ -242,11 +243,18 @@ def routing(query: DataFrame, cells: _Cells, block_sizes: np.ndarray, features:
 def tiling(asked: int, rows: int, width: int, query_rows: int, tasks: int, slice_rows: int = SLICE_ROWS) -> tuple[int, int]:
     """Groups of queries and slices of the reference.
 
-    A group's vectors stay within ``GROUP_BYTES``; few queries make more groups, as long as each has 256.
+    A group's vectors stay within ``GROUP_BYTES``; few queries make more groups, as long as each has 256. A table of many times
+    ``query_rows`` or ``slice_rows`` has larger groups and slices instead of ever more copies of its rows.
     """
-    held = max(1, min(query_rows, GROUP_BYTES // (8 * max(width, 1))))
-    groups = max(math.ceil(asked / held), min(tasks, math.ceil(asked / 256)), 1)
-    return groups, max(1, math.ceil(rows / slice_rows))
+    held = max(1, GROUP_BYTES // (8 * max(width, 1)))
+    wanted = min(math.ceil(asked / query_rows), max(COPIES, math.ceil(asked / QUERY_ROWS)))
+    groups = max(math.ceil(asked / held), wanted, min(tasks, COPIES, math.ceil(asked / 256)), 1)
+    return groups, max(1, min(math.ceil(rows / slice_rows), SLICES), math.ceil(rows / max(slice_rows, SLICE_ROWS)))
+
+
+def copies_of(asked: int, query_rows: int) -> int:
+    """Copies of a block that so many queries meet."""
+    return max(1, min(math.ceil(asked / query_rows), max(COPIES, math.ceil(asked / QUERY_ROWS))))
 
 
 def choose_form(
@@ -256,7 +264,7 @@ def choose_form(
     if share < DENSE_SHARE:
         return "pivots"
     vector, entry = 8 * width + 24, 8 * (3 + carried)
-    replicas = max(1.0, share * asked / query_rows)
+    replicas = min(max(1.0, share * asked / query_rows), max(COPIES, share * asked / QUERY_ROWS))
     by_pivots = asked * visits * (vector + k * entry) + rows * vector * replicas
     merged = 0 if slices == 1 else asked * slices * k * entry
     by_tiles = asked * vector * slices + rows * vector * groups + merged
@@ -272,6 +280,7 @@ def _pivot_join(
     need = k + 1 if exclude_self else k
     count = pivots or int(min(2048, max(8, math.sqrt(rows))))
     block_rows = max(block_rows, math.ceil(rows / 1_000_000))  # block summaries stay small
+    block_rows = max(block_rows, min(math.ceil(rows / COPIES), BLOCK_ROWS))
     cells = _Cells(pick_pivots(base, count))
     check_values(cells.pivots.size, "pivots")
     pivot_state = sc.broadcast(cells)
@@ -378,7 +387,7 @@ def _pivot_join(
     )
     copies = F.broadcast(
         spark.createDataFrame(
-            [(r["__block"], max(1, math.ceil(r.n / query_rows))) for r in load], "__block int, __copies int"
+            [(r["__block"], copies_of(r.n, query_rows)) for r in load], "__block int, __copies int"
         )
     )
     sent = sent.join(copies, "__block").withColumn(
@@ -638,18 +647,52 @@ def lsh_neighbours(
     possible, false hits are not. Returns ``row_id, rank, ref_id, dist``.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     def prepared(df, name):
-        return df.select(F.col(row_id).alias(name), array_to_vector(F.col(features).cast("array<double>")).alias("v"))
+        vec = F.col(features).cast("array<double>")
+        return df.select(F.col(row_id).alias(name), vec.alias("x"), array_to_vector(vec).alias("v"))
 
     lsh = BucketedRandomProjectionLSH(
         inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed
     )
-    reference = prepared(ref, "ref_id")
+    reference = prepared(drop_surplus_copies(ref.select(row_id, features), k, row_id, features), "ref_id")
     model = lsh.fit(reference)
-    pairs = model.approxSimilarityJoin(prepared(query, "q"), reference, radius, distCol="dist").select(
-        F.col("datasetA.q").alias(row_id), F.col("datasetB.ref_id").alias("ref_id"), "dist"
+
+    def bucketed(df: DataFrame, name: str) -> DataFrame:
+        long = model.transform(df).select(name, "x", F.posexplode("h").alias("table", "h"))
+        return long.select(name, "x", "table", F.get(vector_to_array("h"), F.lit(0)).alias("bucket"))
+
+    asked, kept = bucketed(prepared(query, "q"), "q"), bucketed(reference, "ref_id")
+    # a bucket of many rows is met in pieces: queries by reference rows, each within a task's share
+    cell = ["table", "bucket"]
+    load = asked.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).join(kept.groupBy(*cell).agg(F.count(F.lit(1)).alias("m")), cell)
+    pieces = load.select(
+        *cell, F.ceil(F.col("n") / F.lit(float(QUERY_ROWS))).alias("groups"), F.ceil(F.col("m") / F.lit(float(2 * QUERY_ROWS))).alias("parts")
     )
-    rank = F.row_number().over(Window.partitionBy(row_id).orderBy(F.round("dist", DIGITS), "ref_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(row_id, "rank", "ref_id", "dist")
+    asked, kept = asked.join(pieces, cell), kept.join(pieces, cell)
+    group, part = F.pmod(F.xxhash64("q", "x"), F.col("groups")), F.pmod(F.xxhash64("ref_id", "x"), F.col("parts"))
+    asked = asked.select(*cell, group.alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "q", "x")
+    kept = kept.select(*cell, F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"), part.alias("part"), "ref_id", "x")
+    out_schema = T.StructType(
+        [T.StructField("q", query.schema[row_id].dataType), T.StructField("ref_id", ref.schema[row_id].dataType), T.StructField("dist", T.DoubleType())]
+    )
+    kinds = [to_arrow_type(f.dataType) for f in out_schema]
+
+    def met(q: pa.Table, r: pa.Table) -> pa.Table:
+        names = out_schema.fieldNames()
+        if not q.num_rows or not r.num_rows:
+            return pa.table([pa.array([], t) for t in kinds], names=names)
+        q_ids, r_ids = q.column("q").to_numpy(), r.column("ref_id").to_numpy()
+        bound = np.full(len(q_ids), float(radius))
+        qi, ri, dist = nearest(to_matrix(q.column("x")), to_matrix(r.column("x")), r_ids, k, bound=bound)
+        near = dist < radius
+        return pa.table([pa.array(q_ids[qi[near]], kinds[0]), pa.array(r_ids[ri[near]], kinds[1]), pa.array(dist[near])], names=names)
+
+    slot = [*cell, "group", "part"]
+    found = asked.groupBy(*slot).cogroup(kept.groupBy(*slot)).applyInArrow(met, out_schema)
+    # a pair that shares several buckets is found in each
+    entry = F.struct(F.round("dist", DIGITS).alias("dist"), "ref_id")
+    lists = found.groupBy(F.col("q").alias(row_id)).agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(entry))), 1, k).alias("l"))
+    ranked = lists.select(row_id, F.posexplode("l").alias("rank", "e"))
+    return ranked.select(row_id, (F.col("rank") + 1).alias("rank"), "e.ref_id", "e.dist")

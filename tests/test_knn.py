@@ -182,3 +182,33 @@ def test_a_query_without_a_vector_counts_as_zeros_in_all_forms(spark):
     query = spark.createDataFrame([(1, None)], "row_id bigint, features array<double>")
     for form in ("broadcast", "tiles", "slices"):
         assert [e.ref_id for e in knn_join(query, df, 2, **FORMS[form]).first().nn] == [20, 19], form
+
+
+def test_copies_of_rows_stay_bounded_on_large_tables():
+    """Small blocks, groups and slices asked for on a large table don't copy each row hundreds of times."""
+    from doubtline.operators.knn import copies_of, tiling
+
+    groups, slices = tiling(600_000, 600_000, 64, 400, 12, slice_rows=500)
+    assert groups <= 16 and slices <= 8 and copies_of(600_000, 400) <= 16
+    assert tiling(2000, 2000, 64, 400, 4, slice_rows=500) == (5, 4)
+
+
+def test_hashing_finds_what_shares_a_bucket(spark, monkeypatch):
+    """All pairs of a bucket within the radius, also where a bucket is met in pieces; copies beyond k don't multiply."""
+    from pyspark.sql import functions as F
+
+    from doubtline.operators import knn
+
+    rng = np.random.default_rng(6)
+    # far from zero, where the buckets begin
+    x = np.concatenate([rng.normal(size=(150, 5)), np.zeros((60, 5))]) + 1000.0
+    df = vectors(spark, x)
+    want = {(q, n, i) for q, n, i in brute(x, x, 5)}
+    monkeypatch.setattr(knn, "QUERY_ROWS", 20)
+    # one bucket holds all rows
+    near = lsh_neighbours(df, df, 5, radius=1e6, bucket_length=1e6, tables=2)
+    assert {(r.row_id, r.rank, r.ref_id) for r in near.collect()} == want
+    assert near.groupBy("row_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] == 5
+    close = lsh_neighbours(df, df, 5, radius=1.0, bucket_length=1e6, tables=2).collect()
+    gap = {(i, j): np.sqrt(((x[i] - x[j]) ** 2).sum()) for i in range(len(x)) for j in range(len(x))}
+    assert {(r.row_id, r.rank, r.ref_id) for r in close} == {t for t in want if gap[t[0], t[2]] < 1.0}
