@@ -20,9 +20,10 @@ from doubtline.streaming.judge import drain, judge_batches, judge_stream, window
 
 
 def stream_of(spark, sf, name):
-    """A table's file as a stream."""
+    """A table as a stream, be it one file or a folder of files."""
     schema = D.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # as a pattern: a plain path would have to be a folder
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def event_stream(spark, sf):
