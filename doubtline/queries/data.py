@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ STATUS = ["F", "O", "P"]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 EMBEDDING_WIDTH = 64
 EMBEDDING_CLASSES = 10
+#: Rows of a task that works long on each row.
+TASK_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,9 +33,9 @@ def code_of(column: str, names: list[str]):
 
 
 def over_cores(df: DataFrame) -> DataFrame:
-    """A table with fewer input splits than there are cores, dealt over them for heavy work on each row; large ones pass through."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """A table with few input splits, dealt over the cores, and to tasks of at most ``TASK_ROWS`` rows, for heavy work on each row."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / TASK_ROWS))
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
 
 
 def orders(spark: SparkSession, sf: str) -> DataFrame:
