@@ -243,7 +243,7 @@ def routing(query: DataFrame, cells: _Cells, block_sizes: np.ndarray, features:
 def tiling(asked: int, rows: int, width: int, query_rows: int, tasks: int, slice_rows: int = SLICE_ROWS) -> tuple[int, int]:
     """Groups of queries and slices of the reference.
 
-    A group's vectors stay within ``GROUP_BYTES``; few queries make more groups, as long as each has 256. A table of many times
+    A group's vectors and lists (``width`` numbers a query) stay within ``GROUP_BYTES``; few queries make more groups, as long as each has 256. A table of many times
     ``query_rows`` or ``slice_rows`` has larger groups and slices instead of ever more copies of its rows.
     """
     held = max(1, GROUP_BYTES // (8 * max(width, 1)))
@@ -252,6 +252,12 @@ def tiling(asked: int, rows: int, width: int, query_rows: int, tasks: int, slice
     return groups, max(1, min(math.ceil(rows / slice_rows), SLICES), math.ceil(rows / max(slice_rows, SLICE_ROWS)))
 
 
+def held_numbers(ref: DataFrame, width: int, k: int, features: str, carry: Sequence[str]) -> int:
+    """Numbers that a group holds for a query: its vector, and k neighbours with what they carry."""
+    carried = sum(width if c == features else known_width(ref, c) or 1 for c in carry)
+    return width + k * (3 + carried)
+
+
 def copies_of(asked: int, query_rows: int) -> int:
     """Copies of a block that so many queries meet."""
     return max(1, min(math.ceil(asked / query_rows), max(COPIES, math.ceil(asked / QUERY_ROWS))))
@@ -353,7 +359,8 @@ def _pivot_join(
     if form is None:
         asked, share, visits = routing(query, cells, block_sizes, features)
         width = cells.pivots.shape[1]
-        groups, slices = tiling(asked, int(block_sizes.sum()), width, query_rows, sc.defaultParallelism)
+        held = held_numbers(ref, width, k, features, carry)
+        groups, slices = tiling(asked, int(block_sizes.sum()), held, query_rows, sc.defaultParallelism)
         form = choose_form(asked, share, visits, groups, slices, int(block_sizes.sum()), width, k, len(carry), query_rows)
     if form == "tiles":
         stored = placed.select("__rid", "__rf", *[f"__c_{c}" for c in carry])
@@ -451,7 +458,8 @@ def _tiled_join(
 ):
     sc = query.sparkSession.sparkContext
     query = query.drop("nn")
-    groups, slices = tiling(query.count(), stored.count(), width, query_rows, sc.defaultParallelism, slice_rows)
+    held = held_numbers(ref, width, k, features, carry)
+    groups, slices = tiling(query.count(), stored.count(), held, query_rows, sc.defaultParallelism, slice_rows)
     kind = _nn_type(ref, ref_id, carry)
     struct = to_arrow_type(kind.elementType)
     vector = F.col(features).cast("array<double>")

@@ -212,3 +212,16 @@ def test_hashing_finds_what_shares_a_bucket(spark, monkeypatch):
     close = lsh_neighbours(df, df, 5, radius=1.0, bucket_length=1e6, tables=2).collect()
     gap = {(i, j): np.sqrt(((x[i] - x[j]) ** 2).sum()) for i in range(len(x)) for j in range(len(x))}
     assert {(r.row_id, r.rank, r.ref_id) for r in close} == {t for t in want if gap[t[0], t[2]] < 1.0}
+
+
+def test_a_group_holds_its_lists_within_the_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from doubtline.operators.knn import GROUP_BYTES, held_numbers, tiling
+
+    ref = vectors(spark, np.zeros((3, 64))).withColumn("prob", F.array(F.lit(0.5), F.lit(0.5)).alias("prob", metadata={"width": 2}))
+    assert held_numbers(ref, 64, 9, "features", []) == 64 + 9 * 3
+    held = held_numbers(ref, 64, 9, "features", ["features", "prob"])
+    assert held == 64 + 9 * (3 + 64 + 2)
+    groups, _ = tiling(600_000, 600_000, held, 50_000, 12)
+    assert 600_000 / groups * held * 8 <= GROUP_BYTES
