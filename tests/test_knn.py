@@ -225,3 +225,35 @@ def test_a_group_holds_its_lists_within_the_bytes(spark):
     assert held == 64 + 9 * (3 + 64 + 2)
     groups, _ = tiling(600_000, 600_000, held, 50_000, 12)
     assert 600_000 / groups * held * 8 <= GROUP_BYTES
+
+
+@pytest.mark.parametrize("width", (1, 2, 5))
+def test_leaves_give_the_same_neighbours(width, monkeypatch):
+    from doubtline.operators import knn
+
+    rng = np.random.default_rng(width)
+    ref = rng.normal(size=(3000, width)) * 100
+    ref[500:900] = ref[:400]  # copies
+    ref[1000:1500] = ref[1000:1500].round(-1)  # ties
+    query, ids = np.concatenate([ref[:1200], rng.normal(size=(300, width)) * 300]), np.arange(3000) % 2000
+    own = np.arange(1500)
+    options = [{}, {"q_ids": own}, {"bound": np.full(1500, 40.0)}, {"leaves": knn.Leaves(ref)}]
+    for k in (1, 7, 400):
+        for given in options:
+            found = knn.nearest(query, ref, ids, k, **given)
+            with monkeypatch.context() as m:
+                m.setattr(knn, "LEAF_PAIRS", 1 << 60)
+                want = knn.nearest(query, ref, ids, k, **given)
+            within = [d <= 40.0 if "bound" in given else np.full(len(d), True) for d in (found[2], want[2])]
+            assert all(np.array_equal(ids[a[within[0]]] if i == 1 else a[within[0]], ids[b[within[1]]] if i == 1 else b[within[1]]) for i, (a, b) in enumerate(zip(found, want, strict=True)))
+
+
+def test_leaves_look_at_few_pairs(monkeypatch):
+    """A table of short vectors isn't met pair by pair."""
+    from doubtline.operators import knn
+
+    seen, square = [], knn._square
+    monkeypatch.setattr(knn, "_square", lambda x, r: seen.append(len(x) * len(r)) or square(x, r))
+    x = np.random.default_rng(0).normal(size=(20_000, 2))
+    assert len(knn.nearest(x, x, np.arange(20_000), 5)[0]) == 100_000
+    assert sum(seen) < 20_000 * 20_000 / 10
