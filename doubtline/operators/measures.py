@@ -748,18 +748,8 @@ def apply_measures(
     width, prob_width = V.width_of(df, "features"), V.known_width(df, "prob")
     env = Env(prob_width, width, {}, scorer, bool(scorer is not None and scorer.is_detector))
     needed = [m.neighbours for m in fitted if m.neighbours]
-    if needed:
-        if reference is None:
-            raise ValueError("neighbour measures need the scored training rows as reference")
-        df = knn_join(
-            df, reference, max(needed), carry=["pred", "prob"], exclude_self=exclude_self, **(knn_options or {})
-        )
-    stable = [m for m in fitted if isinstance(m, FittedProximity)]
-    if stable:
-        df = apply_proximity(df, stable, scorer, width)
-    df = V.with_width(df, "features", width)
-    if prob_width:
-        df = V.with_width(df, "prob", prob_width)
+    if needed and reference is None:
+        raise ValueError("neighbour measures need the scored training rows as reference")
     shared: dict[str, Fitted] = {}
     for m in fitted:
         shared.update(m.models())
@@ -772,6 +762,17 @@ def apply_measures(
             df = model.transform(df, *names, bounds=bounds)
         else:
             df = model.transform(df, *names)
+    # after the checkers: detectors read the rows several times, which must not repeat the copies and the join, nor move lists
+    stable = [m for m in fitted if isinstance(m, FittedProximity)]
+    if stable:
+        df = apply_proximity(df, stable, scorer, width)
+    if needed:
+        df = knn_join(
+            df, reference, max(needed), carry=["pred", "prob"], exclude_self=exclude_self, **(knn_options or {})
+        )
+    df = V.with_width(df, "features", width)
+    if prob_width:
+        df = V.with_width(df, "prob", prob_width)
     for m in fitted:
         df = m.prepare(df, env)
     out: dict[str, Column] = {}

@@ -391,3 +391,22 @@ def test_registered_batch_and_boosting_are_whole(spark, sf, monkeypatch):
     assert seen["datasets"] == {"orders", "events", "documents"}
     assert seen["classifiers"] == {"LDA", "DT", "LR", "RF", "XGB", "GBC", "GNB", "KNN", "SVM", "LB"}
     assert seen["measures"] == [type(m) for m in supervised_preset().measures]
+
+
+def test_detectors_read_rows_without_the_neighbour_lists(spark, monkeypatch):
+    """Copies and the neighbour join come after the checkers, which may read the rows several times."""
+    from doubtline.operators import detectors as T
+    from doubtline.operators import measures as M
+    from doubtline.operators.models import GaussianBayes
+
+    rows = [(i, [float(i % 7), float(i % 11)], i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "row_id bigint, features array<double>, label int")
+    main = GaussianBayes().fit(df)
+    scored = main.transform(df)
+    seen = []
+    score = T.FittedTails.score
+    monkeypatch.setattr(T.FittedTails, "score", lambda self, rows, out="score": seen.extend(rows.columns) or score(self, rows, out))
+    monitor = Monitor([M.Neighbours(3), M.Proximity(3), M.External(T.TailDetector("ECOD", 0.1), 2)]).fit(scored, main, 2)
+    out = monitor.measure(scored)
+    assert seen and not any(c == "nn" or c.startswith("um_") for c in seen)
+    assert out.count() == 80 and all(r[c] is not None for r in out.collect() for c in monitor.um_columns)
