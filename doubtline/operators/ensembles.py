@@ -75,12 +75,23 @@ class FeatureBags(Model):
         d = V.width_of(train, "features")
         subsets = feature_subsets(d, self.members, seed=self.seed)
         classes = 2 if self.base.is_detector else max(2, class_count(train))
-        jobs = [lambda s=s: self.base.fit(slice_features(train, s)) for s in subsets]
-        return FittedFeatureBags(self.name, classes, subsets, run_parallel(jobs))
+        # members of equal subsets are one and the same model
+        own = list(dict.fromkeys(map(tuple, subsets)))
+        found = dict(zip(own, run_parallel([lambda s=s: self.base.fit(slice_features(train, list(s))) for s in own])))
+        return FittedFeatureBags(self.name, classes, subsets, [found[tuple(s)] for s in subsets])
 
 
 @register
 class FittedFeatureBags(Members):
+    def member_columns(self, df, tag):
+        """Members of equal subsets score once; each has its vote."""
+        names: dict[tuple, tuple[str, str]] = {}
+        for member, subset in zip(self.members, self.subsets):
+            if tuple(subset) not in names:
+                prob, pred = names[tuple(subset)] = f"__{tag}{len(names)}_prob", f"__{tag}{len(names)}_pred"
+                df = score_on(df, member, subset, prob, pred)
+        return df, [names[tuple(s)] for s in self.subsets]
+
     def transform(self, df, prob="prob", pred="pred"):
         df, names = self.member_columns(df, f"{prob}_b")
         votes = F.array(*[F.col(p) for _, p in names])

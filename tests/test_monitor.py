@@ -410,3 +410,19 @@ def test_detectors_read_rows_without_the_neighbour_lists(spark, monkeypatch):
     out = monitor.measure(scored)
     assert seen and not any(c == "nn" or c.startswith("um_") for c in seen)
     assert out.count() == 80 and all(r[c] is not None for r in out.collect() for c in monitor.um_columns)
+
+
+def test_members_of_equal_subsets_are_fitted_and_scored_once(spark, monkeypatch):
+    from doubtline.operators import detectors as T
+    from doubtline.operators.ensembles import FeatureBags
+
+    fits, scores = [], []
+    learn, score = T.TailDetector.learn, T.FittedTails.score
+    monkeypatch.setattr(T.TailDetector, "learn", lambda self, train: fits.append(1) or learn(self, train))
+    monkeypatch.setattr(T.FittedTails, "score", lambda self, rows, out="score": scores.append(1) or score(self, rows, out))
+    df = spark.createDataFrame([(i, [float(i), float(i * i % 17)]) for i in range(40)], "row_id bigint, features array<double>")
+    bags = FeatureBags(T.TailDetector("COPOD", 0.1), 10).fit(df)
+    own = len(set(map(tuple, bags.subsets)))
+    out = bags.transform(df).collect()
+    assert len(bags.members) == 10 and len(fits) == len(scores) == own < 10
+    assert all(abs(sum(r.prob) - 1.0) < 1e-9 for r in out) and len(out) == 40
