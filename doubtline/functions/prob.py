@@ -56,7 +56,12 @@ def signed_mean(own, other, agree) -> Column:
 
 
 def vote_share(votes) -> Column:
-    """Share of the votes that equal the most frequent vote."""
+    """Share of the votes that equal the most frequent vote; ``votes`` may be a list of few columns, which are compared one by one."""
+    if isinstance(votes, list):
+        if not 2 <= len(votes) <= UNROLL_LIMIT:
+            return vote_share(F.array(*votes))
+        counts = [sum((F.when(v == x, 1).otherwise(0) for x in votes), F.lit(0)) for v in votes]
+        return F.greatest(*counts) / F.lit(float(len(votes)))
     votes = _column(votes)
     counts = F.transform(
         F.array_distinct(votes), lambda v: F.size(F.filter(votes, lambda x: x == v))

@@ -11,6 +11,7 @@ Direction: for all measures a larger value means more trust, except for ``um_knn
 
 from __future__ import annotations
 
+import contextlib
 import copy
 import hashlib
 import os
@@ -18,6 +19,7 @@ import threading
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from doubtline.operators.cleaning import clean_features
 from doubtline.operators.ensembles import ConfidenceBagging, ConfidenceBoosting, FeatureBags
 from doubtline.operators.interval import IntervalBounds
 from doubtline.operators.knn import knn_join, valid_k
-from doubtline.operators.models import Fitted, GaussianBayes, Model, load_fitted, make_model
+from doubtline.operators.models import Fitted, GaussianBayes, Model, load_fitted, make_model, run_parallel
 from doubtline.operators.recon import Reconstructor
 from doubtline.operators.stats import Moments, moments
 from doubtline.operators.store import read_json, write_json
@@ -66,6 +68,18 @@ class FitStore:
     def model(self, model: Model) -> Fitted:
         return copy.copy(self.get(model.key(), lambda: model.fit(self.train)))
 
+    def ahead(self, jobs: Sequence[Callable[[], object]]) -> None:
+        """Run fits a few at a time. One that fails is left to whoever asks for it."""
+
+        def tried(job):
+            def run() -> None:
+                with contextlib.suppress(Exception):
+                    job()
+
+            return run
+
+        run_parallel([tried(job) for job in jobs])
+
     def together(self, models: Sequence[Model]) -> None:
         """Grow the trees of all tree models among ``models`` at once."""
         found = {m.key(): m for m in models if isinstance(m, TreeModel) and m.key() not in self.held}
@@ -149,6 +163,10 @@ class Measure:
         """The checkers that ``fit`` will ask for."""
         return [m for m in (getattr(self, "model", None), *(getattr(self, "checkers", None) or ())) if isinstance(m, Model)]
 
+    def asked(self, store: FitStore) -> list[Callable[[], object]]:
+        """What ``fit`` will take from the store; a monitor runs these fits side by side first."""
+        return [partial(store.model, m) for m in self.recipes()]
+
     def fit(self, ctx: FitContext) -> FittedMeasure:
         raise NotImplementedError
 
@@ -240,10 +258,15 @@ class ConfidenceInterval(Measure):
             self.level = 0.9999
         self.supervised, self.scale = supervised, scale
 
-    def fit(self, ctx):
+    def bounds(self, store: FitStore) -> IntervalBounds:
         options = (self.level, "label" if self.supervised else None, self.scale)
-        bounds = ctx.store.get(f"interval {options}", lambda: IntervalBounds.fit(ctx.store.train, *options))
-        return FittedConfidenceInterval(self.level, self.supervised, self.scale, bounds.state())
+        return store.get(f"interval {options}", lambda: IntervalBounds.fit(store.train, *options))
+
+    def asked(self, store):
+        return [partial(self.bounds, store)]
+
+    def fit(self, ctx):
+        return FittedConfidenceInterval(self.level, self.supervised, self.scale, self.bounds(ctx.store).state())
 
 
 @registered
@@ -402,7 +425,7 @@ class FittedAgreement(_CheckerMeasure):
         self.um = "um_agreement_" + "_".join(slug(n) for n in names)
 
     def columns(self, env):
-        return {self.um: vote_share(F.array(*[F.col(env.model_columns[n][1]) for n in self.names]))}
+        return {self.um: vote_share([F.col(env.model_columns[n][1]) for n in self.names])}
 
     def displays(self):
         return {self.um: f"Agreement Calculator ({_initials(self.names)} classifiers)"}

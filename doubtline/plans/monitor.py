@@ -136,13 +136,14 @@ class Monitor:
         """Fit all measures on scored training rows (``row_id, features, prob, pred[, label]``).
 
         ``store`` shares what doesn't depend on the main model with other monitors on the same rows; all trees of the
-        checkers grow together.
+        checkers grow together, and other checkers and bounds are fitted side by side.
         """
         self.scorer, self.names = scorer, names
         self.classes = classes or (len(names) if names else V.width_of(train, "prob"))
         ctx = M.FitContext(train, self.classes, scorer, names, store=store)
         if "label" in train.columns:
             ctx.store.together([recipe for m in self.measures for recipe in m.recipes()])
+            ctx.store.ahead([job for m in self.measures for job in m.asked(ctx.store)])
         self.fitted = [m.fit(ctx) for m in self.measures]
         if any(f.neighbours for f in self.fitted):
             self.reference = train.select("row_id", "features", "prob", "pred")

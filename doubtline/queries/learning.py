@@ -85,7 +85,8 @@ def importances(spark, sf):
 
 
 def _splits(df):
-    parts = S.three_way_split(df, "row_id", 0.35, 0.25)
+    """Training, validation and test rows. The table is read, joined and split once; each split is read alone from then on."""
+    parts = materialize(S.three_way_split(df, "row_id", 0.35, 0.25), "splits", by="split")
     return [parts.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test")]
 
 
@@ -97,9 +98,9 @@ def _trained(spark, sf, monitor=None, build=D.orders, names=None):
     train, val, test = _splits(build(spark, sf).select("row_id", "features", "label"))
     main = GaussianBayes().fit(train)
     monitor = monitor or _light_monitor()
-    scored = materialize(main.transform(train), "scored")
+    scored = main.transform(train)
     monitor.fit(scored, main, names=names or D.STATUS)
-    monitor.train(scored, materialize(main.transform(val), "scored"))
+    monitor.train(scored, main.transform(val))
     return monitor, main.transform(test)
 
 

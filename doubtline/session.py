@@ -64,13 +64,14 @@ def hidden(name: str) -> str:
     return f"__{name}_{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage at a place that outlives lost executors. Column metadata
-    (vector widths) is put back, as it is needed at plan time.
+    (vector widths) is put back, as it is needed at plan time. Rows of a value of
+    ``by`` are in a folder of their own, which a filter reads alone.
     """
     spark = df.sparkSession
     path = work_path(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)

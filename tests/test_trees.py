@@ -96,3 +96,79 @@ def test_rows_of_equal_bins_are_one_cell(spark, monkeypatch):
     cells = T.fit_together(rows, models, [1.0, 0.7, 0.4], local_bytes=64 * (3 + 24))
     for a, b in zip(passes, cells):
         assert all(same(p, q) for p, q in zip(a.trees, b.trees)), a.name
+
+
+def test_verdicts_are_counted_on_cells(spark, noisy):
+    """Each model scores rows of equal bins once; the counts are those of all rows, without labels other than 0 and 1."""
+    from doubtline.plans.adjudicator import _confusions
+
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 4, (900, 3)).astype(float), rng.integers(0, 2, 900)
+    rows = vectors(spark, x, y)
+    models = T.fit_together(rows, [make_model("XGB", rounds=3), make_model("RF", trees=3), make_model("DT", depth=2)])
+    odd = rows.limit(5)
+    more = rows.repartition(5).unionByName(odd.withColumn("label", F.lit(None).cast("int"))).unionByName(odd.withColumn("label", F.lit(2)))
+    scored = spark.sparkContext.accumulator(0)
+
+    class Counting(T.FittedTrees):
+        def of_bins(self, bins):
+            scored.add(len(bins))
+            return super().of_bins(bins)
+
+    told = _confusions(more, [Counting(m.name, m.kind, m.classes, m.cuts, m.trees) for m in models])
+    assert 0 < scored.value <= 3 * 2 * 4**3  # models, labels, vectors
+    for model, counts in zip(models, told):
+        said = np.array([r.pred for r in model.transform(rows).orderBy("row_id").collect()])
+        assert counts == tuple(int(((y == a) & (said == b)).sum()) for a, b in ((1, 1), (0, 0), (0, 1), (1, 0)))
+    assert _confusions(rows.limit(0), models) == [(0, 0, 0, 0)] * 3
+
+
+def test_weights_of_a_forest_follow_the_law():
+    """The table of first bits gives the numbers that the law's steps give, at its steps, too."""
+    x = np.random.default_rng(7).integers(0, 2**63, 200_000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    steps = np.array([int(p * 2**53) + d for p in T.POISSON[:11] for d in (0, 1)], np.uint64) << np.uint64(11)
+    for some in (x, steps):
+        assert np.array_equal(T.poisson(some), np.searchsorted(T.POISSON, (some >> np.uint64(11)).astype(float) / float(1 << 53), side="right"))
+
+
+def test_splits_are_read_alone(spark):
+    """The table is split and written once; each split is then read from its own folder, without a shuffle."""
+    from doubtline.queries.learning import _splits
+
+    rows = vectors(spark, np.random.default_rng(8).normal(size=(400, 2)), np.arange(400) % 3)
+    parts = _splits(rows)
+    seen = [{r.row_id for r in p.collect()} for p in parts]
+    assert sum(map(len, seen)) == 400 and set.union(*seen) == set(range(400)) and all(p.schema["features"].metadata == {"width": 2} for p in parts)
+    for part in parts:
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert part.columns == ["row_id", "features", "label"] and "PartitionFilters: [isnotnull(split" in plan and "Exchange" not in plan
+
+
+def test_checkers_are_fitted_side_by_side(noisy, monkeypatch):
+    """A monitor fits checkers and bounds ahead, each once; one that fails is left to its measure."""
+    from doubtline.plans.monitor import Monitor
+
+    class Broken(GaussianBayes):
+        def fit(self, train):
+            raise RuntimeError("no")
+
+    ahead = []
+    real = M.FitStore.ahead
+    monkeypatch.setattr(M.FitStore, "ahead", lambda self, jobs: (ahead.append(len(jobs)), real(self, jobs), ahead.append(dict(self.fits))))
+    main = GaussianBayes().fit(noisy)
+    monitor = Monitor([M.ConfidenceInterval(0.9), M.Combined(make_model("LDA")), M.Agreement([make_model("LDA"), GaussianBayes(), Broken()])])
+    monitor.fit(main.transform(noisy), main, 2)
+    assert ahead[0] == 5 and len(ahead[1]) == 3 and set(ahead[1].values()) == {1}
+    assert list(monitor.fitted[2].failures) == ["GaussianNB"]
+
+
+def test_few_votes_are_compared_one_by_one(spark):
+    """The same share as that of the votes in an array, nulls included, without a function over arrays."""
+    from doubtline.functions.prob import vote_share
+
+    votes = [(1, 1, 2), (1, 2, 3), (None, 1, 1), (None, None, 4), (None, None, None)]
+    df = spark.createDataFrame(votes, "a int, b int, c int")
+    out = df.select(vote_share(F.array("a", "b", "c")).alias("x"), vote_share([F.col(c) for c in "abc"]).alias("y"), vote_share([F.col("a")]).alias("z"))
+    rows = out.collect()
+    assert [r.x for r in rows] == [r.y for r in rows] and [r.z for r in rows] == [1.0, 1.0, 0.0, 0.0, 0.0]
+    assert "lambda" not in df.select(vote_share([F.col(c) for c in "abc"]))._jdf.queryExecution().executedPlan().toString()
