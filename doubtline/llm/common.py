@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +29,16 @@ def id_and_text(docs: DataFrame, null_text: str | None = None) -> DataFrame:
 SLICE_BYTES = 1 << 22
 
 
+def release_memory() -> None:
+    """Memory that is free in this process goes back to the system.
+
+    A Python worker outlives its task, and while it waits for another one the executor's limit counts what it holds.
+    """
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``fn`` over Arrow batches in the tasks, about 4 MB or one row at a time, so Python objects of few rows exist at once."""
 
@@ -37,6 +49,9 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 out = fn(batch.slice(start, step))
                 if out is not None and out.num_rows:
                     yield out
+                out = None
+            batch = None
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doubtline.llm.common import RollingHash, frame_batch, map_batches, splitmix, utf8_slices
+from doubtline.llm.common import RollingHash, frame_batch, map_batches, release_memory, splitmix, utf8_slices
 from doubtline.session import hidden, materialize
 
 LENGTH, GRAM = 200, 48
@@ -323,6 +323,8 @@ def _refined(pieces: DataFrame, length: int, most: int) -> DataFrame:
                     break
         if held and (rest := pa.concat_tables(held)).num_rows:
             yield settle(rest)
+        held, batch, table, known, whole, rest = [], None, None, None, None, None
+        release_memory()
 
     return pieces.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "did long, tid long, start long, span long")
 
