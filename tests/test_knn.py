@@ -257,3 +257,77 @@ def test_leaves_look_at_few_pairs(monkeypatch):
     x = np.random.default_rng(0).normal(size=(20_000, 2))
     assert len(knn.nearest(x, x, np.arange(20_000), 5)[0]) == 100_000
     assert sum(seen) < 20_000 * 20_000 / 10
+
+
+@pytest.mark.parametrize("kind", ["spread", "far", "copies"])
+def test_blocks_of_long_vectors_give_the_same_neighbours(kind, monkeypatch):
+    from doubtline.operators import knn
+
+    rng = np.random.default_rng(21)
+    ref = rng.normal(size=(2600, 16)) + (1000.0 if kind == "far" else 0.0)
+    if kind == "copies":
+        ref[300:1500] = ref[0]
+        ref[1500] = 1e9
+    query, ids, own = ref[:500], rng.permutation(2600) % 2500, rng.permutation(2500)[:500]
+    calls, blocks = [], knn._nearest_by_blocks
+    monkeypatch.setattr(knn, "_nearest_by_blocks", lambda *a: calls.append(1) or blocks(*a))
+    for given in ({}, {"q_ids": own}, {"bound": np.full(500, 5.0)}):
+        found = knn.nearest(query, ref, ids, 7, **given)
+        with monkeypatch.context() as m:
+            m.setattr(knn, "WIDE_PAIRS", 1 << 60)
+            want = knn.nearest(query, ref, ids, 7, **given)
+        within = [d <= 5.0 if "bound" in given else np.full(len(d), True) for d in (found[2], want[2])]
+        assert all(np.array_equal(a[within[0]], b[within[1]]) for a, b in zip((found[0], ids[found[1]], found[2]), (want[0], ids[want[1]], want[2])))
+    assert len(calls) == 3
+
+
+def test_a_pair_of_several_common_buckets_is_met_once():
+    from doubtline.operators.knn import first_met
+
+    rng = np.random.default_rng(22)
+    q, r = rng.integers(0, 2, (3000, 5)).astype(float), rng.integers(0, 2, (40, 5)).astype(float)
+    seen = np.zeros((3000, 40), int)
+    for table in range(5):
+        for bucket in (0.0, 1.0):
+            mine, other = np.flatnonzero(q[:, table] == bucket), np.flatnonzero(r[:, table] == bucket)
+            for a, b in first_met(q[mine, :table], r[other, :table]):
+                seen[np.ix_(mine[a], other[b])] += 1
+    assert np.array_equal(seen, (q[:, None] == r[None]).any(axis=2))
+    # a query of its own buckets: all rows, as before
+    ((a, b),) = first_met(np.arange(100.0)[:, None], np.zeros((4, 1)))
+    assert len(a) == 100 and len(b) == 4
+
+
+@pytest.mark.parametrize("form", ["pivots", "tiles", "slices"])
+def test_a_query_table_that_is_long_work_is_read_once(spark, form):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def slow(i):
+        seen.add(1)
+        return i
+
+    x = np.random.default_rng(23).normal(size=(200, 3))
+    x[150:] = x[0]
+    slim = vectors(spark, x)
+    query = slim.withColumn("more", slow.asNondeterministic()("row_id"))
+    found = knn_join(query, slim, 4, asked=slim, **FORMS[form])
+    assert found.columns == [*query.columns, "nn"]
+    assert pairs(found.filter("more >= 0")) == brute(x, x, 4)
+    assert seen.value == 200
+
+
+def test_the_reference_of_votes_is_collected_once(spark, monkeypatch):
+    from doubtline.operators import knn
+    from doubtline.operators.models import make_model
+
+    rng = np.random.default_rng(24)
+    x = rng.normal(size=(60, 2))
+    df = vectors(spark, x, rng.integers(0, 2, 60))
+    calls, collected = [], knn._collected
+    monkeypatch.setattr(knn, "_collected", lambda *a: calls.append(1) or collected(*a))
+    model = make_model("KNN", k=3).fit(df)
+    first, second = (model.transform(t).select("row_id", "prob").collect() for t in (df, df.repartition(3)))
+    assert sorted(first) == sorted(second) and len(calls) == 1
