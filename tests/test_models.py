@@ -268,3 +268,18 @@ def test_shards_of_the_autoencoder_follow_the_rows():
     from doubtline.operators.recon import shard_count
 
     assert [shard_count(n) for n in (0, 1, 8192, 8193, 10**7, 10**9, 10**10)] == [1, 1, 1, 2, 1024, 1024, 10_000]
+
+
+def test_an_epoch_of_the_autoencoder_has_few_tasks(spark, monkeypatch):
+    from doubtline.operators import recon
+
+    assert [recon.task_count(n, 8) for n in (1, 7, 62, 640, 10_000)] == [1, 7, 8, 10, 157]
+    monkeypatch.setattr(recon, "SHARD_ROWS", 20)
+    monkeypatch.setattr(recon, "PIECE_BYTES", 100)  # several pieces in a shard
+    df = vectors(spark, np.random.default_rng(14).normal(size=(300, 5)))
+    fits = []
+    for shards in (64, 2):
+        monkeypatch.setattr(recon, "task_count", lambda n, cores, most=shards: min(n, most))
+        fits.append(recon.Reconstructor.fit(df, "simple", epochs=4, batch=8))
+    np.testing.assert_allclose(fits[0].weights, fits[1].weights, atol=1e-12)
+    np.testing.assert_allclose(fits[0].history, fits[1].history, atol=1e-12)

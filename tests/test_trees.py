@@ -172,3 +172,18 @@ def test_few_votes_are_compared_one_by_one(spark):
     rows = out.collect()
     assert [r.x for r in rows] == [r.y for r in rows] and [r.z for r in rows] == [1.0, 1.0, 0.0, 0.0, 0.0]
     assert "lambda" not in df.select(vote_share([F.col(c) for c in "abc"]))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_equal_bins_are_scored_once_in_a_task(noisy, monkeypatch):
+    fitted = T.fit_together(noisy, [make_model("XGB", rounds=4), make_model("RF", trees=3, depth=5)])
+    x = np.array([r.features for r in noisy.limit(50).collect()], float)
+    x = np.concatenate([x, x, np.full((1, 3), np.nan)])
+    scored, of_bins = [], T.FittedTrees.of_bins
+    monkeypatch.setattr(T.FittedTrees, "of_bins", lambda self, bins: scored.append(len(bins)) or of_bins(self, bins))
+    for numbers in (T.CELL_NUMBERS, 0):
+        monkeypatch.setattr(T, "CELL_NUMBERS", numbers)
+        for model in fitted:
+            want, by_cell = model.probabilities(x), model.by_cell()
+            scored.clear()
+            assert np.array_equal(by_cell(x), want) and np.array_equal(by_cell(x[::-1]), want[::-1])
+            assert sum(scored) <= (51 if numbers else 102)
